@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattiq.llm.embeddings import op4_embeddings
 from lattiq.llm.mixing import OP10_SQL, op10_mixing
 from lattiq.llm.quality import op1_quality_classifier
 from lattiq.llm.sharding import op2_sharding
+from lattiq.llm.simhash import op3_simhash
 from lattiq.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op7_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op7_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
