@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm.decontamination import op9_decontamination
 from lattiq.llm.embeddings import op4_embeddings
+from lattiq.llm.licenses import op8_licenses
 from lattiq.llm.mixing import OP10_SQL, op10_mixing
 from lattiq.llm.ngram_lm import op6_ngram_lm
 from lattiq.llm.pii import op5_pii
@@ -18,7 +19,7 @@ from lattiq.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op8_licenses, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
