@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from lattiq.plans import stats_queries  # noqa: F401  each module registers its queries
+from lattiq.plans.base import REGISTRY, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: f for k, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in REGISTRY.items() if s}
