@@ -28,14 +28,14 @@ PREFIX = 5
 @dataclass(frozen=True)
 class NnpuParams:
     bits: int = 20
-    epochs: int = 30
+    steps: int = 1000
     batch: int = 500
     rate: float = 0.05
     l2: float = 1e-4
     least_texts: int = 3
-    least_z: float = 3.5
-    least_ratio: float = 1.6
-    prior_margin: float = 1.4
+    least_z: float = 3.0
+    least_ratio: float = 1.4
+    prior_margin: float = 1.3
     seed: int = 11
 
 
@@ -112,7 +112,7 @@ def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, p: Nn
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
     n_steps = max(1, -(-len(unlabelled) // p.batch))
-    for _ in range(p.epochs):
+    for _ in range(-(-p.steps // n_steps)):
         pos, unl = rng.permutation(n_pos), rng.permutation(len(unlabelled)) + n_pos
         for k in range(n_steps):
             bu = unl[k * p.batch : (k + 1) * p.batch]
@@ -121,10 +121,12 @@ def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, p: Nn
             ru, iu = rows(bu)
             dp = np.bincount(rp, weights=(w * by)[ip], minlength=len(bp)) + bias
             du = np.bincount(ru, weights=(w * by)[iu], minlength=len(bu)) + bias
-            # logistic loss: of a positive log(1+exp(-d)), of a negative log(1+exp(d))
-            negative = np.logaddexp(0, du).mean() - prior * np.logaddexp(0, dp).mean()
-            g_neg_u, g_neg_p = sigmoid(du) / len(bu), -prior * sigmoid(dp) / len(bp)
-            g_pos = prior * (sigmoid(dp) - 1) / len(bp)
+            # sigmoid loss: of a positive s(-d), of a negative s(d); it is bounded, so a text of surely toxic words is
+            # scored as such though a tenth of the unlabelled texts is like it
+            sp, su = sigmoid(dp), sigmoid(du)
+            negative = su.mean() - prior * sp.mean()
+            g_neg_u, g_neg_p = su * (1 - su) / len(bu), -prior * sp * (1 - sp) / len(bp)
+            g_pos = g_neg_p
             if negative >= 0:
                 gp, gu = g_pos + g_neg_p, g_neg_u
             else:
