@@ -117,3 +117,13 @@ def center_of_mass(mask: Column, shape: tuple[int, int]) -> Column:
 def is_null_value(values: Column, value: float) -> Column:
     """Null, or every item null or the value."""
     return values.isNull() | F.forall(values, lambda x: x.isNull() | (x == value))
+
+
+def channel_slice(data: Column, n_channels: int, start: int, stop: int) -> Column:
+    """Of pixels with n_channels values each, the values from start to stop."""
+    return F.filter(data, lambda x, i: (i % n_channels >= start) & (i % n_channels < stop))
+
+
+def channels_split(data: Column, n_channels: int) -> Column:
+    """An array of one flat image for each channel."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), lambda c: F.filter(data, lambda x, i: i % n_channels == c))

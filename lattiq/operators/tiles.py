@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.functions import coords, images
+from lattiq.functions import coords, images, kernels
 from lattiq.operators.positions import hash_order
 
 
@@ -87,3 +89,42 @@ def mask_anchor_intervals(masks: DataFrame, shape: tuple[int, int], mask: str, *
     hold = lambda col, n: F.greatest(F.least(col, F.lit(n - 1)), F.lit(0)).cast("int")
     ends = [hold(at(f, a, s), shape[a]).alias(name) for a, ax in ((0, "y"), (1, "x")) for f, s, name in ((lambda v: F.floor(F.min(v)), -jitter, f"{ax}0"), (lambda v: F.ceil(F.max(v)), jitter, f"{ax}1"))]
     return c.groupBy(*by).agg(*ends)
+
+
+def chosen_tiles(df: DataFrame, weights: str, n_draws: int, key: str, seed: int = 0, out: str = "tile_id") -> DataFrame:
+    """``n_draws`` tiles for each row, with replacement, by an array of weights; the draws come from a hash of key and number.
+    Rows whose weights sum to nothing draw evenly."""
+    w = F.col(weights)
+    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    even = F.transform(w, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(w)))
+    u = hash_order(F.col(key) * n_draws + F.col("draw") + F.lit(seed)) / F.lit(4294967296.0)
+    pick = F.aggregate("__w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + F.when(a["sum"] + x <= F.col("__u"), 1).otherwise(0)).alias("k")), lambda a: F.least(a["k"], F.size("__w") - 1))
+    return df.withColumn("__w", even).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("__u", u).withColumn(out, pick).drop("__w", "__u")
+
+
+def zoomed_tiles(df: DataFrame, columns: Sequence[str], shape: tuple[int, int], tile: tuple[int, int], starts: Sequence[tuple[int, int]], key: str, zoom: tuple[float, float] = (1.0, 1.0), aspect: tuple[float, float] = (1.0, 1.0), probability: float = 1.0, jitter: int = 0, masks: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Tiles whose boxes are zoomed, moved back inside the image and resampled to the tile's shape.
+
+    A tile's zoom, aspect and jitter are drawn from (seed, key, tile), so all columns share them and reruns agree; masks are
+    resampled by the nearest pixel.
+    """
+    table = F.array(*[F.struct(F.lit(i).alias("tile_id"), F.lit(y).alias("tile_y"), F.lit(x).alias("tile_x")) for i, (y, x) in enumerate(starts)])
+    out = df.withColumn("__t", F.explode(table)).select(*df.columns, "__t.tile_id", "__t.tile_y", "__t.tile_x")
+
+    def cut(order: int):
+        @F.pandas_udf("array<double>")
+        def run(data: pd.Series, keys: pd.Series, tiles: pd.Series, ys: pd.Series, xs: pd.Series) -> pd.Series:
+            result = []
+            for d, k, t, y, x in zip(data, keys, tiles, ys, xs):
+                rng = np.random.default_rng([seed & 0xFFFFFFFF, int(k) & 0xFFFFFFFFFFFF, int(t)])
+                u, z, a, jy, jx = rng.random(), rng.uniform(*zoom), rng.uniform(*aspect), *rng.integers(-jitter, jitter + 1, 2)
+                z, a = (z, a) if u < probability else (1.0, 1.0)
+                box = [min(n, max(1, round(s * f))) for n, s, f in zip(shape, tile, (z, z * a))]
+                at = [min(max(p + j + (s - b) // 2, 0), n - b) for p, j, s, b, n in zip((y, x), (jy, jx), tile, box, shape)]
+                image = np.asarray(d, dtype=np.float64).reshape(shape)
+                result.append(kernels.zoomed(image[at[0] : at[0] + box[0], at[1] : at[1] + box[1]], tile, order).ravel())
+            return pd.Series(result)
+
+        return run
+
+    return out.withColumns({c: cut(0 if c in masks else 1)(F.col(c), F.col(key), "tile_id", "tile_y", "tile_x") for c in columns})

@@ -398,3 +398,62 @@ SELECT label, CAST(least(greatest(floor(min(cy)) - 1, 0), 7) AS INTEGER) AS y0,
 def anchor_interval(spark, sf):
     mask = F.transform("data", lambda x: F.when(x > 0.1, 1.0).otherwise(0.0))
     return tiles.mask_anchor_intervals(vectors(spark, sf).withColumn("mask", mask), SHAPE, "mask", "label", jitter=1)
+
+
+@query("tile_choice", f"""WITH d AS ({PIXELS}), w AS (SELECT vec_id, px // 16 AS k, sum(abs(v)) AS w FROM d GROUP BY 1, 2),
+c AS (SELECT vec_id, k, sum(w) OVER (PARTITION BY vec_id ORDER BY k) / sum(w) OVER (PARTITION BY vec_id) AS cum FROM w),
+u AS (SELECT vec_id, draw, {HASH.format('(vec_id * 3 + draw)')} / 4294967296.0::DOUBLE AS u FROM embeddings, range(3) r(draw))
+SELECT u.vec_id, CAST(u.draw AS INTEGER) AS draw, CAST(least(count(*) FILTER (cum <= u.u), 3) AS INTEGER) AS tile_id FROM u JOIN c USING (vec_id) GROUP BY 1, 2""")
+def tile_choice(spark, sf):
+    strips = F.array(*[F.aggregate(F.slice("data", 16 * k + 1, 16), F.lit(0.0), lambda a, x: a + F.abs(x)) for k in range(4)])
+    df = vectors(spark, sf).select("vec_id", strips.alias("w"))
+    return tiles.chosen_tiles(df, "w", 3, "vec_id").select("vec_id", "draw", "tile_id")
+
+
+@query("tile_zoom")
+def tile_zoom(spark, sf):
+    starts = tiles.tile_starts(SHAPE, (4, 4), coords.NO_OVERLAP)
+    out = tiles.zoomed_tiles(vectors(spark, sf), ["data"], SHAPE, (4, 4), starts, "vec_id", (0.6, 1.6), (0.8, 1.2), 0.8, 1)
+    return out.select("vec_id", "tile_id", "data")
+
+
+@query("tile_plain_zoom", _tile_sql([(0, 0), (0, 4), (4, 0), (4, 4)]))
+def tile_plain_zoom(spark, sf):
+    """Without zoom or jitter, resampled tiles are the tiles."""
+    starts = tiles.tile_starts(SHAPE, (4, 4), coords.NO_OVERLAP)
+    out = tiles.zoomed_tiles(vectors(spark, sf), ["data"], SHAPE, (4, 4), starts, "vec_id")
+    return rounded(out.select("vec_id", "tile_id", "tile_y", "tile_x", images.total(F.col("data")).alias("total"), F.col("data")[0].alias("corner")), 5)
+
+
+@query("channel_slice", f"SELECT vec_id, round(sum(v) FILTER (px % 4 IN (1, 2)), 5) AS middle, round(sum(v) FILTER (px % 4 = 3), 5) AS last FROM ({PIXELS}) GROUP BY 1")
+def channel_slice(spark, sf):
+    d = F.col("data")
+    return rounded(vectors(spark, sf).select("vec_id", images.total(images.channel_slice(d, 4, 1, 3)).alias("middle"), images.total(images.channels_split(d, 4)[3]).alias("last")), 5)
+
+
+@query("mask_denoise", f"SELECT vec_id, count(*) FILTER (abs(v / 1e10) < 1e-11) AS n_zero FROM ({PIXELS}) GROUP BY 1")
+def mask_denoise(spark, sf):
+    tiny = F.transform("data", lambda x: x / 1e10)
+    clean = images.denoised_mask(tiny, 1e-11)
+    return vectors(spark, sf).select("vec_id", F.size(F.filter(clean, lambda x: x == 0)).cast("bigint").alias("n_zero"))
+
+
+@query("image_index_frames", "SELECT conv_id, turn, coalesce(lag(turn) OVER w, turn) AS i0, turn AS i1, coalesce(lead(turn) OVER w, turn) AS i2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def image_index_frames(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("idx"))
+    out = temporal.frame_stack(c, ["idx"], 1, series="conv_id", im="turn")
+    return out.select("conv_id", "turn", *[F.col("idx")[i].alias(f"i{i}") for i in range(3)])
+
+
+@query("grouped_stores", "SELECT 'open' AS grp, o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'done', o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def grouped_stores(spark, sf):
+    o = table(spark, sf, "orders")
+    parts = {g: o.where(F.col("o_orderstatus") == s).select("o_orderkey") for g, s in (("open", "O"), ("done", "F"))}
+    return union.grouped(parts).select("grp", "o_orderkey")
+
+
+@query("routed_channels", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0")
+def routed_channels(spark, sf):
+    o = table(spark, sf, "orders")
+    stores = {"a": o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice"), "b": o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")}
+    return union.routed(stores, ["o_orderkey"])
