@@ -239,7 +239,7 @@ def multiplicity(spark, sf):
 def weight_map_concat(spark, sf):
     post, weight = (lambda c: F.transform(c, lambda x: x * 2)), (lambda c: F.transform(c, lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
     d = union.with_weight_map(vectors(spark, sf), "data", post, weight)
-    return rounded(d.select("vec_id", F.size("data").alias("n"), images.total(F.col("data")).alias("total")), 5)
+    return rounded(d.select("vec_id", F.size("data").cast("bigint").alias("n"), images.total(F.col("data")).alias("total")), 5)
 
 
 # joins
@@ -263,7 +263,7 @@ def label_lookup(spark, sf):
 
 
 @query("pad_ragged", """WITH t AS (SELECT page_id, list_transform(string_split(url, '/'), lambda x: len(x)) AS a FROM pages), m AS (SELECT max(len(a)) AS n FROM t)
-SELECT page_id, len(a) AS used, n AS size, list_sum(a) AS total FROM t, m""")
+SELECT page_id, len(a) AS used, n AS size, CAST(list_sum(a) AS BIGINT) AS total FROM t, m""")
 def pad_ragged(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.transform(F.split("url", "/"), lambda x: F.length(x).cast("double")).alias("a"))
     out = align.with_side_array(p.select("page_id", F.size("a").cast("bigint").alias("used")), p, "a", ["page_id"])
