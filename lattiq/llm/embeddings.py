@@ -173,3 +173,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, p: PStable = PStab
 
 def op4_embeddings(spark, sf_dir: str) -> DataFrame:
     return near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+#: By comparing all pairs of a label; the operator finds the same links where it misses none.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.c) AS component_id, r.a = min(r.c) AS kept FROM r LEFT JOIN n USING (a) GROUP BY r.a
+"""

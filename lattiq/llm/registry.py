@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattiq.llm.decontamination import op9_decontamination
-from lattiq.llm.embeddings import op4_embeddings
+from lattiq.llm.embeddings import OP4_SQL, op4_embeddings
 from lattiq.llm.licenses import op8_licenses
 from lattiq.llm.mixing import OP10_SQL, op10_mixing
 from lattiq.llm.ngram_lm import op6_ngram_lm
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op4_embeddings": OP4_SQL, "op10_mixing": OP10_SQL}
