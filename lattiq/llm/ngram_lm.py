@@ -30,7 +30,7 @@ from lattiq.llm.hashing import Words, blank_bytes, chunks, mix
 
 MU = 30.0
 #: Bytes of text in a block, tokens in a shard, and texts in a block (the top bit of 16 marks training texts).
-BLOCK_BYTES, SHARD_TOKENS, BLOCK_TEXTS = 4 << 20, 4_000_000, 30_000
+BLOCK_BYTES, SHARD_TOKENS, BLOCK_TEXTS = 2 << 20, 3_000_000, 30_000
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -47,7 +47,7 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        width = max(0, (top // max(n, 1)).bit_length() - 1) // 8
+        width = -(-max(0, (top // max(n, 1)).bit_length() - 1) // 8)  # whole bytes, rounded up: so the high parts stay under two bits a value
         low = np.stack([(values >> np.uint64(8 * k)).astype(np.uint8) for k in range(width)], axis=1) if width else np.zeros((n, 0), np.uint8)
         at = (values >> np.uint64(8 * width)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(at[-1]) // cls.SPAN + 1) * cls.SPAN if n else cls.SPAN, dtype=np.uint8)
