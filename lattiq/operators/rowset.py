@@ -66,27 +66,27 @@ def stepped(df: DataFrame, steps: int, batch_size: int, n: int, pos: str = "pos"
 
 
 def _ranked(df: DataFrame, key: str, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by) if by else None
-    if w is None:
-        return with_positions(df, hash_order(key), key, out="__rank")
-    return df.withColumn("__rank", F.row_number().over(w.orderBy(hash_order(key), key)) - 1)
+    """Adds ``__rank`` in hash order (within each group, if there are groups) and ``__n``, the rows that are ranked together.
 
+    Rows of a group are a run of positions of the whole table, so a group of a third of all rows spreads over tasks like any
+    other rows; only each group's first position and count are joined back. Null is a group.
+    """
+    ranked = with_positions(df, *by, hash_order(key), key, out="__rank")
+    if not by:
+        return ranked.withColumn("__n", df.select(F.count("*")).scalar())
+    stats = ranked.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"))
+    on = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    return ranked.join(stats, on).withColumn("__rank", F.col("__rank") - F.col("__first")).drop("__first", *[f"__by_{c}" for c in by])
 
-def picked(df: DataFrame, key: str, proportion: float, *by: str) -> DataFrame:
-    """A proportion of the rows, of each group if there is one: whole copies, then a part without replacement.
 
-    The part of a group is found by the group's count and the rank of its rows, so groups are sorted, each by itself; a
-    group of a third of all rows is one sorted range (by position) rather than one task when there is no grouping.
-    """
+def picked(df: DataFrame, key: str, proportion: float, *by: str) -> DataFrame:
+    """A proportion of the rows, of each group if there is one: whole copies, then a part without replacement."""
     if proportion <= 0:
         return df.limit(0)
     whole, part = int(proportion), proportion - int(proportion)
-    counts = df.groupBy(*by).agg(F.count("*").alias("__n")) if by else df.agg(F.count("*").alias("__n"))
     ranked = _ranked(df, key, *by)
-    ranked = ranked.join(F.broadcast(counts), list(by)) if by else ranked.crossJoin(F.broadcast(counts))  # one row
     more = (F.col("__rank") < F.floor(F.col("__n") * part + 0.5)).cast("int")
-    times = F.lit(whole) + more
-    out = ranked.withColumn("__k", times).where("__k > 0")
+    out = ranked.withColumn("__k", F.lit(whole) + more).where("__k > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))) if whole else out.withColumn("copy", F.lit(0))
     return out.drop("__rank", "__n", "__k")
 
@@ -105,11 +105,11 @@ def with_void_proportion(df: DataFrame, key: str, void: Column, low: float, high
     least = 0 if low >= 1 else int(low / (1 - low) * n_other)
     voids, others = df.where("__void"), plain.where("not __void")
     if most is not None and n_void > most:
-        kept = _ranked(voids, key).where(F.col("__rank") < most).drop("__rank").withColumn("copy", F.lit(0))
+        kept = _ranked(voids, key).where(F.col("__rank") < most).drop("__rank", "__n").withColumn("copy", F.lit(0))
     elif n_void < least:
         ranked = _ranked(voids, key)
         copies = F.lit(least // n_void) + (F.col("__rank") < least % n_void).cast("int")
-        kept = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__rank")
+        kept = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__rank", "__n")
     else:
         return plain.drop("__void")
     return others.unionByName(kept.select(others.columns)).drop("__void")
@@ -145,10 +145,9 @@ def resampled(df: DataFrame, weight: str, size: int, key: str, seed: int = 0) ->
 
 def split(df: DataFrame, key: str, test_fraction: float) -> tuple[DataFrame, DataFrame]:
     """(train, test): exactly int(n * fraction) rows in hash order are the test."""
-    n = df.count()
     ranked = _ranked(df, key)
-    is_test = F.col("__rank") < int(n * test_fraction)
-    return ranked.where(~is_test).drop("__rank"), ranked.where(is_test).drop("__rank")
+    is_test = F.col("__rank") < F.floor(F.col("__n") * test_fraction)
+    return ranked.where(~is_test).drop("__rank", "__n"), ranked.where(is_test).drop("__rank", "__n")
 
 
 def refilled_batch(df: DataFrame, first_batch: int, n_batches_: int, size: int, batch: str = "batch", pos: str = "pos") -> DataFrame:

@@ -65,7 +65,6 @@ def poisson_noise(spark, sf):
 def stream_event_windows(spark, sf):
     """The stream reads the table as arriving files and writes each window once it is complete; all of them at its end."""
     schema = table(spark, sf, "events").schema
-    spark.sparkContext._jsc.sc().getCheckpointDir()
     root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints") + f"/stream-{uuid.uuid4().hex}"
     counts = epochs.windowed_counts(spark, f"{sf}/event[s].parquet", schema)
     # complete mode gives every window; the last batch is the result
