@@ -40,67 +40,71 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", "weight", F.least("__cap", F.col("level") * F.col("weight")).alias("target"), "level")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, passes: int = 2, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Adds size, source_size, target, copies (0 to ``passes``) and taken (size times copies) to every row.
 
-    Every row is kept, those not taken with 0 copies; null texts and texts without words have size 0 and 0 taken. Rows
-    with equal ids are queued one after the other. A source's words are summed over 2**10 cells of shuffled ids, so a
-    source with a third of all rows is never in one task; the budget is cut inside one of 4,096 ranges of finish time.
-    Reruns agree: the order depends on ids, sizes and texts' hashes only.
+    ``keep`` lists the columns that the result has (all). Every row is kept, those not taken with 0 copies; null texts and
+    texts without words have size 0 and 0 taken. Rows with equal ids are queued one after the other. A source's words are
+    summed over 2**10 cells of shuffled ids, so a source with a third of all rows is never in one task; the budget is cut
+    inside one of 4,096 ranges of finish time. Reruns agree: the order depends on ids, sizes and texts' hashes only.
+
+    The texts are read and shuffled once: each cell's rows are queued and written to the shared folder with their place in
+    the queue; what follows reads their sizes alone, and the last step their other columns.
     """
     names = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in names]
-    size = common.word_count(F.col(text))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    own = {c: f"__own{i}" for i, c in enumerate(kept)}
+    cell, zero = ["__k", "__c"], F.lit(0).cast("bigint")
     h = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = docs.select(*kept, size.alias("size"), F.col(source).alias("__s"), h.alias("__h"), F.xxhash64(F.col(text)).alias("__x"))
-    rows = rows.withColumn("__c", F.shiftright(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), 16 - _CELL_BITS)).withColumn("__s", F.col("__s").cast("string"))
-    cell = ["__k", "__c"]
-    rows = rows.withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("__s")), F.lit("null")))
-    rows = rows.repartition(*cell)  # the one shuffle of the rows
-    zero = F.lit(0).cast("bigint")
+    rows = docs.select(*[F.col(c).alias(x) for c, x in own.items()], common.word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("__s"), F.col(doc_id).alias("__d"), h.alias("__h"), F.xxhash64(F.col(text)).alias("__x"))
+    rows = rows.withColumns({"__c": F.shiftright(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"), 16 - _CELL_BITS), "__k": F.coalesce(F.concat(F.lit("="), F.col("__s")), F.lit("null"))})
+    order = Window.partitionBy(*cell).orderBy("__h", "__d", "size", "__x")
+    rows = rows.withColumns({"__p": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__t": F.row_number().over(order)})
+    rows = common.written(rows.drop("__h", "__d", "__x"), "mix-queue")
+
     cells = rows.groupBy(*cell).agg(F.sum("size").alias("__b"), F.first("__s").alias("source"))
-    sizes = cells.groupBy("__k").agg(F.sum("__b").alias("source_size"), F.first("source").alias("source"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, passes)
+    sizes = common.written(cells, "mix-cells")
+    targets = source_targets(sizes.groupBy("source").agg(F.sum("__b").alias("source_size")), weights, share, passes)
     targets = targets.withColumn("__k", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source")
     inside = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__o", F.coalesce(F.sum("__b").over(inside), zero)).drop("__b", "source").join(targets, "__k")
-    order = Window.partitionBy(*cell).orderBy("__h", doc_id, "size", "__x")
-    queued = rows.withColumn("__p", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__t", F.row_number().over(order)).join(cells, cell)
-    queued = queued.withColumn("__end", F.col("__o") + F.col("__p"))
-    finish = [(F.col("__end") + k * F.col("source_size")) / F.col("weight") for k in range(passes)]
-    queued = queued.withColumn("__f", F.array(*finish))
+    cells = sizes.withColumn("__o", F.coalesce(F.sum("__b").over(inside), zero)).drop("__b", "source").join(targets, "__k")
+    cells = common.written(cells, "mix-offsets")
+
+    finish = F.array(*[(F.col("__o") + F.col("__p") + k * F.col("source_size")) / F.col("weight") for k in range(passes)])
     width = F.when(F.col("level") > 0, F.col("level") / (_RANGES // 2)).otherwise(1.0)
+    queued = rows.join(cells, cell).withColumns({"__f": finish, "__w": width})
     bucket = lambda f: F.least(F.floor(f / F.col("__w")), F.lit(_RANGES - 1)).cast("int")
-    queued = queued.withColumn("__w", width)
-    each = queued.select("__w", "size", F.posexplode("__f").alias("pass", "__t_f"), *cell, "__t").withColumn("__r", bucket(F.col("__t_f")))
+    each = queued.select("__w", "size", F.posexplode("__f").alias("pass", "__end"), *cell, "__t").withColumn("__r", bucket(F.col("__end")))
     ranges = each.groupBy("__r").agg(F.sum("size").alias("__n"))
     budget = F.floor(F.sum("__n").over(Window.partitionBy()) * F.lit(share / passes))
-    up_to = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.select("__r", "__n", F.sum("__n").over(up_to).alias("__cum"), budget.alias("__budget"))
-    cut = ranges.where("__cum > __budget").agg(F.min(F.struct("__r", (F.col("__budget") - F.col("__cum") + F.col("__n")).alias("left"))).alias("x")).select(F.coalesce("x.__r", F.lit(_RANGES)).alias("__cut"), F.coalesce("x.left", zero).alias("__left"))
+    ranges = ranges.select("__r", "__n", F.sum("__n").over(Window.orderBy("__r")).alias("__cum"), budget.alias("__budget"))
+    first = ranges.where("__cum > __budget").agg(F.min(F.struct("__r", (F.col("__budget") - F.col("__cum") + F.col("__n")).alias("left")))).first()[0]
+    cut, left = (first[0], first[1]) if first is not None else (_RANGES, 0)
     # in the range where the budget ends, one by one in the order of finish times
-    cut_range, left = cut.select("__cut").scalar(), cut.select("__left").scalar()
-    last = each.where(F.col("__r") == cut_range)
-    one_by_one = Window.orderBy("__t_f", "pass", *cell, "__t").rowsBetween(Window.unboundedPreceding, 0)
+    last = each.where(F.col("__r") == cut)
+    one_by_one = Window.orderBy("__end", "pass", *cell, "__t").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("__cum", F.sum("size").over(one_by_one)).where(F.col("__cum") <= left)
-    last = last.groupBy(*cell, "__t").agg(F.count("*").alias("__more"))
-    before = F.aggregate("__f", F.lit(0), lambda n, f: n + F.when(bucket(f) < F.col("__cut"), 1).otherwise(0))
-    out = queued.withColumn("__cut", cut_range).withColumn("__n", before).join(last, [*cell, "__t"], "left")
-    copies = (F.col("__n") + F.coalesce("__more", zero)).cast("int")
-    out = out.withColumn("copies", copies)
-    return out.select(*kept, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    last = common.written(last.groupBy(*cell, "__t").agg(F.count("*").alias("__more")), "mix-cut")
+    before = F.aggregate("__f", F.lit(0), lambda n, f: n + F.when(bucket(f) < cut, 1).otherwise(0))
+    out = queued.withColumn("__n", before).join(last, [*cell, "__t"], "left")
+    out = out.withColumn("copies", (F.col("__n") + F.coalesce("__more", zero)).cast("int"))
+    return out.select(*[F.col(x).alias(c) for c, x in own.items()], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it was taken, with their own columns only."""
     columns = docs.columns
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")
-    return mix(docs, **options).where("copies > 0").select(*columns, times).select(*columns)
+    inner = docs.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(columns)])
+    names = {c: f"__in{i}" for i, c in enumerate(columns)}
+    for k in ("doc_id", "text", "source"):
+        options[k] = names[options.get(k, k)]
+    taken = mix(inner, **options).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(x).alias(c) for c, x in names.items()])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Sizes are counted by the number of words that a text splits into; the order is the operator's, spelt out.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from lattiq.llm import common
 from lattiq.llm.hashing import Words, blank_bytes, chunks, pair
 
 #: Bound on the labelled rows that a model is fitted on: those with the smallest hash of their id.
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 3000
 #: Families of features: words, pairs of words, shapes, pairs of shapes, and whether a word repeats the last one.
 _FAMILIES = 5
 
@@ -57,7 +58,8 @@ def decision(texts: list[bytes], weights: np.ndarray, bias: float, p: FtrlParams
 
 def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
     """FTRL-proximal with per-coordinate rates, one text at a time. Without both classes the bias is the mean's logit."""
-    rows = []
+    # all rows in two growing buffers, which go back to the system as a whole
+    held_i, held_x, at = array("i"), array("f"), [0]
     for text in texts:
         idx, val = [], []
         for _, b in features([text], p.bits):
@@ -65,7 +67,10 @@ def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams(
             idx.append(u)
             val.append(p.scale * c / max(len(b), 1))
         i, inverse = np.unique(np.concatenate(idx), return_inverse=True)
-        rows.append((i, np.bincount(inverse, weights=np.concatenate(val), minlength=len(i))))
+        held_i.frombytes(i.astype(np.int32).tobytes())
+        held_x.frombytes(np.bincount(inverse, weights=np.concatenate(val), minlength=len(i)).astype(np.float32).tobytes())
+        at.append(len(held_i))
+    all_i, all_x = np.frombuffer(held_i, dtype=np.int32), np.frombuffer(held_x, dtype=np.float32)
     z, n, w = (np.zeros(1 << p.bits) for _ in range(3))
     mean = float(np.clip(np.mean(labels) if len(labels) else 0.5, 1e-4, 1 - 1e-4))
     bias, bias_n = float(np.log(mean / (1 - mean))), 1.0
@@ -73,8 +78,8 @@ def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams(
         return w.astype(np.float32), bias
     rng = np.random.default_rng(p.seed)
     for _ in range(p.epochs):
-        for k in rng.permutation(len(rows)):
-            i, x = rows[k]
+        for k in rng.permutation(len(texts)):
+            i, x = all_i[at[k] : at[k + 1]], all_x[at[k] : at[k + 1]]
             wi = np.where(np.abs(z[i]) <= p.l1, 0.0, -(z[i] - np.sign(z[i]) * p.l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
             d = float(wi @ x) + bias
             g0 = 1 / (1 + np.exp(-np.clip(d, -35, 35))) - labels[k]
