@@ -20,7 +20,7 @@ from lattiq.llm import common
 from lattiq.llm.hashing import Words, chunks, mix, non_alnum_bytes
 
 #: Bounds on the rows that a model is fitted on, chosen by hash of the id.
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 8000
 #: Bytes of a word's beginning that is a feature beside the word.
 PREFIX = 5
 
@@ -55,11 +55,14 @@ def distinct_words(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarra
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def without_copies(texts: list[bytes], bits: int) -> list[bytes]:
+def features(text: bytes, bits: int) -> np.ndarray:
+    return distinct_words([text], bits)[1].astype(np.int32)
+
+
+def without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Leaves one of near copies in a sample: texts of which 6 of 12 smallest hashes are those of an earlier one go."""
     kept, owner, seeds = [], {}, [np.uint64(2 * k + 1) for k in range(12)]
-    for x in texts:
-        _, idx = distinct_words([x], bits)
+    for idx in rows:
         if len(idx):
             h = idx.astype(np.uint64)
             sign = [(k, int((mix(h * np.uint64(2654435761) + s)).min())) for k, s in enumerate(seeds)]
@@ -71,24 +74,25 @@ def without_copies(texts: list[bytes], bits: int) -> list[bytes]:
                 continue
             for key in sign:
                 owner.setdefault(key, len(kept))
-            kept.append(x)
+            kept.append(idx)
     return kept
 
 
 def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, p: NnpuParams = NnpuParams()) -> Model:
-    """Without positives or without unlabelled texts the score is the prior for every text."""
+    return fit_features([features(x, p.bits) for x in positive], [features(x, p.bits) for x in unlabelled], prior, p)
+
+
+def fit_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: NnpuParams = NnpuParams()) -> Model:
+    """From the distinct buckets of each text. Without positives or without unlabelled texts the score is the prior for
+    every text."""
     prior = float(np.clip(prior * p.prior_margin, 1e-4, 0.9))
     weights, bias = np.zeros(1 << p.bits), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model(weights.astype(np.float32), bias, p.bits)
-    positive = without_copies(positive, p.bits)
+    positive = without_copies(positive)
     texts = [*positive, *unlabelled]
-    t, idx = [], []
-    for first, part in chunks((x.decode("utf-8", "surrogatepass") for x in texts)):
-        a, b = distinct_words(part, p.bits)
-        t.append(a + first)
-        idx.append(b)
-    t, idx = np.concatenate(t), np.concatenate(idx)
+    t = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])
+    idx = np.concatenate(texts)
     n_p, n_u = len(positive), len(unlabelled)
     in_p = np.bincount(idx[t < n_p], minlength=1 << p.bits)
     in_u = np.bincount(idx[t >= n_p], minlength=1 << p.bits)
@@ -160,9 +164,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive
     positive = known.where("__y = 1").orderBy(F.xxhash64("__id"), "__id").limit(max_positive).select("__id")
     some = texts.select("__id").distinct().orderBy(F.xxhash64(F.lit(1), "__id"), "__id").limit(max_unlabelled)
     ids = positive.withColumn("__p", F.lit(True)).unionByName(some.withColumn("__p", F.lit(False)))
-    got = texts.join(F.broadcast(ids), "__id").groupBy("__id", "__p").agg(F.min("__text").alias("__text")).toPandas().sort_values(["__id", "__p"])
-    part = {k: [x.encode("utf-8", "surrogatepass") for x in g["__text"]] for k, g in got.groupby("__p")}
-    return fit_nnpu(part.get(True, []), part.get(False, []), prior, params)
+    got = texts.join(F.broadcast(ids), "__id").groupBy("__id", "__p").agg(F.min("__text").alias("__text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t.encode("utf-8", "surrogatepass"), params.bits).tobytes() for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__p"), pa.array(x, pa.binary())], names=["__id", "__p", "x"])
+
+    schema = got.select("__id", "__p").schema.add("x", "binary")
+    rows = got.mapInArrow(hashed, schema).toPandas().sort_values(["__id", "__p"])  # buckets of the bounded samples, not their texts
+    part = {k: [np.frombuffer(x, dtype=np.int32) for x in g["x"]] for k, g in rows.groupby("__p")}
+    return fit_features(part.get(True, []), part.get(False, []), prior, params)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
