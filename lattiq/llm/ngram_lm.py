@@ -30,7 +30,7 @@ from lattiq.llm.hashing import Words, blank_bytes, chunks, mix
 
 MU = 30.0
 #: Bytes of text in a block, tokens in a shard, and texts in a block (the top bit of 16 marks training texts).
-BLOCK_BYTES, SHARD_TOKENS, BLOCK_TEXTS = 2 << 20, 3_000_000, 30_000
+BLOCK_BYTES, SHARD_TOKENS, BLOCK_TEXTS = 2 << 20, 1_500_000, 30_000
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 
 
