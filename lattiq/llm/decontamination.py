@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import table
-from lattiq.llm.hashing import Words, chunks, non_alnum_bytes, pair
+from lattiq.llm.hashing import Words, chunks, folded, non_alnum_bytes, pair
 
 #: Items in one index, which goes to every executor; more items are searched index by index.
 MAX_ITEMS = 50_000
@@ -67,7 +67,7 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 
 def build_index(items: list[tuple[int, str]], p: Params = Params()) -> Index:
     """Items without words can't be found and are left out; items with equal texts are all found."""
-    words = [(i, Words([(t or "").encode("utf-8", "surrogatepass")], non_alnum_bytes()).hash) for i, t in items]
+    words = [(i, Words([folded((t or "").encode("utf-8", "surrogatepass"))], non_alnum_bytes()).hash) for i, t in items]
     words = [(i, h) for i, h in words if len(h)]
     ids = [i for i, _ in words]
     uniq = [np.unique(h, return_counts=True) for _, h in words]
@@ -177,7 +177,7 @@ def search(x: Index, texts: list[bytes]) -> list[dict[int, float]]:
     found: list[dict[int, float]] = [{} for _ in texts]
     if not x.ids:
         return found
-    w = Words(texts, non_alnum_bytes())
+    w = Words([folded(t) for t in texts], non_alnum_bytes())
     pos = np.minimum(np.searchsorted(x.terms, w.hash), len(x.terms) - 1)
     known = x.terms[pos] == w.hash
     size, step = 2 * x.longest, x.longest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -73,8 +74,15 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK) -> Iterator[tuple[in
         yield first, held
 
 
+def folded(text: bytes) -> bytes:
+    """The text without case in any script, composed: one form for e and an accent, and for a sharp s and its capitals."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", text.decode("utf-8", "surrogatepass").casefold()).encode("utf-8", "surrogatepass")
+
+
 class Words:
-    """The words of a chunk of texts: hash, first and last byte, text number."""
+    """The words of a chunk of texts: hash, first and last byte, text number. Lower case is that of A to Z."""
 
     def __init__(self, texts: list[bytes], blanks: np.ndarray, lower: bool = True):
         raw = b" ".join(texts) + b" "

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
-from lattiq.llm.hashing import Words, chunks, mix, non_alnum_bytes
+from lattiq.llm.hashing import Words, chunks, folded, mix, non_alnum_bytes
 
 #: Bounds on the rows that a model is fitted on, chosen by hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 8000
@@ -48,7 +48,7 @@ class Model:
 
 def distinct_words(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of the distinct lower-cased words and word beginnings of each text, ordered by text."""
-    w = Words(texts, non_alnum_bytes())
+    w = Words([folded(t) for t in texts], non_alnum_bytes())
     bucket = np.concatenate([w.hash, w.prefixes(PREFIX) * np.uint64(0xD6E8FEB86659FD93)]) >> np.uint64(64 - bits)
     key = (np.concatenate([w.text, w.text]).astype(np.uint64) << np.uint64(bits)) | bucket
     key = np.unique(key)

@@ -71,3 +71,8 @@ def test_held_out_rows_of_the_tables(spark):
     rows = toxicity.op7_toxicity(spark, sf).collect()
     clean = [r.predicted for r in rows if r.held_out and r.doc_id in labels and labels[r.doc_id].toxic == 0]
     assert np.mean(clean) < 0.03
+
+
+def test_toxicity_ignores_case_of_all_letters():
+    for a, b in (("über Ñandú grob", "ÜBER ÑANDÚ GROB"), ("straße", "STRASSE"), ("café", "CAFÉ")):
+        assert (toxicity.features(a.encode(), 20) == toxicity.features(b.encode(), 20)).all()

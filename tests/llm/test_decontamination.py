@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 
@@ -56,3 +57,11 @@ def test_odd_rows(spark):
     assert d.contaminated(docs.limit(0), items).count() == 0
     clean = d.without_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert clean.columns == docs.columns and clean.count() == 2
+
+
+def test_capitals_of_other_letters():
+    """Items stand in capitals, decomposed or with a sharp s spelt out; only A to Z have capitals in bytes."""
+    text = "el niño corrió según él más allá del jardín größer während die straße überall müde"
+    x = d.build_index([(1, text)])
+    for other in (text.upper(), unicodedata.normalize("NFD", text), unicodedata.normalize("NFD", text.upper()), text.title()):
+        assert d.search(x, [f"Antes {other} después".encode()])[0].keys() == {0}
