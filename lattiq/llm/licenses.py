@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
 Every sentence of a whole text that holds an anchor word is a candidate; one without any is no notice, however near ("Mit." is
-near to "SPDX-License-Identifier: MIT", and German). Equal sentences are compared once.
+near to "SPDX-License-Identifier: MIT", and German). Equal sentences are compared once. Beside its sentences, a text's paragraphs,
+its leading comment and the whole of it are compared with standard headers and whole licence texts, line breaks joined.
+A licence wins over "proprietary", since licence texts also reserve rights.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,28 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright, all rights reserved."),
 )
+#: Titles and standard headers by licence; the whole texts are beside this file.
+HEADERS = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    *((name, f"This {it} is free software{mark} you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation{either} version {v} of the License, or (at your option) any later version.{rest}")
+      for name, it, mark, title, either, v, more in (
+          ("GPL-3.0", "program", ":", "GNU General Public License", ", either", "3", "GNU General Public License"),
+          ("GPL-2.0", "program", ";", "GNU General Public License", "; either", "2", "GNU General Public License"),
+          ("LGPL-3.0", "library", ":", "GNU Lesser General Public License", ", either", "3", "GNU Lesser General Public License"),
+          ("LGPL-2.1", "library", ";", "GNU Lesser General Public License", "; either", "2.1", "GNU Lesser General Public License"),
+          ("AGPL-3.0", "program", ":", "GNU Affero General Public License", ", either", "3", "GNU Affero General Public License"))
+      for rest in ("", f" This {it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {more} for more details. You should have received a copy of the {more} along with this {it}. If not, see https://www.gnu.org/licenses/.")),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("proprietary", "Copyright. All rights reserved."),
+)
 #: Words of which a sentence must hold one to be compared.
 ANCHORS = ("licensed", "license", "licence", "released", "copyright", "rights", "reserved", "spdx", "gnu", "gpl", "apache", "mozilla", "dedicated", "domain", "cc0")
 #: Base names of licence files.
@@ -45,28 +70,33 @@ THRESHOLD = 0.7
 
 _TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 _SENTENCE_END = r"[\n\r]+|(?<=[.!?;])[\x20\x09]+"
+#: Lines without a letter or digit part paragraphs; comments lead a file, after blanks.
+_PARAGRAPH_END = r"\n(?:[^A-Za-z0-9\n]*+\n)++"
+_LEADING = r"^\s*+(?:[\x20\x09]*+(?:#|//|/?\*|--|;|%|<!--|\"\"\")[^\n]*+\n?+)++"
 _ANCHOR = r"(?i)\b(?:" + "|".join(ANCHORS) + r")\b"
 
 
-def template_weights() -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float]], float]:
+def notices() -> tuple[tuple[str, str], ...]:
+    """Headers and whole texts by licence, read on the driver."""
+    return HEADERS + tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+
+
+def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[str, float]], list[tuple[int, str, str, float]], float]:
     """(term, idf), (template, licence, term, weight over the template's norm), and the idf of any other term."""
-    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in TEMPLATES]
+    counts = [Counter(re.findall(_TERM, text.lower())) for _, text in templates]
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
     weights = []
-    for k, ((name, _), c) in enumerate(zip(TEMPLATES, counts)):
+    for k, ((name, _), c) in enumerate(zip(templates, counts)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         weights += [(k, name, t, n * idf[t] / norm) for t, n in c.items()]
     return sorted(idf.items()), weights, math.log(1 + len(counts)) + 1
 
 
-def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """From (path, text): (path, licence, score) of the paths whose text holds a notice; the best one, then the first by name."""
-    spark = files.sparkSession
-    idf, weights, other = template_weights()
-    has = lambda s: s.rlike(_ANCHOR)
-    found = files.where(has(F.col("text"))).select("path", F.explode(F.filter(F.split("text", _SENTENCE_END), has)).alias("s"))
-    found = common.written(found.select("path", F.md5("s").alias("k"), "s"), "licence-sentences")
+def _best(found: DataFrame, known: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
+    """From (path, k, s), k the hash of s: (path, b) with the best template's (other, neg, licence)."""
+    spark = found.sparkSession
+    idf, weights, other = template_weights(known)
     each = found.groupBy("k").agg(F.min("s").alias("s"))
     terms = each.select("k", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(_TERM), F.lit(0))).alias("term")).groupBy("k", "term").agg(F.count("*").alias("n"))
     # the two tables below are as large as the templates, whatever the input
@@ -76,8 +106,21 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     norms = terms.groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     dots = terms.join(templates, "term").groupBy("k", "template", "licence").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scores = dots.join(norms, "k").withColumn("score", F.least(F.col("dot") / F.col("norm"), F.lit(1.0))).where(F.col("score") >= threshold)
-    best = scores.groupBy("k").agg(F.min(F.struct((-F.round("score", 9)).alias("neg"), "licence")).alias("b"))
-    hits = found.select("path", "k").join(best, "k").groupBy("path").agg(F.min("b").alias("b"))
+    best = scores.groupBy("k").agg(F.min(F.struct((F.col("licence") == "proprietary").alias("other"), (-F.round("score", 9)).alias("neg"), "licence")).alias("b"))
+    return found.select("path", "k").join(best, "k").select("path", "b")
+
+
+def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """From (path, text): (path, licence, score) of the paths whose text holds a notice; a licence before "proprietary",
+    then the best one, then the first by name."""
+    has = lambda s: s.rlike(_ANCHOR)
+    some = files.where(has(F.col("text")))
+    found = some.select("path", F.explode(F.filter(F.split("text", _SENTENCE_END), has)).alias("s"))
+    found = common.written(found.select("path", F.md5("s").alias("k"), "s"), "licence-sentences")
+    parts = F.array_append(F.array_append(F.split("text", _PARAGRAPH_END), F.regexp_extract("text", _LEADING, 0)), F.col("text"))
+    wide = some.select("path", F.explode(F.array_distinct(F.filter(parts, has))).alias("s"))
+    wide = common.written(wide.select("path", F.md5("s").alias("k"), "s"), "licence-notices")
+    hits = _best(found, TEMPLATES, threshold).unionByName(_best(wide, notices(), threshold)).groupBy("path").agg(F.min("b").alias("b"))
     return hits.select("path", "b.licence", (-F.col("b.neg")).alias("score"))
 
 

@@ -1,6 +1,8 @@
 import math
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 from lattiq.llm import licenses as lic
 
@@ -51,3 +53,27 @@ def test_nearest_ancestor_wins(spark):
     got = {(r.path, r.licence, r.via, r.from_dir) for r in lic.scan_licences(files).collect()}
     assert {("a/b/c/f.py", "Apache-2.0", "inherited", "a"), ("z/f.py", "MIT", "inherited", ""), ("a/b/g.py", "proprietary", "own", None), ("top.py", "MIT", "inherited", ""), ("a/b/LICENSE.txt", "Apache-2.0", "inherited", "a")} <= got
     assert lic.scan_licences(files).count() == len(rows) and lic.scan_licences(files.limit(0)).count() == 0
+
+
+def wrapped(text, width, mark):
+    return "\n\n".join("\n".join(mark + line for line in textwrap.wrap(p, width)) for p in text.split("\n\n"))
+
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_standard_files_and_headers(spark):
+    texts = {p.stem: p.read_text() for p in (Path(lic.__file__).parent / "licence_texts").glob("*.txt")}
+    assert {"MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"} <= texts.keys()
+    rows = [(f"whole/{k}", t.replace("<year>", "2021").replace("<holder>", "Jane Roe and others")) for k, t in texts.items()]
+    rows += [(f"wrapped/{k}", "Copyright 2019, 2020 Some Company, Inc.\n\n" + wrapped(texts[k], 55, " * ")) for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause")]
+    rows += [("head/GPL-3.0", "\n".join(texts["GPL-3.0"].split("\n")[:12])), ("head/Apache-2.0", "\n".join(texts["Apache-2.0"].split("\n")[:6]))]
+    code = "\n\nimport os\n\n\ndef main():\n    return os.getcwd()\n" * 5
+    rows += [("header/GPL-3.0", GPL3 + code), ("header/GPL-2.0", wrapped(GPL3.replace("version 3", "version 2"), 70, "# ") + code), ("header/LGPL-3.0", GPL3.replace("program", "library").replace("GNU General", "GNU Lesser General") + code)]
+    rows += [("header/MIT", wrapped(texts["MIT"], 60, "// ") + code), ("header/BSD-3-Clause", wrapped(texts["BSD-3-Clause"], 60, "# ").replace("\n\n", "\n#\n") + code)]
+    rows += [("other/proprietary", "Copyright 2020 Acme.\nAll rights reserved."), ("other/none", "The rights of the people and copyright in general are a long story.\n\n" + "And so on. " * 60)]
+    got = {r.path: r.licence for r in lic.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {p: p.split("/")[1] for p, _ in rows if p != "other/none"}
