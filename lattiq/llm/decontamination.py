@@ -3,7 +3,8 @@
 A text's passages are windows of twice the longest item's words, one item's length apart, so an item's words lie whole in
 some passage. Impacts are BM25 parts over the item's own total, so a score is the share of an item's weight that the
 passage covers, and one threshold holds for all items. Retrieved items are verified: enough of the five-word shingles
-both of their first part (the question) and of their last (the answer) must be in the passage.
+of the whole item must be in the passage, with half of the words of its first part (the question) and of its last (the
+answer); or enough of the shingles of either part, which holds where other words stand between them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class Params:
     block: int = 4
     shingle: int = 5
     least_overlap: float = 0.8
+    least_words: float = 0.5
     answer_share: float = 0.3
 
 
@@ -50,6 +52,8 @@ class Index:
     block_common: np.ndarray  # by range: what terms of many items give to one of its items at most
     question: list[tuple[np.ndarray, int]]  # distinct shingles, and the words of one
     answer: list[tuple[np.ndarray, int]]
+    whole: list[tuple[np.ndarray, int]]
+    words: list[tuple[np.ndarray, np.ndarray]]  # distinct words of question and answer
     longest: int
     params: Params = field(default_factory=Params)
 
@@ -100,7 +104,9 @@ def build_index(items: list[tuple[int, str]], p: Params = Params()) -> Index:
     cut = [max(1, int(round(len(h) * (1 - p.answer_share)))) for _, h in words]
     halves = [(h[:c], h[c:] if c < len(h) else h) for (_, h), c in zip(words, cut)]
     question, answer = ([(np.unique(shingles(x[k], p.shingle)), min(p.shingle, len(x[k]))) for x in halves] for k in (0, 1))
-    return Index(ids, terms, at, it, im, best, many, block_at, block_of, block_best, block_common, question, answer, int(lengths.max()) if n else 1, p)
+    whole = [(np.unique(shingles(h, p.shingle)), min(p.shingle, len(h))) for _, h in words]
+    distinct = [(np.unique(a), np.unique(b)) for a, b in halves]
+    return Index(ids, terms, at, it, im, best, many, block_at, block_of, block_best, block_common, question, answer, whole, distinct, int(lengths.max()) if n else 1, p)
 
 
 def block_max_wand(x: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -172,6 +178,15 @@ def _distinct(x: np.ndarray, below: int) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
+def _verified(x: Index, item: int, h: np.ndarray) -> bool:
+    """Whether a passage's words hold enough of an item."""
+    p = x.params
+    whole, question, answer = (np.isin(part, shingles(h, n)).mean() for part, n in (x.whole[item], x.question[item], x.answer[item]))
+    if whole >= p.least_overlap and min(np.isin(part, h).mean() for part in x.words[item]) >= p.least_words:
+        return True
+    return min(question, answer) >= p.least_overlap
+
+
 def search(x: Index, texts: list[bytes]) -> list[dict[int, float]]:
     """For each text its verified items and their best scores."""
     found: list[dict[int, float]] = [{} for _ in texts]
@@ -219,8 +234,7 @@ def search(x: Index, texts: list[bytes]) -> list[dict[int, float]]:
         s, e, t = start[k], stop[k], text[k]
         terms = np.unique(pos[s:e][known[s:e]])
         for item, score in block_max_wand(x, terms, p.threshold):
-            parts = [np.isin(part, shingles(w.hash[s:e], n)).mean() for part, n in (x.question[item], x.answer[item])]
-            if min(parts) >= p.least_overlap:
+            if _verified(x, item, w.hash[s:e]):
                 found[t][item] = max(score, found[t].get(item, 0.0))
     return found
 

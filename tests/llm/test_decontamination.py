@@ -65,3 +65,22 @@ def test_capitals_of_other_letters():
     x = d.build_index([(1, text)])
     for other in (text.upper(), unicodedata.normalize("NFD", text), unicodedata.normalize("NFD", text.upper()), text.title()):
         assert d.search(x, [f"Antes {other} después".encode()])[0].keys() == {0}
+
+
+def test_one_word_edits():
+    """An item with one word changed is found wherever 0.8 of its shingles remain, and without its answer it is not."""
+    rng = random.Random(6)
+    items = [(n, " ".join(f"v{rng.randrange(5000)}" for _ in range(n))) for n in range(15, 61)]
+    x = d.build_index(items)
+    pad = ["zz", "yy", "xx"] * 10
+    for k, (_, text) in enumerate(items):
+        w = text.split()
+        whole = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for at in range(len(w)):
+            e = [*w[:at], "changed", *w[at + 1 :]]
+            left = len(whole & {tuple(e[i : i + 5]) for i in range(len(e) - 4)}) / len(whole)
+            got = k in d.search(x, [" ".join(pad + e + pad).encode()])[0]
+            assert got or left < 0.8, (len(w), at, left)
+        assert k not in d.search(x, [" ".join(pad + w[: int(0.7 * len(w))] + pad).encode()])[0]
+        parted = [*w[: round(0.7 * len(w))], "answer", *w[round(0.7 * len(w)) :]]
+        assert k in d.search(x, [" ".join(pad + parted + pad).encode()])[0]
