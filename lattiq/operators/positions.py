@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges of a hash, at least; a session with more shuffle partitions gets more of them.
+_LEAST_CELL_BITS = 12
+#: Rows sampled for each range of an order that is no hash, and the most ranges.
+_SAMPLED, _MOST_CELLS = 20, 4096
+
 
 def hash_order(key: Column | str) -> Column:
     """A multiplicative hash of an integer key, the same in any SQL: the library's shuffle order."""
@@ -13,15 +20,47 @@ def hash_order(key: Column | str) -> Column:
     return (key.cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
 
 
-def with_positions(df: DataFrame, *order: Column | str, out: str = "pos") -> DataFrame:
-    """Adds 0, 1, 2, ... in the given order.
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_cell(df: DataFrame, hashed: Column) -> Column:
+    """The range of a ``hash_order`` value: its top bits, four ranges a shuffle partition at least."""
+    bits = min(32, max(_LEAST_CELL_BITS, math.ceil(math.log2(4 * _partitions(df)))))
+    return F.floor(hashed / F.lit(float(1 << (32 - bits)))).cast("bigint")
+
+
+def range_cell(df: DataFrame, *order: Column | str) -> Column:
+    """The range of a row's key among ranges of nearly equal size. The bounds are literals, quantiles of a sample of keys (those
+    with the smallest hashes), so however often the column is evaluated, and beside whatever columns, a row keeps its range."""
+    n = min(_MOST_CELLS, max(16, 4 * _partitions(df)))
+    keys = df.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    names = keys.columns
+    sample = keys.orderBy(F.xxhash64(*names)).limit(_SAMPLED * n).orderBy(*names).collect()  # a bounded number of keys
+    picked = sorted({round(len(sample) * i / n) for i in range(1, n)} - {0, len(sample)})
+    if not picked:
+        return F.lit(0).cast("bigint")
+    struct = lambda values: F.struct(*[F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in zip(names, values)])
+    bounds = [struct(sample[i]) for i in picked]
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    step = max(1, math.isqrt(len(bounds)))  # two short searches
+    below = lambda a: F.size(F.filter(a, lambda b: b <= key))
+    coarse = below(F.array(*bounds[::step]))
+    fine = below(F.slice(F.array(*bounds), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step)))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine).cast("bigint")
+
+
+def with_positions(df: DataFrame, *order: Column | str, out: str = "pos", cell: Column | None = None) -> DataFrame:
+    """Adds 0, 1, 2, ... in the given ascending order; nulls come first, and ties are numbered in any order.
 
-    Rows are dealt into sorted ranges; a range's rows are numbered where they are, and ranges are set off by the counts of
-    those before, which is the only window without a partition: it has a row for each range.
+    Rows are dealt by ``cell``, a function of the row that never falls as the order rises: top bits of a hash, or else ranges
+    by literal bounds. A cell's rows are numbered by a window of their own, and set off by the counts of the cells before,
+    the only window without a partition: it has a row for each cell. An empty table stays empty.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    return ranged.join(F.broadcast(offsets), "__p").withColumn(out, F.col("__o") + F.col("__i")).drop("__m", "__p", "__i", "__o")
+    cell = range_cell(df, *order) if cell is None else cell
+    rows = df.withColumn("__cell", cell)
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__cell").agg(F.count("*").alias("__n")).select(F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__cell").orderBy(*order)
+    numbered = rows.withColumn("__i", F.row_number().over(inside) - 1)
+    return numbered.join(F.broadcast(offsets), F.col("__cell").eqNullSafe(F.col("__at"))).withColumn(out, F.col("__before") + F.col("__i")).drop("__i", "__before", "__at", "__cell")

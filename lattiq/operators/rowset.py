@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattiq.operators.positions import hash_order, with_positions
+from lattiq.operators.positions import hash_cell, hash_order, with_positions
 
 KEEP, CONSTANT_SIZE, REMOVE = "keep", "constant_size", "remove"
 
@@ -28,7 +28,8 @@ def excluded(df: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int = 0, out: str = "pos") -> DataFrame:
     """Positions in shuffle order."""
-    return with_positions(df, hash_order(F.col(key) + F.lit(seed)), key, out=out)
+    h = hash_order(F.col(key) + F.lit(seed))
+    return with_positions(df, h, key, out=out, cell=hash_cell(df, h))
 
 
 def n_batches(n: int, batch_size: int, mode: str = KEEP, steps: int = 0) -> int:
@@ -68,15 +69,20 @@ def stepped(df: DataFrame, steps: int, batch_size: int, n: int, pos: str = "pos"
 def _ranked(df: DataFrame, key: str, *by: str) -> DataFrame:
     """Adds ``__rank`` in hash order (within each group, if there are groups) and ``__n``, the rows that are ranked together.
 
-    Rows of a group are a run of positions of the whole table, so a group of a third of all rows spreads over tasks like any
-    other rows; only each group's first position and count are joined back. Null is a group.
+    A group is dealt over ranges of the hash, and each range is numbered by a window of its own, so a group of a third of all
+    rows spreads over tasks; a range's place in its group is the sum of the group's counts before it. Null is a group.
     """
-    ranked = with_positions(df, *by, hash_order(key), key, out="__rank")
     if not by:
+        ranked = with_positions(df, hash_order(key), key, out="__rank", cell=hash_cell(df, hash_order(key)))
         return ranked.withColumn("__n", df.select(F.count("*")).scalar())
-    stats = ranked.groupBy(*[F.col(c).alias(f"__by_{c}") for c in by]).agg(F.min("__rank").alias("__first"), F.count("*").alias("__n"))
-    on = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
-    return ranked.join(stats, on).withColumn("__rank", F.col("__rank") - F.col("__first")).drop("__first", *[f"__by_{c}" for c in by])
+    names = [f"__by{i}" for i in range(len(by))]
+    rows = df.withColumn("__cell", hash_cell(df, hash_order(key)))
+    counts = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("__cell").alias("__at")).agg(F.count("*").alias("__k"))
+    group = Window.partitionBy(*names)
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__k").over(group.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__k").over(group)}).drop("__k")
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(hash_order(key), key)) - 1)
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)] + [F.col("__cell").eqNullSafe(F.col("__at"))]
+    return rows.join(counts, on).withColumn("__rank", F.col("__before") + F.col("__i")).drop("__before", "__i", "__cell", "__at", *names)
 
 
 def picked(df: DataFrame, key: str, proportion: float, *by: str) -> DataFrame:
@@ -127,20 +133,26 @@ def normalized_weights(df: DataFrame, weight: str, *by: str, out: str = "p") ->
 
 def resampled(df: DataFrame, weight: str, size: int, key: str, seed: int = 0) -> DataFrame:
     """``size`` draws with replacement. The draws are the points (k + u_k) / size of a stratified sample, u by hash, and a row
-    is drawn by each point in its part of the cumulative weights: rows count their own points, so there is no join."""
-    pos = with_positions(df, hash_order(F.col(key) + F.lit(seed)), key, out="__pos")
-    bucket = F.floor(F.col("__pos") / 65536)
-    cells = pos.withColumn("__b", bucket)
-    sums = cells.groupBy("__b").agg(F.sum(weight).alias("__w"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__b", F.coalesce(F.sum("__w").over(before), F.lit(0.0)).alias("__o"), F.sum("__w").over(Window.partitionBy()).alias("__t"))
-    inside = Window.partitionBy("__b").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("__c", F.sum(weight).over(inside)).join(F.broadcast(sums), "__b")
-    end = (F.col("__o") + F.col("__c")) / F.col("__t") * size
-    start = end - F.col(weight) / F.col("__t") * size
+    is drawn by each point in its part of the cumulative weights: rows count their own points, so there is no join.
+
+    Rows are dealt by ranges of a hash of the key; a range's total is its last cumulative weight, and ranges add up in their
+    order, so that one row's part ends exactly where the next one's begins and no point falls between. Weights are not negative;
+    a null weight is 0. If they sum to 0, no row is drawn.
+    """
+    h = hash_order(F.col(key) + F.lit(seed))
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    rows = df.withColumns({"__b": hash_cell(df, h), "__w": w})
+    inside = Window.partitionBy("__b").orderBy(h, key)
+    rows = rows.withColumns({"__to": F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "__from": F.coalesce(F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    cells = rows.groupBy("__b").agg(F.max("__to").alias("__c"))
+    before = Window.orderBy("__b")
+    cells = cells.select("__b", F.coalesce(F.sum("__c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__o"), F.sum("__c").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("__e"))
+    cells = cells.withColumn("__t", F.max("__e").over(Window.partitionBy())).select("__b", "__o", "__t")
+    rows = rows.join(F.broadcast(cells), "__b").where("__t > 0")
+    end, start = (F.col("__o") + F.col("__to")) / F.col("__t") * size, (F.col("__o") + F.col("__from")) / F.col("__t") * size
     u = lambda k: (hash_order(k + F.lit(seed + 1)) / F.lit(4294967296.0))
     points = F.filter(F.transform(F.sequence(F.greatest(F.floor(start) - 1, F.lit(0)), F.floor(end)), lambda k: F.struct(k.alias("draw"), (k + u(k)).alias("x"))), lambda p: (p["x"] >= start) & (p["x"] < end) & (p["draw"] < size))
-    return cells.withColumn("draw", F.explode(points)).withColumn("draw", F.col("draw.draw")).drop("__pos", "__b", "__c", "__o", "__t")
+    return rows.withColumn("draw", F.explode(points)).withColumn("draw", F.col("draw.draw")).drop("__b", "__w", "__to", "__from", "__o", "__t")
 
 
 def split(df: DataFrame, key: str, test_fraction: float) -> tuple[DataFrame, DataFrame]:

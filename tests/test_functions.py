@@ -104,7 +104,7 @@ def test_mining_regimes(spark, case):
 
 def test_positions_batches_and_draws(spark):
     df = spark.range(10).withColumnRenamed("id", "i")
-    pos = with_positions(df, F.col("i").desc())
+    pos = with_positions(df, -F.col("i"))
     assert [(r.i, r.pos) for r in pos.orderBy("pos").collect()] == [(9 - k, k) for k in range(10)]
     sizes = lambda mode: sorted((r["batch"], r["count"]) for r in rowset.batched(pos, 4, 10, mode).groupBy("batch").count().collect())
     assert sizes(rowset.KEEP) == [(0, 4), (1, 4), (2, 2)] and sizes(rowset.REMOVE) == [(0, 4), (1, 4)] and sizes(rowset.CONSTANT_SIZE) == [(0, 4), (1, 4), (2, 4)]
