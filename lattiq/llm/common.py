@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Sets a checkpoint folder from spark.checkpoint.dir; one in /tmp only where that is unset, as in tests."""
+    """Sets the checkpoint folder from spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a
+    cluster it is an error, since executors would each write to their own disk."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattiq-"))
     return spark
 
 
@@ -49,6 +57,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys of sorted batches; a run may span batches."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if b.empty:
+            continue
+        key = b[by].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(b)]
+        for s, e in zip(cuts, cuts[1:]):
+            part = b.iloc[s:e]
+            if held and (held[-1][by].iloc[-1].to_numpy() != part[by].iloc[0].to_numpy()).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
+from lattiq.llm.common import runs
 
 
 @dataclass(frozen=True)
@@ -81,24 +82,6 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys of sorted batches; a run may span batches."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if b.empty:
-            continue
-        key = b[by].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(b)]
-        for s, e in zip(cuts, cuts[1:]):
-            part = b.iloc[s:e]
-            if held and (held[-1][by].iloc[-1].to_numpy() != part[by].iloc[0].to_numpy()).any():
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, p: PStable = PStable(), vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector.
 
@@ -136,7 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, p: PStable = PStab
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for g in _groups(batches, by):
+        for g in runs(batches, by):
             if len(g) < 2:
                 continue
             t, lo, hi = int(g["t"].iloc[0]), int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
