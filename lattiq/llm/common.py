@@ -75,6 +75,14 @@ def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFram
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """A join with a table that has one row for each key, when a key may have a third of the other table's rows: these are dealt
+    over ``salts`` parts, and the one row goes to each part. Spark sends the one side around instead if it is small."""
+    dealt = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

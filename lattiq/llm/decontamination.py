@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from lattiq.llm.common import table
 from lattiq.llm.hashing import Words, chunks, folded, non_alnum_bytes, pair
 
-#: Items in one index, which goes to every executor; more items are searched index by index.
+#: Items in one index, which goes to every executor; more items are searched index by index, by the statistics of all.
 MAX_ITEMS = 50_000
+#: Bytes of a benchmark's texts, which the driver holds; a longer benchmark is an error, not cut.
+MAX_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -69,16 +71,44 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Statistics:
+    """What a score takes from all items, whatever part of them an index holds."""
+
+    n: int
+    terms: np.ndarray
+    df: np.ndarray
+    mean: float
+    longest: int
+
+
+def item_words(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+    """(id, hashes of the words in order) of the items that have words."""
+    words = [(i, Words([folded((t or "").encode("utf-8", "surrogatepass"))], non_alnum_bytes()).hash) for i, t in items]
+    return [(i, h) for i, h in words if len(h)]
+
+
+def statistics(words: list[tuple[int, np.ndarray]]) -> Statistics:
+    terms, df = np.unique(np.concatenate([np.unique(h) for _, h in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+    lengths = [len(h) for _, h in words]
+    return Statistics(len(words), terms, df, float(np.mean(lengths)) if words else 1.0, max(lengths, default=1))
+
+
 def build_index(items: list[tuple[int, str]], p: Params = Params()) -> Index:
     """Items without words can't be found and are left out; items with equal texts are all found."""
-    words = [(i, Words([folded((t or "").encode("utf-8", "surrogatepass"))], non_alnum_bytes()).hash) for i, t in items]
-    words = [(i, h) for i, h in words if len(h)]
+    words = item_words(items)
+    return index_of(words, statistics(words), p)
+
+
+def index_of(words: list[tuple[int, np.ndarray]], of_all: Statistics, p: Params = Params()) -> Index:
+    """The index of some of the items, with the weights that they have among all."""
     ids = [i for i, _ in words]
     uniq = [np.unique(h, return_counts=True) for _, h in words]
-    terms, df = np.unique(np.concatenate([u for u, _ in uniq]) if uniq else np.zeros(0, np.uint64), return_counts=True)
+    terms = np.unique(np.concatenate([u for u, _ in uniq])) if uniq else np.zeros(0, np.uint64)
+    df = of_all.df[np.searchsorted(of_all.terms, terms)]
     n, lengths = len(ids), np.array([len(h) for _, h in words], dtype=float)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    mean = lengths.mean() if n else 1.0
+    idf = np.log1p((of_all.n - df + 0.5) / (df + 0.5))
+    mean = of_all.mean
     t, it, im = [], [], []
     for k, (u, c) in enumerate(uniq):
         pos = np.searchsorted(terms, u)
@@ -92,7 +122,7 @@ def build_index(items: list[tuple[int, str]], p: Params = Params()) -> Index:
     at = np.searchsorted(t, np.arange(len(terms) + 1))
     best = np.maximum.reduceat(im, at[:-1]) if len(terms) else im
     # terms of many items bound a passage little one by one, but no item gets more from them than its own share of them
-    many = df > max(1.0, p.common * n)
+    many = df > max(1.0, p.common * of_all.n)
     # blocks are ranges of items; a term's blocks are those in which it occurs
     key = t.astype(np.int64) * (n // p.block + 1) + it // p.block
     heads = np.flatnonzero(np.diff(key, prepend=-1)) if n else np.zeros(0, np.int64)
@@ -106,7 +136,7 @@ def build_index(items: list[tuple[int, str]], p: Params = Params()) -> Index:
     question, answer = ([(np.unique(shingles(x[k], p.shingle)), min(p.shingle, len(x[k]))) for x in halves] for k in (0, 1))
     whole = [(np.unique(shingles(h, p.shingle)), min(p.shingle, len(h))) for _, h in words]
     distinct = [(np.unique(a), np.unique(b)) for a, b in halves]
-    return Index(ids, terms, at, it, im, best, many, block_at, block_of, block_best, block_common, question, answer, whole, distinct, int(lengths.max()) if n else 1, p)
+    return Index(ids, terms, at, it, im, best, many, block_at, block_of, block_best, block_common, question, answer, whole, distinct, of_all.longest, p)
 
 
 def block_max_wand(x: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -247,7 +277,9 @@ def contaminated(docs: DataFrame, items: list[tuple[int, str]], p: Params = Para
     are joined row by row within one pass. Columns that are named like an added one are replaced.
     """
     kept = [c for c in docs.columns if c not in ("item_ids", "best_score")]
-    parts = [build_index(items[k : k + MAX_ITEMS], p) for k in range(0, len(items), MAX_ITEMS)]
+    words = item_words(items)
+    of_all = statistics(words)
+    parts = [index_of(words[k : k + MAX_ITEMS], of_all, p) for k in range(0, len(words), MAX_ITEMS)]
     out = docs.select(*kept, F.array().cast("array<bigint>").alias("item_ids"), F.lit(None).cast("double").alias("best_score"))
     for index in parts:
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -268,17 +300,23 @@ def contaminated(docs: DataFrame, items: list[tuple[int, str]], p: Params = Para
 
 
 def benchmark_items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The test items, which are few whatever the corpus; rows with a null id or text are left out."""
+    """The test items, which are few whatever the corpus; rows with a null id or text are left out. More than ``MAX_BYTES`` of
+    them are a ValueError."""
+    if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MAX_BYTES:
+        raise ValueError(f"the benchmark has more than {MAX_BYTES} bytes; split it and decontaminate by each part")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").collect()
     return sorted((r[0], r[1]) for r in rows)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with their own columns only, whose text holds no test item; null and empty texts hold none, and without items
+    every row stays."""
     columns = docs.columns
     return contaminated(docs, benchmark_items(benchmark)).where(F.size("item_ids") == 0).select(*columns)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Each document, null and empty texts too, with the items that it holds; repeated rows repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, benchmark_items(table(spark, sf_dir, "benchmark")))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("bigint").alias("n_items"), F.col("item_ids"), "best_score")

@@ -132,3 +132,75 @@ class Words:
         if len(new):
             new[0], new[1:] = True, self.text[1:] != self.text[:-1]
         return new
+
+
+#: The five primes of XXH64.
+_X1, _X2, _X3, _X4, _X5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of each span of a byte buffer, all spans at once: a step takes those that are still long enough for it."""
+    at, left = start.astype(np.int64), (end - start).astype(np.int64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ascontiguousarray(np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,)))  # the eight bytes from each place on
+    one_round = lambda acc, x: _rotated(acc + x * _X2, 31) * _X1
+    h = np.full(len(at), np.uint64(seed) + _X5, dtype=np.uint64)
+    i = np.flatnonzero(left >= 32)
+    if len(i):
+        with np.errstate(over="ignore"):
+            lanes = [np.full(len(at), np.uint64(seed) + x, dtype=np.uint64) for x in (_X1 + _X2, _X2, np.uint64(0), np.uint64(0) - _X1)]
+        long = i
+        while len(i):
+            for k in range(4):
+                lanes[k][i] = one_round(lanes[k][i], eight[at[i] + 8 * k])
+            at[i] += 32
+            left[i] -= 32
+            i = i[left[i] >= 32]
+        mixed = sum(_rotated(lanes[k][long], n) for k, n in enumerate((1, 7, 12, 18)))
+        for k in range(4):
+            mixed = (mixed ^ one_round(np.uint64(0), lanes[k][long])) * _X1 + _X4
+        h[long] = mixed
+    h += (end - start).astype(np.uint64)
+    i = np.flatnonzero(left >= 8)
+    while len(i):
+        h[i] = _rotated(h[i] ^ one_round(np.uint64(0), eight[at[i]]), 27) * _X1 + _X4
+        at[i] += 8
+        left[i] -= 8
+        i = i[left[i] >= 8]
+    i = np.flatnonzero(left >= 4)
+    h[i] = _rotated(h[i] ^ (eight[at[i]] & np.uint64(0xFFFFFFFF)) * _X1, 23) * _X2 + _X3
+    at[i] += 4
+    left[i] -= 4
+    i = np.flatnonzero(left)
+    while len(i):
+        h[i] = _rotated(h[i] ^ (eight[at[i]] & np.uint64(0xFF)) * _X5, 11) * _X1
+        at[i] += 1
+        left[i] -= 1
+        i = i[left[i] > 0]
+    h = (h ^ (h >> np.uint64(33))) * _X2
+    h = (h ^ (h >> np.uint64(29))) * _X3
+    return h ^ (h >> np.uint64(32))
+
+
+def shingle_spans(texts: list[bytes], words_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer of all words, lower-cased and parted by one space; begin and end of each shingle in it; and where each text's
+    shingles begin and end. Fewer words are one shingle, none are none."""
+    w = Words(texts, blank_bytes())
+    length = w.end - w.start
+    ends = np.cumsum(length + 1)
+    starts = ends - length - 1
+    kept = ~blank_bytes()[w.buf]
+    kept[w.end] = True  # a blank follows each word
+    buf = w.buf[kept].copy()
+    buf[ends - 1] = 32
+    counts = w.counts()
+    n = np.where(counts > 0, np.maximum(counts - words_each + 1, 1), 0)
+    at = np.concatenate([[0], np.cumsum(n)])
+    first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    begin = np.repeat(first - at[:-1], n) + np.arange(at[-1])
+    last = begin + np.repeat(np.minimum(counts, words_each), n) - 1
+    return buf, starts[begin], ends[last] - 1, at

@@ -107,7 +107,7 @@ def _best(found: DataFrame, known: tuple[tuple[str, str], ...], threshold: float
     dots = terms.join(templates, "term").groupBy("k", "template", "licence").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scores = dots.join(norms, "k").withColumn("score", F.least(F.col("dot") / F.col("norm"), F.lit(1.0))).where(F.col("score") >= threshold)
     best = scores.groupBy("k").agg(F.min(F.struct((F.col("licence") == "proprietary").alias("other"), (-F.round("score", 9)).alias("neg"), "licence")).alias("b"))
-    return found.select("path", "k").join(best, "k").select("path", "b")
+    return common.salted_join(found.select("path", "k"), best, "k").select("path", "b")
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,28 +129,30 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def scan_licences(files: DataFrame, threshold: float = THRESHOLD, is_licence_file: Column | None = None) -> DataFrame:
-    """For each (path, text) row: path, licence, score, via (own, inherited or null) and ``from_dir``.
+def scan_licences(files: DataFrame, threshold: float = THRESHOLD, is_licence_file: Column | None = None, keep: str | None = None) -> DataFrame:
+    """For each (path, text) row: path, licence, score, via (own, inherited or null) and ``from_dir``; and the column ``keep``.
 
     A file with a notice has its own licence. Any other file takes that of the nearest directory above it, its own included,
     that has a licence file with a notice; of several such files in a directory the best counts. Null paths and texts
     are empty; repeated rows repeat, and rows of one path share what any of its texts says.
     """
-    rows = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = F.lit(None) if keep is None else F.col(keep)
+    rows = files.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), kept.alias("__keep"))
     own = common.written(own_licences(rows, threshold), "licences")
     mark = F.col("path").rlike(LICENCE_FILES) if is_licence_file is None else is_licence_file
     marked = files.where(mark).select(F.coalesce("path", F.lit("")).alias("path")).distinct()
     per_dir = own.join(marked, "path", "left_semi").withColumn("dir", parent(F.col("path")))
     per_dir = per_dir.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("neg"), "licence")).alias("d"))
-    paths = rows.select("path").withColumn("dir", parent(F.col("path")))
+    paths = rows.select("path", "__keep").withColumn("dir", parent(F.col("path")))
     # each directory once, with every directory above it: the path join that finds the nearest
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     nearest = paths.select("dir").distinct().select("dir", F.posexplode(F.array_distinct(above)).alias("depth", "above"))
-    nearest = nearest.join(per_dir.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("d.licence", (-F.col("d.neg")).alias("score"), "above"), "depth").alias("up"))
-    out = paths.join(own, "path", "left").join(nearest, "dir", "left")
+    nearest = common.salted_join(nearest, per_dir.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by(F.struct("d.licence", (-F.col("d.neg")).alias("score"), "above"), "depth").alias("up"))
+    out = common.salted_join(common.salted_join(paths, own, "path", "left"), nearest, "dir", "left")
     has = F.col("licence").isNotNull()
     return out.select(
+        *([] if keep is None else [F.col("__keep").alias(keep)]),
         "path",
         F.coalesce("licence", "up.licence").alias("licence"),
         F.coalesce("score", "up.score").alias("score"),
@@ -161,9 +163,13 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD, is_licence_fil
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
     """The table has no paths: a document lies at source/language/hundred of ids/id, and one that begins with a notice
-    stands for a licence file of its directory."""
+    stands for a licence file of its directory. A document without an id lies beside source/language, by its text's hash, and
+    inherits nothing from other documents; null texts are empty."""
     docs = common.table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select(path.alias("path"), "text")
-    found = scan_licences(files, is_licence_file=F.col("text").rlike(r"(?i)^[^\n]{0,200}?\b(?:" + "|".join(ANCHORS) + r")\b"))
-    return found.select(F.element_at(F.split("path", "/"), -1).cast("bigint").alias("doc_id"), "licence", F.round("score", 6).alias("score"), "via", "from_dir")
+    none = F.lit("none")
+    place = F.concat_ws("/", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    place = F.when(F.col("doc_id").isNull(), F.concat(F.lit("none-"), F.md5(F.coalesce("text", F.lit(""))), F.lit("/none"))).otherwise(place)
+    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), place)
+    files = docs.select(path.alias("path"), "text", "doc_id")
+    found = scan_licences(files, is_licence_file=F.col("text").rlike(r"(?i)^[^\n]{0,200}?\b(?:" + "|".join(ANCHORS) + r")\b"), keep="doc_id")
+    return found.select("doc_id", "licence", F.round("score", 6).alias("score"), "via", "from_dir")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattiq.llm import common
 from lattiq.llm.hashing import Words, blank_bytes, chunks, pair
 
-#: Bound on the labelled rows that a model is fitted on: those with the smallest hash of their id.
-MAX_TRAIN_ROWS = 3000
+#: Bounds on the labelled rows that a model is fitted on, those with the smallest hash of their id, and on their bytes of text.
+MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 3000, 64 << 20
 #: Families of features: words, pairs of words, shapes, pairs of shapes, and whether a word repeats the last one.
 _FAMILIES = 5
 
@@ -56,19 +57,29 @@ def decision(texts: list[bytes], weights: np.ndarray, bias: float, p: FtrlParams
     return out
 
 
+def example(text: bytes, p: FtrlParams) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, value) of a text's features: shares of its n-grams, by family."""
+    idx, val = [], []
+    for _, b in features([text], p.bits):
+        u, c = np.unique(b, return_counts=True)
+        idx.append(u)
+        val.append(p.scale * c / max(len(b), 1))
+    i, inverse = np.unique(np.concatenate(idx), return_inverse=True)
+    return i.astype(np.int32), np.bincount(inverse, weights=np.concatenate(val), minlength=len(i)).astype(np.float32)
+
+
 def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
+    """A model of texts; ``fit_examples`` is the same for texts whose features are known."""
+    return fit_examples((example(t, p) for t in texts), labels, p)
+
+
+def fit_examples(examples: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float]:
     """FTRL-proximal with per-coordinate rates, one text at a time. Without both classes the bias is the mean's logit."""
     # all rows in two growing buffers, which go back to the system as a whole
     held_i, held_x, at = array("i"), array("f"), [0]
-    for text in texts:
-        idx, val = [], []
-        for _, b in features([text], p.bits):
-            u, c = np.unique(b, return_counts=True)
-            idx.append(u)
-            val.append(p.scale * c / max(len(b), 1))
-        i, inverse = np.unique(np.concatenate(idx), return_inverse=True)
-        held_i.frombytes(i.astype(np.int32).tobytes())
-        held_x.frombytes(np.bincount(inverse, weights=np.concatenate(val), minlength=len(i)).astype(np.float32).tobytes())
+    for i, x in examples:
+        held_i.frombytes(i.tobytes())
+        held_x.frombytes(x.tobytes())
         at.append(len(held_i))
     all_i, all_x = np.frombuffer(held_i, dtype=np.int32), np.frombuffer(held_x, dtype=np.float32)
     z, n, w = (np.zeros(1 << p.bits) for _ in range(3))
@@ -78,7 +89,7 @@ def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams(
         return w.astype(np.float32), bias
     rng = np.random.default_rng(p.seed)
     for _ in range(p.epochs):
-        for k in rng.permutation(len(texts)):
+        for k in rng.permutation(len(labels)):
             i, x = all_i[at[k] : at[k + 1]], all_x[at[k] : at[k + 1]]
             wi = np.where(np.abs(z[i]) <= p.l1, 0.0, -(z[i] - np.sign(z[i]) * p.l1) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
             d = float(wi @ x) + bias
@@ -93,24 +104,38 @@ def fit_ftrl(texts: list[bytes], labels: np.ndarray, p: FtrlParams = FtrlParams(
     return w.astype(np.float32), bias
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """At most ``max_rows`` labelled rows outside the held-out fold, as (texts, labels).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Labelled rows outside the held-out fold as (__id, __text, __y): at most ``max_rows``, of at most ``max_bytes`` in all but for
+    the first.
 
-    Rows with a null id or label are left out; an id that has several labels gets their rounded mean. The ids are chosen
-    by hash before the texts are read, so the join's small side has ``max_rows`` ids at most.
+    Rows with a null id or label are left out; an id that has several labels gets their rounded mean, and of several texts the
+    smallest counts. The ids are chosen by hash before texts are read, so the join's small side has ``max_rows`` ids at most.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (common.fold(doc_id, 3) != 1))
     ids = ids.groupBy(F.col(doc_id).alias("__id")).agg(F.round(F.avg(F.col(label).cast("double"))).alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     got = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id")
-    got = got.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__y").alias("__y")).toPandas()
-    got = got.sort_values("__id")
-    return [t.encode("utf-8", "surrogatepass") for t in got["__text"]], (got["__y"].to_numpy() >= 0.5).astype(np.float64)
+    got = got.groupBy("__id").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text"), F.min("__y").alias("__y"))
+    in_turn = Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, -1)  # over max_rows sizes
+    sizes = common.written(got, "labelled-sample")
+    fit = sizes.select("__id", F.octet_length("__text").alias("n"), F.xxhash64("__id")).withColumn("before", F.sum("n").over(in_turn))
+    return sizes.join(F.broadcast(fit.where(F.coalesce(F.col("before") + F.col("n"), F.lit(0)) <= max_bytes).select("__id")), "__id")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, params: FtrlParams = FtrlParams()) -> tuple[np.ndarray, float, FtrlParams]:
-    texts, y = labelled_sample(docs, labels, label, max_rows)
-    return (*fit_ftrl(texts, y, params), params)
+    """(weights, bias, parameters) of a bounded labelled sample; executors make the features, the driver gets those only. Null texts
+    are empty; without labelled rows of both classes every score is the bias."""
+    got = labelled_sample(docs, labels, label, max_rows)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [example(t.encode("utf-8", "surrogatepass"), params) for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__y"), *(pa.array([v[k].tobytes() for v in x], pa.binary()) for k in (0, 1))], names=["__id", "__y", "i", "x"])
+
+    schema = got.select("__id", "__y").schema.add("i", "binary").add("x", "binary")
+    rows = sorted(got.mapInArrow(made, schema).collect(), key=lambda r: r[0])
+    examples = ((np.frombuffer(r.i, dtype=np.int32), np.frombuffer(r.x, dtype=np.float32)) for r in rows)
+    return (*fit_examples(examples, np.array([float(r[1] >= 0.5) for r in rows]), params), params)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, FtrlParams], text: str = "text", out: str = "score") -> DataFrame:
@@ -141,6 +166,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Each document's score; null and empty texts get that of the bias, null ids are held out if crc32 of the empty text says so,
+    and repeated rows repeat."""
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs, common.table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
+from lattiq.llm.hashing import chunks, shingle_spans, xxh64
 
 #: First bit and length of each segment of the ring.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -25,22 +25,18 @@ BUDGET = 2
 MAX_BUCKET = 32
 
 
-def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; none: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words_each, len(words))
-    ones, digest, n = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest, len(words) - k + 1
-    for at in range(0, n, 1 << 16):
-        to = min(n, at + (1 << 16))
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[at + k - 1 : to + k - 1].tolist())], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+def fingerprints(texts: list[bytes], words_each: int = 3, seed: int = 42) -> np.ndarray:
+    """Unsigned 64-bit SimHash of each text's word shingles; none: 0."""
+    buf, begin, end, at = shingle_spans(texts, words_each)
+    ones, step = np.zeros((len(texts), 64), dtype=np.int64), 1 << 16
+    for a in range(0, len(begin), step):
+        b = min(len(begin), a + step)
+        low = int(begin[a])
+        h = xxh64(buf[low : int(end[b - 1])], begin[a:b] - low, end[a:b] - low, seed)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        some = np.flatnonzero((at[1:] > a) & (at[:-1] < b) & (at[1:] > at[:-1]))  # the texts that these shingles belong to
+        ones[some] += np.add.reduceat(bits, np.maximum(at[some] - a, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
@@ -49,7 +45,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+            found = [fingerprints(part) for _, part in chunks(b.column(text).to_pylist())]
+            fp = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept if c != text), pa.array(fp)], names=[*(c for c in kept if c != text), out])
 
     small = docs.select(*(c for c in kept if c != text))
@@ -112,13 +109,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; repeated ids stay once. Rows without an id
-    have no identity to keep or drop them by, and stay."""
-    keepers = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    ided = docs.where(F.col("doc_id").isNotNull()).join(keepers, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return ided.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component stays: that with the smallest id, then the smallest hash of its text; repeated rows stay once.
+    Rows without an id have no identity to keep or drop them by, and stay."""
+    key = [F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64("text").alias("__h")]
+    numbered = common.written(docs.select("*", *key).withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")  # ids are fixed by writing them
+    ided = numbered.where("__id is not null")
+    prints = common.written(with_fingerprints(ided.select("__id", "__h", "__row", F.col("text").alias("__text")), "__text", "__fp"), "simhash-row-prints")
+    classes = prints.groupBy("__fp").agg(F.min("__id").alias("node"), F.min(F.struct("__id", "__h", "__row")).alias("least"))
+    parts = common.connected_components(similar_pairs(classes.select(F.col("__fp").alias("fp"), "node")))
+    least = classes.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("least").alias("least"))
+    kept = ided.join(least.select(F.col("least.__row").alias("__row")), "__row", "left_semi")
+    return kept.unionByName(numbered.where("__id is null")).select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; null and empty texts are linked by fingerprint 0."""
     found = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
