@@ -84,7 +84,7 @@ def folded(text: bytes) -> bytes:
 class Words:
     """The words of a chunk of texts: hash, first and last byte, text number. Lower case is that of A to Z."""
 
-    def __init__(self, texts: list[bytes], blanks: np.ndarray, lower: bool = True):
+    def __init__(self, texts: list[bytes], blanks: np.ndarray, lower: bool = True, hashed: bool = True):
         raw = b" ".join(texts) + b" "
         buf = np.frombuffer(raw.lower() if lower else raw, dtype=np.uint8)
         self.buf, self.n_texts = buf, len(texts)
@@ -93,7 +93,8 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         ends = np.cumsum([len(x) + 1 for x in texts])
         self.text = np.searchsorted(ends, self.start, side="right")
-        self.hash = self._hash(buf, self.end)
+        if hashed:
+            self.hash = self._hash(buf, self.end)
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hash of the first n bytes of each word; a shorter word is its own prefix."""
@@ -189,7 +190,7 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.
 def shingle_spans(texts: list[bytes], words_each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A buffer of all words, lower-cased and parted by one space; begin and end of each shingle in it; and where each text's
     shingles begin and end. Fewer words are one shingle, none are none."""
-    w = Words(texts, blank_bytes())
+    w = Words(texts, blank_bytes(), hashed=False)
     length = w.end - w.start
     ends = np.cumsum(length + 1)
     starts = ends - length - 1
@@ -204,3 +205,21 @@ def shingle_spans(texts: list[bytes], words_each: int) -> tuple[np.ndarray, np.n
     begin = np.repeat(first - at[:-1], n) + np.arange(at[-1])
     last = begin + np.repeat(np.minimum(counts, words_each), n) - 1
     return buf, starts[begin], ends[last] - 1, at
+
+
+def bit_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(runs, 64): how often each bit is set in each run of hashes, run k from at[k] to at[k + 1].
+
+    Eight bits at a time are counted in the eight bytes of a sum, over 255 hashes at most, so that no byte overflows."""
+    out = np.zeros((len(at) - 1, 64), dtype=np.int64)
+    full = np.flatnonzero(np.diff(at))
+    if not len(full):
+        return out
+    n = -(-(at[full + 1] - at[full]) // 255)
+    of = np.repeat(np.arange(len(full)), n)
+    first = np.cumsum(n) - n
+    cuts = at[full][of] + (np.arange(len(of)) - first[of]) * 255
+    sums = np.stack([np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts) for k in range(8)], axis=1)
+    bits = sums.astype("<u8").view(np.uint8).reshape(len(cuts), 8, 8).transpose(0, 2, 1).reshape(len(cuts), 64)
+    out[full] = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return out

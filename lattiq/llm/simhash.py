@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
-from lattiq.llm.hashing import chunks, shingle_spans, xxh64
+from lattiq.llm.hashing import bit_counts, chunks, shingle_spans, xxh64
 
 #: First bit and length of each segment of the ring.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -33,9 +33,7 @@ def fingerprints(texts: list[bytes], words_each: int = 3, seed: int = 42) -> np.
         b = min(len(begin), a + step)
         low = int(begin[a])
         h = xxh64(buf[low : int(end[b - 1])], begin[a:b] - low, end[a:b] - low, seed)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        some = np.flatnonzero((at[1:] > a) & (at[:-1] < b) & (at[1:] > at[:-1]))  # the texts that these shingles belong to
-        ones[some] += np.add.reduceat(bits, np.maximum(at[some] - a, 0), axis=0, dtype=np.int32)
+        ones += bit_counts(h, np.clip(at, a, b) - a)
     return np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
