@@ -55,3 +55,30 @@ def test_odd_rows(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)}, None: (0, None, True)}
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_equal_vectors_are_one_class(spark):
+    """A third of all rows is one vector; others are near it, near each other, or far; groups of every size and side."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16)).astype(np.float32)
+    rows = [(3 * i, centres[0].tolist(), i % 2) for i in range(200)]
+    rows += [(10_000 + i, (centres[i % 6] + 0.06 * rng.normal(size=16)).astype(np.float32).tolist(), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    links, root = brute(spark.createDataFrame(df.collect(), df.schema).collect())
+    for block in (1024, 20):
+        got = {r.vec_id: r for r in embeddings.near_vectors(df, p=embeddings.PStable(block=block, tables=40)).collect()}
+        assert {i: r.n_links for i, r in got.items()} == links and {i: r.component_id for i, r in got.items()} == root
+
+
+def test_pairs_of_groups():
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(400, 4))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    group = np.sort(rng.integers(0, 12, 400))
+    group[150:300] = group[150]  # one long group
+    group.sort()
+    side = np.where(group % 2 == 0, 0, rng.integers(1, 3, 400))
+    i, j = embeddings._pairs(group, side, unit, 0.8)
+    want = {(a, b) for a in range(400) for b in range(a + 1, 400) if group[a] == group[b] and (side[a] == 0 or side[a] != side[b]) and unit[a] @ unit[b] >= 0.8}
+    got = [tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())]
+    assert set(got) == want and len(got) == len(want)
