@@ -1,20 +1,22 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model with Dirichlet smoothing: P(w | v) = (c(vw) + mu p(w)) / (c(v) + mu), where p is the add-one
-unigram model. The trie is reversed: its first level holds the predicted words, its second the words before them.
-Pointers and second-level keys are monotone sequences in Elias-Fano form, probabilities are 16-bit codes, and a shard's
-levels lie in one file that is mapped, not read.
-
-Text meets the model without either being gathered: each block of texts sends its distinct (word, word before) pairs, with
-the texts in which they occur, to the shard of the word; the shard counts the pairs of the training texts, builds its
-trie, looks up all pairs in it and returns each text's partial sums to the block. Words that would fill a shard alone are
-dealt over all shards by pair; their counts are known from a first pass over the words.
+The model is a trigram model with Dirichlet smoothing, P(w | uv) = (c(uvw) + mu P(w | v)) / (c(uv) + mu) and
+P(w | v) = (c(vw) + mu p(w)) / (c(v) + mu), where p is the add-one unigram model. The trie is reversed: its first level holds
+the predicted words, its second the words before them, its third the words before those. Each level is one monotone sequence in
+Elias-Fano form, in which a context's successors are counted on from the end of the context before; pointers, monotone too, say
+where a context's successors lie; n-grams have 16-bit codes of their logarithmic probability; and a shard's levels lie in one file
+that is mapped, not read. A query goes down the levels: it seeks the successor in its context's range alone.
+
+Text meets the model without either being gathered: each block of texts sends its distinct n-grams, with the counts of its training
+texts, to the shards of their last words; a shard adds them up, builds its trie, asks it for all that was sent and gives the
+answers back to the blocks, which know the contexts' counts from the answers too. So an n-gram is sent once a block, however often
+it occurs. Words that would fill a shard alone are dealt over all shards by the word before; their counts are known from a first pass.
 """
 
 from __future__ import annotations
 
-import io
 import os
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -29,8 +31,10 @@ from lattiq.llm import common
 from lattiq.llm.hashing import Words, blank_bytes, chunks, mix
 
 MU = 30.0
-#: Bytes of text in a block, tokens in a shard, and texts in a block (the top bit of 16 marks training texts).
-BLOCK_BYTES, SHARD_TOKENS, BLOCK_TEXTS = 2 << 20, 1_500_000, 30_000
+#: Bytes of text in a block, in a shard of n-grams, and in a shard of the first pass over the words.
+BLOCK_BYTES, SHARD_BYTES, COUNT_BYTES = 2 << 20, 8 << 20, 64 << 20
+#: A word that takes this part of a shard's tokens (a byte of text at least) is dealt over the shards.
+HOT_PART = 32
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -69,37 +73,84 @@ class EliasFano:
             out = (out << np.uint64(8)) | np.asarray(self.low[a:b, k]).astype(np.uint64)
         return out
 
-    def find(self, sorted_queries: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """For ascending queries, the place of each query's successor if it is the query itself, else -1."""
-        out = np.full(len(sorted_queries), -1, dtype=np.int64)
-        done = 0
-        for a in range(0, self.n, step):
-            part = self.decode(a, a + step)
-            to = done + int(np.searchsorted(sorted_queries[done:], part[-1], side="right"))
-            q = sorted_queries[done:to]
-            at = np.searchsorted(part, q)
-            hit = part[np.minimum(at, len(part) - 1)] == q
-            out[done:to][hit] = a + at[hit]
-            done = to
-        return out
-
     def parts(self) -> dict[str, np.ndarray]:
         return {"high": self.high, "low": self.low, "ones": self.ones}
 
 
+def _ranges(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ranges of ascending values, one after the other, made one ascending sequence: each counts on from the last value before."""
+    last = np.zeros(len(ends), dtype=np.uint64)
+    full = np.diff(ends, prepend=0) > 0
+    last[full] = values[ends[full] - 1]
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last)[:-1]]) if len(ends) else last
+    return values + np.repeat(before, np.diff(ends, prepend=0))
+
+
+class Level:
+    """The n-grams of one order: successors of each context of the level above, with their codes."""
+
+    def __init__(self, pointers: EliasFano, keys: EliasFano, codes: np.ndarray):
+        self.pointers, self.keys, self.codes = pointers, keys, codes
+
+    @classmethod
+    def build(cls, starts: np.ndarray, values: np.ndarray, codes: np.ndarray) -> Level:
+        """Context k's successors, ascending, are values[starts[k]] to values[starts[k + 1]]."""
+        return cls(EliasFano.encode(starts), EliasFano.encode(_ranges(values.astype(np.uint64), starts[1:])), codes)
+
+    def find(self, context: np.ndarray, value: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """The place of each (context, value), -1 where there is none. Contexts ascend, and may be -1 for one that is unknown."""
+        out = np.full(len(context), -1, dtype=np.int64)
+        known = np.flatnonzero(context >= 0)
+        for k in range(0, len(known), step):
+            rows = known[k : k + step]
+            first = int(context[rows[0]])
+            edge = self.pointers.decode(first, int(context[rows[-1]]) + 2).astype(np.int64)
+            at = context[rows] - first
+            lo, hi = edge[at], edge[at + 1]
+            low = max(int(edge[0]) - 1, 0)
+            keys = self.keys.decode(low, int(edge[-1]))
+            base = np.where(lo > 0, keys[np.minimum(np.maximum(lo - 1 - low, 0), max(len(keys) - 1, 0))] if len(keys) else 0, np.uint64(0)).astype(np.uint64)
+            wanted, end = base + value[rows].astype(np.uint64), hi.copy()
+            going = np.flatnonzero(lo < hi)
+            while len(going):  # successors, each within its context's range
+                mid = (lo[going] + hi[going]) >> 1
+                less = keys[mid - low] < wanted[going]
+                lo[going[less]] = mid[less] + 1
+                hi[going[~less]] = mid[~less]
+                going = going[lo[going] < hi[going]]
+            inside = np.flatnonzero(lo < end)
+            hit = inside[keys[lo[inside] - low] == wanted[inside]]
+            out[rows[hit]] = lo[hit]
+        return out
+
+
 class Trie:
     """A shard's levels, mapped from one file that is unlinked at once, so nothing stays on the executor's disk."""
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, node: np.ndarray, before: np.ndarray, counts: np.ndarray, total: int, distinct: int, mu: float):
-        """words ascending, with their counts; pairs (node, before) ascending, with theirs."""
-        unigram = (word_counts + 1.0) / (total + distinct + 1.0)
-        logs = np.log10(counts + mu * unigram[node]) if len(node) else np.zeros(0)
-        lo, hi = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-        self.lo, self.step = lo, max((hi - lo) / 65535, 1e-12)
-        codes = np.round((logs - lo) / self.step).astype(np.uint16)
-        pointers = EliasFano.encode(np.searchsorted(node, np.arange(len(words) + 1)))
-        keys = EliasFano.encode((node.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64))
-        arrays = {"words": words, "counts": word_counts.astype(np.int64), "codes": codes, **{f"p_{k}": v for k, v in pointers.parts().items()}, **{f"k_{k}": v for k, v in keys.parts().items()}}
+    def __init__(self, word: np.ndarray, v: np.ndarray, u: np.ndarray, n: np.ndarray, step: float, counts: dict[int, int] | None = None):
+        """Of trigrams (u, v, word) and their counts, in any order, repeated or not. ``counts`` are known counts of words, of
+        which the shard has a part. A code is 1 + the logarithm of a count over ``step``; 0 is for what is not there."""
+        words, w = np.unique(word, return_inverse=True)
+        pairs, p = np.unique((w.astype(np.uint64) << np.uint64(40)) | v, return_inverse=True)
+        grams, g = np.unique((p.astype(np.uint64) << np.uint64(32)) | u, return_inverse=True)
+        c3 = np.bincount(g, weights=n, minlength=len(grams))
+        of_pair = (grams >> np.uint64(32)).astype(np.int64)
+        c2 = np.bincount(of_pair, weights=c3, minlength=len(pairs))
+        of_word = (pairs >> np.uint64(40)).astype(np.int64)
+        c1 = np.bincount(of_word, weights=c2, minlength=len(words)).astype(np.int64)
+        for k, c in (counts or {}).items():
+            at = np.searchsorted(words, np.uint64(k))
+            if at < len(words) and words[at] == np.uint64(k):
+                c1[at] = c
+        coded = lambda c: np.round(1 + np.log10(c) / step).astype(np.uint16) if len(c) else np.zeros(0, np.uint16)
+        two = Level.build(np.searchsorted(of_word, np.arange(len(words) + 1)), pairs & np.uint64((1 << 40) - 1), coded(c2))
+        three = Level.build(np.searchsorted(of_pair, np.arange(len(pairs) + 1)), grams & np.uint64((1 << 32) - 1), coded(c3))
+        self._map(EliasFano.encode(words), c1, two, three)
+
+    def _map(self, words: EliasFano, counts: np.ndarray, two: Level, three: Level) -> None:
+        sequences = {"w": words, "p2": two.pointers, "k2": two.keys, "p3": three.pointers, "k3": three.keys}
+        arrays = {"counts": counts, "codes2": two.codes, "codes3": three.codes}
+        arrays |= {f"{name}_{k}": v for name, e in sequences.items() for k, v in e.parts().items()}
         fd, path = tempfile.mkstemp(suffix=".trie")
         try:
             with os.fdopen(fd, "wb") as f:
@@ -113,188 +164,230 @@ class Trie:
         finally:
             os.unlink(path)
         view = {k: np.frombuffer(self.map, dtype=d, count=int(np.prod(s)), offset=o).reshape(s) for k, (o, d, s) in at.items()}
-        self.words, self.counts, self.codes = view["words"], view["counts"], view["codes"]
-        self.pointers = EliasFano(view["p_high"], view["p_low"], view["p_ones"], pointers.n)
-        self.keys = EliasFano(view["k_high"], view["k_low"], view["k_ones"], keys.n)
-
-    def log10(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of ascending pairs (place of the word, word before), log10(c(vw) + mu p(w)), NaN where the pair is unseen.
-
-        A word's pairs lie between its pointers; the word before is sought there as a successor relative to the word.
-        """
-        at = self.keys.find((word.astype(np.uint64) << np.uint64(32)) | before.astype(np.uint64))
-        edge = self.pointers.decode().astype(np.int64)
-        seen = (at >= edge[word]) & (at < edge[word + 1]) if len(word) else np.zeros(0, bool)
-        out = np.full(len(at), np.nan)
-        out[seen] = self.lo + self.step * self.codes[at[seen]]
+        e = {name: EliasFano(view[f"{name}_high"], view[f"{name}_low"], view[f"{name}_ones"], old.n) for name, old in sequences.items()}
+        self.words, self.counts = e["w"], view["counts"]
+        self.two, self.three = Level(e["p2"], e["k2"], view["codes2"]), Level(e["p3"], e["k3"], view["codes3"])
+
+    def ask(self, word: np.ndarray, n_pairs: np.ndarray, v: np.ndarray, n_grams: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each word, code of each pair, code of each trigram): each word with so many pairs, each pair with so many
+        trigrams. Words need not ascend: they are asked for in their order in the trie."""
+        known = self.words.decode()
+        at = np.searchsorted(known, word)
+        there = at < len(known)
+        there[there] = known[at[there]] == word[there]
+        place = np.where(there, at, -1)
+        pair_at = self._in_order(self.two, np.repeat(place, n_pairs), v)
+        gram_at = self._in_order(self.three, np.repeat(pair_at, n_grams), u)
+        get = lambda values, k: np.where(k >= 0, values[np.maximum(k, 0)], 0) if len(values) else np.zeros(len(k), values.dtype)
+        return get(self.counts, place), get(self.two.codes, pair_at), get(self.three.codes, gram_at)
+
+    @staticmethod
+    def _in_order(level: Level, context: np.ndarray, value: np.ndarray) -> np.ndarray:
+        order = np.argsort(context, kind="stable")
+        out = np.empty(len(context), dtype=np.int64)
+        out[order] = level.find(context[order], value[order])
         return out
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    f = io.BytesIO()
-    np.savez(f, **arrays)
-    return f.getvalue()
+_KINDS = (np.uint8, np.uint16, np.uint32, np.uint64)
+
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, each in the fewest bytes that hold its largest."""
+    out = []
+    for a in arrays:
+        top = int(a.max()) if len(a) else 0
+        kind = next(k for k in range(4) if top <= np.iinfo(_KINDS[k]).max)
+        out += [struct.pack("<BI", kind, len(a)), a.astype(_KINDS[kind]).tobytes()]
+    return b"".join(out)
 
-def _unpack(b: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(b)) as z:
-        return {k: z[k] for k in z.files}
 
+def _unpack(b: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(b):
+        kind, n = struct.unpack_from("<BI", b, at)
+        out.append(np.frombuffer(b, dtype=_KINDS[kind], count=n, offset=at + 5))
+        at += 5 + out[-1].nbytes
+    return out
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, hash of the one before, text number): each text's words and then one end."""
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, tokens of each text): each text's words and then one end."""
     w = Words(texts, blank_bytes())
-    n = w.counts()
-    ends = np.cumsum(n + 1) - 1
+    n = w.counts() + 1
     h = np.empty(len(w.hash) + len(texts), dtype=np.uint64)
     is_end = np.zeros(len(h), dtype=bool)
-    is_end[ends] = True
+    is_end[np.cumsum(n) - 1] = True
     h[~is_end], h[is_end] = w.hash, END
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[ends - n] = BEGIN
-    return h, before, np.repeat(np.arange(len(texts)), n + 1)
-
-
-def _blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    for first, part in chunks(texts, limit):
-        for k in range(0, len(part), BLOCK_TEXTS):
-            yield first + k, part[k : k + BLOCK_TEXTS]
-
-
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield int(shard[rows[0]]), rows
-
-
-def corpus_counts(rows: DataFrame, n_shards: int) -> tuple[int, int, dict[int, int]]:
-    """(tokens, distinct tokens, counts of the most frequent words) of the training texts of (text, train).
-
-    Each block sends its distinct words and their counts to the words' shards; only totals and 64 words a shard at most
-    come to the driver.
+    return h, n
+
+
+def _shifted(x: np.ndarray, n: np.ndarray, first) -> np.ndarray:
+    """The value of the token before; ``first`` for the first token of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[np.cumsum(n) - n] = first
+    return out
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the runs of an ascending list."""
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(1, np.int64)
+    yield from ((int(shard[a]), int(a), int(b)) for a, b in zip(cuts, cuts[1:]))
+
+
+class Block:
+    """The distinct n-grams of some texts by shard, word, word before and the one before that; and where each token has its own."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, n_shards: int, hot: np.ndarray):
+        v = _shifted(h, n, BEGIN)
+        u = mix(_shifted(v, n, BEGIN)) & np.uint64((1 << 32) - 1)
+        v = mix(v) >> np.uint64(24)
+        self.distinct, self.index = np.unique(h, return_inverse=True)
+        shard = h % np.uint64(n_shards)
+        if len(hot):
+            is_hot = np.isin(self.distinct, hot)[self.index]
+            shard[is_hot] = mix(h[is_hot] ^ v[is_hot]) % np.uint64(n_shards)
+        key = shard * np.uint64(len(self.distinct)) + self.index.astype(np.uint64)
+        self.order = order = np.lexsort((u, v, key))
+        key, v, u = key[order], v[order], u[order]
+        new = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
+        new_w = new(key)
+        new_v = new_w | new(v)
+        new_u = new_v | new(u)
+        at_w, at_v, self.at_u = np.flatnonzero(new_w), np.flatnonzero(new_v), np.flatnonzero(new_u)
+        self.shard, self.word, self.v, self.u = shard[order][at_w].astype(np.int64), h[order][at_w], v[at_v], u[self.at_u]
+        self.pair_end, self.gram_end = np.cumsum(new_v)[np.append(at_w[1:], len(h)) - 1], np.cumsum(new_u)[np.append(at_v[1:], len(h)) - 1]
+        self.of_word, self.of_pair, self.of_gram = (np.cumsum(x) - 1 for x in (new_w, new_v, new_u))
+
+    def messages(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, its words, pairs and trigrams with the counts of training tokens)."""
+        n = np.add.reduceat(train[self.order].astype(np.int64), self.at_u)
+        pairs, grams = np.diff(self.pair_end, prepend=0), np.diff(self.gram_end, prepend=0)
+        for shard, a, b in _by_shard(self.shard):
+            p, q = int(self.pair_end[a - 1]) if a else 0, int(self.pair_end[b - 1])
+            x, y = int(self.gram_end[p - 1]) if p else 0, int(self.gram_end[q - 1])
+            yield shard, _pack(self.word[a:b], pairs[a:b], self.v[p:q] & np.uint64(0xFFFFFFFF), self.v[p:q] >> np.uint64(32), grams[p:q], self.u[x:y], n[x:y])
+
+    def of_tokens(self, words: np.ndarray, pairs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of words, pairs and trigrams for each token in the order of the texts."""
+        out = []
+        for values, of in ((words, self.of_word), (pairs, self.of_pair), (grams, self.of_gram)):
+            x = np.empty(len(self.order), dtype=values.dtype)
+            x[self.order] = values[of]
+            out.append(x)
+        return tuple(out)
+
+
+def corpus_counts(rows: DataFrame, n_shards: int, hot_least: int) -> tuple[int, int, dict[int, int]]:
+    """(tokens, distinct tokens, counts of the words that occur ``hot_least`` times) of the training texts of (text, train).
+
+    Each block sends its distinct words and their counts to the words' shards; totals and frequent words come to the driver,
+    at most one word for each ``hot_least`` tokens.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t for t, k in zip(b.column("text").to_pylist(), b.column("train").to_pylist()) if k]
-            for _, part in _blocks(texts):
+            for _, part in chunks(texts, BLOCK_BYTES):
                 words, n = np.unique(_tokens(part)[0], return_counts=True)
-                out = [(s, _pack(w=words[r], n=n[r])) for s, r in _by_shard((words % np.uint64(n_shards)).astype(np.int64))]
+                shard = (words % np.uint64(n_shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                words, n = words[order], n[order]
+                out = [(s, _pack(words[x:y], n[x:y])) for s, x, y in _by_shard(shard[order])]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "x"])
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in g["x"]]
-        words, inverse = np.unique(np.concatenate([p["w"] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
-        top = np.flatnonzero(n >= n.sum() / 64)
-        return pd.DataFrame({"n": [int(n.sum())], "v": [len(words)], "words": [words[top].view(np.int64).tolist()], "counts": [n[top].tolist()]})
+        words, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+        top = np.flatnonzero(n >= hot_least)
+        return pd.DataFrame({"n": [int(n.sum())], "v": [len(words)], "words": [words[top].astype(np.uint64).view(np.int64).tolist()], "counts": [n[top].tolist()]})
 
     sent = rows.mapInArrow(count, "shard int, x binary")
-    got = sent.groupBy("shard").applyInPandas(total, "n bigint, v bigint, words array<bigint>, counts array<bigint>").collect()
-    hot = {w & (1 << 64) - 1: c for r in got for w, c in zip(r["words"], r["counts"])}
-    return sum(r["n"] for r in got), sum(r["v"] for r in got), hot
+    got = sent.groupBy("shard").applyInPandas(total, "n bigint, v bigint, words array<bigint>, counts array<bigint>")
+    got = common.written(got, "word-counts")
+    n, v = got.agg(F.sum("n"), F.sum("v")).first()
+    frequent = got.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").collect()
+    return n or 0, v or 0, {r[0] & (1 << 64) - 1: r[1] for r in frequent}
 
 
 def score_texts(docs: DataFrame, train, mu: float = MU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
     ``train`` is a condition; the rows that meet it are the training corpus, copies and all. Null texts are empty: one end
-    token. Repeated rows and null ids keep a row each; without any training text every token is unknown.
+    token. Repeated rows and null ids keep a row each; without any training text every token is unknown. Of an empty table the
+    result is empty. A text lies whole in one block, so a task holds the longest text.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total, distinct, hot = corpus_counts(rows.select("text", "train"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    n_shards = max(8, -(-total // SHARD_TOKENS))
-    hot = {w: c for w, c in hot.items() if c * 4 * n_shards > total}  # 4 * n_shards words at most
+    size, texts_trained = rows.agg(F.sum(F.octet_length("text") + 1), F.count(F.when(F.col("train"), 1))).first()
+    size = size or 0
+    n_shards = max(8, -(-size // SHARD_BYTES))
+    hot_least = max(1, size // n_shards // HOT_PART)
+    total, distinct, hot = corpus_counts(rows.select("text", "train"), max(8, -(-size // COUNT_BYTES)), hot_least)
     hot_words = np.array(sorted(hot), dtype=np.uint64)
-    hot_counts = np.array([hot[int(w)] for w in hot_words], dtype=np.int64)
-
-    def is_hot(w: np.ndarray) -> np.ndarray:
-        return np.isin(w, hot_words) if len(hot_words) else np.zeros(len(w), bool)
+    step = np.log10(max(total, 10)) / 65000
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, texts, train = (b.column(k).to_pylist() for k in ("doc_id", "text", "train"))
-            for first, part in _blocks(texts):
+            for first, part in chunks(texts, BLOCK_BYTES):
                 no += 1
-                word, before, doc = _tokens(part)
-                n = len(part)
-                t = np.array(train[first : first + n], dtype=bool)
-                before = (mix(before) >> np.uint64(32)).astype(np.uint32)
-                shard = (word % np.uint64(n_shards)).astype(np.int64)
-                h = is_hot(word)
-                shard[h] = (mix(word[h] ^ before[h]) % np.uint64(n_shards)).astype(np.int64)
-                own = ids[first : first + n]
-                out = [(-1 - no % n_shards, _pack(id=np.array([i or 0 for i in own], dtype=np.int64), null=np.array([i is None for i in own]), train=t, n=np.bincount(doc, minlength=n)))]
-                mark = (doc | np.where(t[doc], 1 << 15, 0)).astype(np.uint16)
-                order = np.lexsort((before, word))
-                for s, r in _by_shard(shard[order]):
-                    at = order[r]
-                    w, v = word[at], before[at]
-                    new_w = np.concatenate([[True], w[1:] != w[:-1]])
-                    new = new_w | np.concatenate([[True], v[1:] != v[:-1]])
-                    pairs = np.flatnonzero(new)
-                    out.append((s, _pack(w=w[new_w], wn=np.diff(np.flatnonzero(new_w[pairs]), append=len(pairs)).astype(np.uint32), v=v[pairs], vn=np.diff(pairs, append=len(at)).astype(np.uint32), d=mark[at])))
+                h, n = _tokens(part)
+                t = np.array(train[first : first + len(part)], dtype=bool)
+                own = ids[first : first + len(part)]
+                block = Block(h, n, n_shards, hot_words)
+                meta = _pack(np.array([i or 0 for i in own], dtype=np.int64).view(np.uint64), np.array([i is None for i in own], dtype=np.uint8), t, n, block.distinct, block.index)
+                out = [(-1 - no % n_shards, meta), *block.messages(np.repeat(t, n))]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([no] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block", "x"])
 
     def look_up(g: pd.DataFrame) -> pd.DataFrame:
         if g["shard"].iloc[0] < 0:
-            return g[["block", "x"]].assign(meta=True)
+            return g[["block", "shard", "x"]]
         parts = [_unpack(x) for x in g["x"]]
-        w_at = np.concatenate([np.repeat(p["w"], p["wn"]) for p in parts])
-        words, node = np.unique(w_at, return_inverse=True)
-        key, pair = np.unique((node.astype(np.uint64) << np.uint64(32)) | np.concatenate([p["v"] for p in parts]), return_inverse=True)
-        occurs = np.repeat(pair, np.concatenate([p["vn"] for p in parts]))
-        mark = np.concatenate([p["d"] for p in parts])
-        counts = np.bincount(occurs, weights=mark >> 15, minlength=len(key)).astype(np.int64)
-        of = (key >> np.uint64(32)).astype(np.int64)
-        word_counts = np.bincount(of, weights=counts, minlength=len(words)).astype(np.int64)
-        h = is_hot(words)
-        word_counts[h] = hot_counts[np.searchsorted(hot_words, words[h])]
-        known = counts > 0
-        trie = Trie(words, word_counts, of[known], (key[known] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[known], total, distinct, mu)
-        value = trie.log10(of, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        c = trie.counts[of]
-        value = np.where(np.isnan(value), np.log10(mu * (c + 1.0) / (total + distinct + 1.0)), value)
-        value -= np.where(words[of] == END, 0.0, np.log10(c + mu))  # each word is once the context of the next token
-        base, seen = np.log10(c + 1.0), (c > 0).astype(np.int64)
-        out, at = [], 0
-        for no, p in zip(g["block"], parts):
-            n = len(p["d"])
-            o, d = occurs[at : at + n], (p["d"] & 0x7FFF).astype(np.int64)
-            at += n
-            texts, d = np.unique(d, return_inverse=True)
-            out.append((no, _pack(d=texts.astype(np.uint16), base=np.bincount(d, weights=base[o]), score=np.bincount(d, weights=value[o]), known=np.bincount(d, weights=seen[o]).astype(np.uint32))))
-        return pd.DataFrame(out, columns=["block", "x"]).assign(meta=False)
-
-    n_train = hot.get(int(END))
+        word, n_pairs, low, high, n_grams, u, n = (np.concatenate(x) for x in zip(*parts))
+        n_pairs, n_grams = n_pairs.astype(np.int64), n_grams.astype(np.int64)
+        v = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        word, u = word.astype(np.uint64), u.astype(np.uint64)
+        seen = n > 0
+        v_of, w_of = np.repeat(v, n_grams), np.repeat(np.repeat(word, n_pairs), n_grams)
+        trie = Trie(w_of[seen], v_of[seen], u[seen], n[seen], step, hot)
+        c, two, three = trie.ask(word, n_pairs, v, n_grams, u)
+        missing = c == 0  # a frequent word is known though this shard has no training pair of it
+        if hot and missing.any():
+            at = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
+            c = np.where(missing & (hot_words[at] == word), np.array([hot[int(k)] for k in hot_words], dtype=np.int64)[at], c)
+        ends = [np.cumsum([len(p[k]) for p in parts])[:-1] for k in (0, 2, 5)]
+        answers = zip(*(np.split(x, e) for x, e in zip((c, two, three), ends)))
+        return pd.DataFrame({"block": g["block"].to_numpy(), "shard": g["shard"].to_numpy(), "x": [_pack(*a) for a in answers]})
 
     def put_together(g: pd.DataFrame) -> pd.DataFrame:
-        meta = _unpack(g.loc[g["meta"], "x"].iloc[0])
-        n = len(meta["n"])
-        base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-        for x in g.loc[~g["meta"], "x"].sort_values():
-            p = _unpack(x)
-            base[p["d"]] += p["base"]
-            score[p["d"]] += p["score"]
-            known[p["d"]] += p["known"]
-        ids = pd.array(meta["id"], dtype="Int64")
-        ids[meta["null"]] = pd.NA
-        base -= meta["n"] * np.log10(total + distinct + 1.0)
-        return pd.DataFrame({"doc_id": ids, "held_out": ~meta["train"], "n_tokens": meta["n"], "n_known": known, "base_score": base, "score": score - np.log10(texts_trained + mu)})
-
-    # the number of training texts is that of training ends
-    texts_trained = n_train if n_train is not None else rows.where("train").count()
+        g = g.sort_values("shard")
+        meta, *answers = [_unpack(x) for x in g["x"]]
+        ids, null, t, n, words, index = meta
+        n = n.astype(np.int64)
+        block = Block(words.astype(np.uint64)[index], n, n_shards, hot_words)
+        c1, c2, c3 = (np.concatenate(x) for x in zip(*answers))
+        counted = lambda code: np.where(code > 0, np.power(10.0, (code.astype(np.float64) - 1) * step), 0.0)
+        c1, c2, c3 = block.of_tokens(c1.astype(np.float64), counted(c2), counted(c3))
+        p = (c1 + 1) / (total + distinct + 1.0)
+        p = (c2 + mu * p) / (_shifted(c1, n, texts_trained) + mu)
+        p = (c3 + mu * p) / (_shifted(c2, n, texts_trained) + mu)
+        doc = np.repeat(np.arange(len(n)), n)
+        sums = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+        out = pd.array(ids.astype(np.uint64).view(np.int64), dtype="Int64")
+        out[null.astype(bool)] = pd.NA
+        base = sums(np.log10(c1 + 1)) - n * np.log10(total + distinct + 1.0)
+        return pd.DataFrame({"doc_id": out, "held_out": ~t.astype(bool), "n_tokens": n, "n_known": sums(c1 > 0).astype(np.int64), "base_score": base, "score": sums(np.log10(p))})
+
     sent = rows.mapInArrow(send, "shard int, block bigint, x binary")
-    back = sent.groupBy("shard").applyInPandas(look_up, "block bigint, x binary, meta boolean")
+    back = sent.groupBy("shard").applyInPandas(look_up, "block bigint, shard int, x binary")
     done = back.groupBy("block").applyInPandas(put_together, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op6_ngram_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model of those outside the held-out fold."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, common.fold("doc_id", 7) != 2)
