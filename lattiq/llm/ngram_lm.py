@@ -11,6 +11,8 @@ Text meets the model without either being gathered: each block of texts sends it
 texts, to the shards of their last words; a shard adds them up, builds its trie, asks it for all that was sent and gives the
 answers back to the blocks, which know the contexts' counts from the answers too. So an n-gram is sent once a block, however often
 it occurs. Words that would fill a shard alone are dealt over all shards by the word before; their counts are known from a first pass.
+The blocks are cut twice, once to send and once to receive, and named by their place and content: a source that gives its
+rows in another order the second time is an error, never a wrong score.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from lattiq.llm.hashing import Words, blank_bytes, chunks, mix
 
 MU = 30.0
 #: Bytes of text in a block, in a shard of n-grams, and in a shard of the first pass over the words.
-BLOCK_BYTES, SHARD_BYTES, COUNT_BYTES = 2 << 20, 8 << 20, 64 << 20
+BLOCK_BYTES, SHARD_BYTES, COUNT_BYTES = 8 << 20, 8 << 20, 64 << 20
+#: Bits of the hashes of words before; a context's successors are told apart by them.
+V_BITS, U_BITS = 32, 24
 #: A word that takes this part of a shard's tokens (a byte of text at least) is dealt over the shards.
 HOT_PART = 32
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2545F4914F6CDD1D)
@@ -131,20 +135,20 @@ class Trie:
         """Of trigrams (u, v, word) and their counts, in any order, repeated or not. ``counts`` are known counts of words, of
         which the shard has a part. A code is 1 + the logarithm of a count over ``step``; 0 is for what is not there."""
         words, w = np.unique(word, return_inverse=True)
-        pairs, p = np.unique((w.astype(np.uint64) << np.uint64(40)) | v, return_inverse=True)
-        grams, g = np.unique((p.astype(np.uint64) << np.uint64(32)) | u, return_inverse=True)
+        pairs, p = np.unique((w.astype(np.uint64) << np.uint64(V_BITS)) | v, return_inverse=True)
+        grams, g = np.unique((p.astype(np.uint64) << np.uint64(U_BITS)) | u, return_inverse=True)
         c3 = np.bincount(g, weights=n, minlength=len(grams))
-        of_pair = (grams >> np.uint64(32)).astype(np.int64)
+        of_pair = (grams >> np.uint64(U_BITS)).astype(np.int64)
         c2 = np.bincount(of_pair, weights=c3, minlength=len(pairs))
-        of_word = (pairs >> np.uint64(40)).astype(np.int64)
+        of_word = (pairs >> np.uint64(V_BITS)).astype(np.int64)
         c1 = np.bincount(of_word, weights=c2, minlength=len(words)).astype(np.int64)
         for k, c in (counts or {}).items():
             at = np.searchsorted(words, np.uint64(k))
             if at < len(words) and words[at] == np.uint64(k):
                 c1[at] = c
         coded = lambda c: np.round(1 + np.log10(c) / step).astype(np.uint16) if len(c) else np.zeros(0, np.uint16)
-        two = Level.build(np.searchsorted(of_word, np.arange(len(words) + 1)), pairs & np.uint64((1 << 40) - 1), coded(c2))
-        three = Level.build(np.searchsorted(of_pair, np.arange(len(pairs) + 1)), grams & np.uint64((1 << 32) - 1), coded(c3))
+        two = Level.build(np.searchsorted(of_word, np.arange(len(words) + 1)), pairs & np.uint64((1 << V_BITS) - 1), coded(c2))
+        three = Level.build(np.searchsorted(of_pair, np.arange(len(pairs) + 1)), grams & np.uint64((1 << U_BITS) - 1), coded(c3))
         self._map(EliasFano.encode(words), c1, two, three)
 
     def _map(self, words: EliasFano, counts: np.ndarray, two: Level, three: Level) -> None:
@@ -237,37 +241,39 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 class Block:
-    """The distinct n-grams of some texts by shard, word, word before and the one before that; and where each token has its own."""
-
-    def __init__(self, h: np.ndarray, n: np.ndarray, n_shards: int, hot: np.ndarray):
-        v = _shifted(h, n, BEGIN)
-        u = mix(_shifted(v, n, BEGIN)) & np.uint64((1 << 32) - 1)
-        v = mix(v) >> np.uint64(24)
-        self.distinct, self.index = np.unique(h, return_inverse=True)
-        shard = h % np.uint64(n_shards)
-        if len(hot):
-            is_hot = np.isin(self.distinct, hot)[self.index]
-            shard[is_hot] = mix(h[is_hot] ^ v[is_hot]) % np.uint64(n_shards)
-        key = shard * np.uint64(len(self.distinct)) + self.index.astype(np.uint64)
-        self.order = order = np.lexsort((u, v, key))
-        key, v, u = key[order], v[order], u[order]
+    """The distinct n-grams of some texts by shard, word, word before and the one before that; and where each token has its own.
+
+    Words are numbers here: ``index`` has those of the tokens, ``shards`` and ``hot`` are by number, and the last one begins a text.
+    """
+
+    def __init__(self, index: np.ndarray, n: np.ndarray, shards: np.ndarray, hot: np.ndarray, n_shards: int):
+        w, begin = index.astype(np.int64), len(shards) - 1
+        v = _shifted(w, n, begin)
+        before = v * len(shards) + _shifted(v, n, begin)
+        shard = np.where(hot[w], (shards[w] + shards[v]) % n_shards, shards[w])
+        key = shard * len(shards) + w
+        self.order = order = np.lexsort((before, key))
+        key, before = key[order], before[order]
         new = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
         new_w = new(key)
-        new_v = new_w | new(v)
-        new_u = new_v | new(u)
+        new_v = new_w | new(before // len(shards))
+        new_u = new_v | new(before)
         at_w, at_v, self.at_u = np.flatnonzero(new_w), np.flatnonzero(new_v), np.flatnonzero(new_u)
-        self.shard, self.word, self.v, self.u = shard[order][at_w].astype(np.int64), h[order][at_w], v[at_v], u[self.at_u]
-        self.pair_end, self.gram_end = np.cumsum(new_v)[np.append(at_w[1:], len(h)) - 1], np.cumsum(new_u)[np.append(at_v[1:], len(h)) - 1]
+        self.shard, self.word = key[at_w] // len(shards), key[at_w] % len(shards)
+        self.v, self.u = before[at_v] // len(shards), before[self.at_u] % len(shards)
         self.of_word, self.of_pair, self.of_gram = (np.cumsum(x) - 1 for x in (new_w, new_v, new_u))
+        last = lambda at: np.append(at[1:], len(w)) - 1
+        self.pair_end, self.gram_end = self.of_pair[last(at_w)] + 1, self.of_gram[last(at_v)] + 1
 
-    def messages(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(shard, its words, pairs and trigrams with the counts of training tokens)."""
+    def messages(self, names: np.ndarray, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(shard, its words, pairs and trigrams with the counts of training tokens); ``names`` are the words' hashes."""
         n = np.add.reduceat(train[self.order].astype(np.int64), self.at_u)
         pairs, grams = np.diff(self.pair_end, prepend=0), np.diff(self.gram_end, prepend=0)
+        word, v, u = names[self.word], (mix(names) >> np.uint64(64 - V_BITS))[self.v], (mix(names) >> np.uint64(64 - U_BITS))[self.u]
         for shard, a, b in _by_shard(self.shard):
             p, q = int(self.pair_end[a - 1]) if a else 0, int(self.pair_end[b - 1])
             x, y = int(self.gram_end[p - 1]) if p else 0, int(self.gram_end[q - 1])
-            yield shard, _pack(self.word[a:b], pairs[a:b], self.v[p:q] & np.uint64(0xFFFFFFFF), self.v[p:q] >> np.uint64(32), grams[p:q], self.u[x:y], n[x:y])
+            yield shard, _pack(word[a:b], pairs[a:b], v[p:q], grams[p:q], *_split(u[x:y]), n[x:y])
 
     def of_tokens(self, words: np.ndarray, pairs: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values of words, pairs and trigrams for each token in the order of the texts."""
@@ -279,6 +285,24 @@ class Block:
         return tuple(out)
 
 
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 16 bits, and what is above; of small numbers the latter is noughts, which take no room when compressed."""
+    return x & x.dtype.type(0xFFFF), x >> x.dtype.type(16)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | (high.astype(np.int64) << 16)
+
+
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, the number of each token's word): frequent words have small numbers."""
+    words, index, n = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order], rank[index]
+
+
 def corpus_counts(rows: DataFrame, n_shards: int, hot_least: int) -> tuple[int, int, dict[int, int]]:
     """(tokens, distinct tokens, counts of the words that occur ``hot_least`` times) of the training texts of (text, train).
 
@@ -289,7 +313,7 @@ def corpus_counts(rows: DataFrame, n_shards: int, hot_least: int) -> tuple[int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t for t, k in zip(b.column("text").to_pylist(), b.column("train").to_pylist()) if k]
-            for _, part in chunks(texts, BLOCK_BYTES):
+            for _, part in chunks(texts, 2 * BLOCK_BYTES):
                 words, n = np.unique(_tokens(part)[0], return_counts=True)
                 shard = (words % np.uint64(n_shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
@@ -326,30 +350,39 @@ def score_texts(docs: DataFrame, train, mu: float = MU, doc_id: str = "doc_id",
     hot_least = max(1, size // n_shards // HOT_PART)
     total, distinct, hot = corpus_counts(rows.select("text", "train"), max(8, -(-size // COUNT_BYTES)), hot_least)
     hot_words = np.array(sorted(hot), dtype=np.uint64)
+    hot_counts = np.array([hot[int(k)] for k in hot_words], dtype=np.int64)
     step = np.log10(max(total, 10)) / 65000
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(name, ids, training flags, tokens of each text, hashes of words and of a text's beginning, numbers, shards, hot words)."""
         no = TaskContext.get().partitionId() << 32
         for b in batches:
             ids, texts, train = (b.column(k).to_pylist() for k in ("doc_id", "text", "train"))
             for first, part in chunks(texts, BLOCK_BYTES):
                 no += 1
                 h, n = _tokens(part)
-                t = np.array(train[first : first + len(part)], dtype=bool)
-                own = ids[first : first + len(part)]
-                block = Block(h, n, n_shards, hot_words)
-                meta = _pack(np.array([i or 0 for i in own], dtype=np.int64).view(np.uint64), np.array([i is None for i in own], dtype=np.uint8), t, n, block.distinct, block.index)
-                out = [(-1 - no % n_shards, meta), *block.messages(np.repeat(t, n))]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([no] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block", "x"])
+                names, index = _numbered(h)
+                names = np.append(names, BEGIN)
+                content = np.bitwise_xor.reduce(mix(h + np.arange(len(h), dtype=np.uint64)))
+                name = int(mix(np.array([content ^ np.uint64(no)], dtype=np.uint64)).view(np.int64)[0])
+                shards = (names % np.uint64(n_shards)).astype(np.int64)
+                yield name, ids[first : first + len(part)], np.array(train[first : first + len(part)], dtype=bool), n, names, index, shards, np.isin(names, hot_words)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, t, n, names, index, shards, is_hot in blocks(batches):
+            out = list(Block(index, n, shards, is_hot, n_shards).messages(names, np.repeat(t, n)))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([name] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block", "x"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, t, n, _, index, shards, is_hot in blocks(batches):
+            x = _pack(np.array([i or 0 for i in ids], dtype=np.int64).view(np.uint64), np.array([i is None for i in ids], dtype=np.uint8), t, n, *_split(index), shards, is_hot)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([x], pa.binary())], names=["block", "x"])
 
     def look_up(g: pd.DataFrame) -> pd.DataFrame:
-        if g["shard"].iloc[0] < 0:
-            return g[["block", "shard", "x"]]
         parts = [_unpack(x) for x in g["x"]]
-        word, n_pairs, low, high, n_grams, u, n = (np.concatenate(x) for x in zip(*parts))
+        word, n_pairs, v, n_grams, low, high, n = (np.concatenate(x) for x in zip(*parts))
         n_pairs, n_grams = n_pairs.astype(np.int64), n_grams.astype(np.int64)
-        v = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        word, u = word.astype(np.uint64), u.astype(np.uint64)
+        word, v, u = word.astype(np.uint64), v.astype(np.uint64), _joined(low, high).astype(np.uint64)
         seen = n > 0
         v_of, w_of = np.repeat(v, n_grams), np.repeat(np.repeat(word, n_pairs), n_grams)
         trie = Trie(w_of[seen], v_of[seen], u[seen], n[seen], step, hot)
@@ -357,17 +390,18 @@ def score_texts(docs: DataFrame, train, mu: float = MU, doc_id: str = "doc_id",
         missing = c == 0  # a frequent word is known though this shard has no training pair of it
         if hot and missing.any():
             at = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
-            c = np.where(missing & (hot_words[at] == word), np.array([hot[int(k)] for k in hot_words], dtype=np.int64)[at], c)
-        ends = [np.cumsum([len(p[k]) for p in parts])[:-1] for k in (0, 2, 5)]
+            c = np.where(missing & (hot_words[at] == word), hot_counts[at], c)
+        ends = [np.cumsum([len(p[k]) for p in parts])[:-1] for k in (0, 2, 4)]
         answers = zip(*(np.split(x, e) for x, e in zip((c, two, three), ends)))
         return pd.DataFrame({"block": g["block"].to_numpy(), "shard": g["shard"].to_numpy(), "x": [_pack(*a) for a in answers]})
 
-    def put_together(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("shard")
-        meta, *answers = [_unpack(x) for x in g["x"]]
-        ids, null, t, n, words, index = meta
+    def put_together(answered: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if len(kept) != 1 or not len(answered):
+            raise RuntimeError("the rows came in another order the second time; write them before they are scored")
+        answers = [_unpack(x) for x in answered.sort_values("shard")["x"]]
+        ids, null, t, n, low, high, shards, is_hot = _unpack(kept["x"].iloc[0])
         n = n.astype(np.int64)
-        block = Block(words.astype(np.uint64)[index], n, n_shards, hot_words)
+        block = Block(_joined(low, high), n, shards.astype(np.int64), is_hot.astype(bool), n_shards)
         c1, c2, c3 = (np.concatenate(x) for x in zip(*answers))
         counted = lambda code: np.where(code > 0, np.power(10.0, (code.astype(np.float64) - 1) * step), 0.0)
         c1, c2, c3 = block.of_tokens(c1.astype(np.float64), counted(c2), counted(c3))
@@ -383,7 +417,8 @@ def score_texts(docs: DataFrame, train, mu: float = MU, doc_id: str = "doc_id",
 
     sent = rows.mapInArrow(send, "shard int, block bigint, x binary")
     back = sent.groupBy("shard").applyInPandas(look_up, "block bigint, shard int, x binary")
-    done = back.groupBy("block").applyInPandas(put_together, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    kept = rows.mapInArrow(keep, "block bigint, x binary")
+    done = back.groupBy("block").cogroup(kept.groupBy("block")).applyInPandas(put_together, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
