@@ -75,6 +75,11 @@ def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFram
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once, however often f uses it: a lambda inside would else compute it for each item."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
     """A join with a table that has one row for each key, when a key may have a third of the other table's rows: these are dealt
     over ``salts`` parts, and the one row goes to each part. Spark sends the one side around instead if it is small."""
