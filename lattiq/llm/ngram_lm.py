@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm import common
-from lattiq.llm.hashing import Words, blank_bytes, chunks, mix
+from lattiq.llm.hashing import CHUNK, Words, blank_bytes, chunks, mix
 
 MU = 30.0
 #: Bytes of text in a block, in a shard of n-grams, and in a shard of the first pass over the words.
-BLOCK_BYTES, SHARD_BYTES, COUNT_BYTES = 8 << 20, 8 << 20, 64 << 20
+BLOCK_BYTES, SHARD_BYTES, COUNT_BYTES = 6 << 20, 4 << 20, 64 << 20
 #: Bits of the hashes of words before; a context's successors are told apart by them.
 V_BITS, U_BITS = 32, 24
 #: A word that takes this part of a shard's tokens (a byte of text at least) is dealt over the shards.
@@ -216,7 +216,14 @@ def _unpack(b: bytes) -> list[np.ndarray]:
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, tokens of each text): each text's words and then one end."""
+    """(hash of each token, tokens of each text): each text's words and then one end. Hashes are made of some texts at a time."""
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = [0, *np.flatnonzero(np.diff(ends // CHUNK) > 0) + 1, len(texts)]
+    parts = [_tokens_of(texts[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     w = Words(texts, blank_bytes())
     n = w.counts() + 1
     h = np.empty(len(w.hash) + len(texts), dtype=np.uint64)
@@ -247,11 +254,11 @@ class Block:
     """
 
     def __init__(self, index: np.ndarray, n: np.ndarray, shards: np.ndarray, hot: np.ndarray, n_shards: int):
-        w, begin = index.astype(np.int64), len(shards) - 1
+        w, begin = index.astype(np.int32), len(shards) - 1
         v = _shifted(w, n, begin)
-        before = v * len(shards) + _shifted(v, n, begin)
-        shard = np.where(hot[w], (shards[w] + shards[v]) % n_shards, shards[w])
-        key = shard * len(shards) + w
+        before = v * np.int64(len(shards)) + _shifted(v, n, begin)
+        key = np.where(hot[w], (shards[w] + shards[v]) % n_shards, shards[w]) * len(shards) + w
+        del v
         self.order = order = np.lexsort((before, key))
         key, before = key[order], before[order]
         new = lambda x: np.concatenate([[True], x[1:] != x[:-1]])
@@ -261,7 +268,7 @@ class Block:
         at_w, at_v, self.at_u = np.flatnonzero(new_w), np.flatnonzero(new_v), np.flatnonzero(new_u)
         self.shard, self.word = key[at_w] // len(shards), key[at_w] % len(shards)
         self.v, self.u = before[at_v] // len(shards), before[self.at_u] % len(shards)
-        self.of_word, self.of_pair, self.of_gram = (np.cumsum(x) - 1 for x in (new_w, new_v, new_u))
+        self.of_word, self.of_pair, self.of_gram = (np.cumsum(x, dtype=np.int32) - 1 for x in (new_w, new_v, new_u))
         last = lambda at: np.append(at[1:], len(w)) - 1
         self.pair_end, self.gram_end = self.of_pair[last(at_w)] + 1, self.of_gram[last(at_v)] + 1
 
@@ -313,7 +320,7 @@ def corpus_counts(rows: DataFrame, n_shards: int, hot_least: int) -> tuple[int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t for t, k in zip(b.column("text").to_pylist(), b.column("train").to_pylist()) if k]
-            for _, part in chunks(texts, 2 * BLOCK_BYTES):
+            for _, part in chunks(texts, 2 * BLOCK_BYTES):  # twice a block: fewer words are sent again
                 words, n = np.unique(_tokens(part)[0], return_counts=True)
                 shard = (words % np.uint64(n_shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
