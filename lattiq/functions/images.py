@@ -127,3 +127,18 @@ def channel_slice(data: Column, n_channels: int, start: int, stop: int) -> Colum
 def channels_split(data: Column, n_channels: int) -> Column:
     """An array of one flat image for each channel."""
     return F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), lambda c: F.filter(data, lambda x, i: i % n_channels == c))
+
+
+def percentiles(data: Column, ps: Sequence[float]) -> Column:
+    """An array of the values below which these percents lie, interpolated between neighbours; null for an empty image."""
+
+    def of_sorted(x: Column) -> Column:
+        def one(p: float) -> Column:
+            at = (F.size(x) - 1) * F.lit(p / 100)
+            low = F.floor(at).cast("int")
+            value = lambda i: F.element_at(x, F.least(i, F.size(x) - 1) + 1)
+            return value(low) + (value(low + 1) - value(low)) * (at - low)
+
+        return F.array(*[one(p) for p in ps])
+
+    return F.when(F.size(data) > 0, F.element_at(F.transform(F.array(F.array_sort(data)), of_sorted), 1))

@@ -95,7 +95,7 @@ def illumination(image: np.ndarray, points_y: np.ndarray | None, points_x: np.nd
     return rescaled(out, lo, hi)
 
 
-def gaussian_noise(image: np.ndarray, sigma: float, rng: np.random.Generator, to_range: bool = True) -> np.ndarray:
+def gaussian_noise(image: np.ndarray, sigma: float, rng: np.random.Generator, to_range: bool = False) -> np.ndarray:
     s = sigma * float(image.max() - image.min()) if to_range else sigma
     return image + rng.normal(0, s, image.shape)
 

@@ -55,10 +55,17 @@ def with_side_array(images: DataFrame, arrays: DataFrame, column: str, keys: Seq
 def resolve_ids(ids: DataFrame, parts: DataFrame, gid: str = "global_idx") -> DataFrame:
     """The sub-dataset (or group, or child) whose range holds each id, and the id's place in it.
 
-    ``parts`` is a catalog, a row for each sub-dataset: it goes to the rows as a sorted array, and each row looks its range up.
+    ``parts`` is a catalog, a row for each sub-dataset: it goes to the rows as a sorted array, and each row looks its range up in
+    two short steps, over every k-th offset and then over the k that follow. Ids outside of all ranges are left out.
     """
-    c = parts.agg(F.array_sort(F.collect_list(F.struct("offset", "n", *[x for x in parts.columns if x not in ("offset", "n")]))).alias("__c"))
+    names = [x for x in parts.columns if x not in ("offset", "n")]
+    c = parts.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("offset", "n", *names))).alias("__c"))
     out = ids.withColumn("__c", c.scalar())
-    hit = F.element_at(F.filter("__c", lambda p: (p["offset"] <= F.col(gid)) & (F.col(gid) < p["offset"] + p["n"])), 1)
-    out = out.where(F.exists("__c", lambda p: (p["offset"] <= F.col(gid)) & (F.col(gid) < p["offset"] + p["n"]))).withColumn("__h", hit)
-    return out.select(*ids.columns, *[F.col("__h")[x].alias(x) for x in parts.columns if x not in ("offset", "n")], (F.col(gid) - F.col("__h")["offset"]).alias("im_idx"))
+    step = F.greatest(F.ceil(F.sqrt(F.size("__c"))), F.lit(1)).cast("int")
+    every = F.sequence(F.lit(0), F.greatest(F.floor((F.size("__c") - 1) / step), F.lit(0)).cast("int"))
+    coarse = F.size(F.filter(every, lambda k: F.get("__c", (k * step).cast("int"))["offset"] <= F.col(gid)))
+    out = out.withColumns({"__step": step, "__k": coarse})
+    fine = F.size(F.filter(F.slice("__c", F.greatest((F.col("__k") - 1) * F.col("__step") + 1, F.lit(1)), F.col("__step")), lambda p: p["offset"] <= F.col(gid)))
+    out = out.where("__k > 0").withColumn("__h", F.get("__c", ((F.col("__k") - 1) * F.col("__step") + fine - 1).cast("int")))
+    out = out.where(F.col(gid) < F.col("__h")["offset"] + F.col("__h")["n"])
+    return out.select(*ids.columns, *[F.col("__h")[x].alias(x) for x in names], (F.col(gid) - F.col("__h")["offset"]).alias("im_idx"))

@@ -35,7 +35,8 @@ class Scaling:
     centiles_low: tuple[float, float] = (0.1, 5)
     centiles_high: tuple[float, float] = (95, 99.9)
     saturation: tuple[float, float] = (1.0, 1.0)
-    min_max: tuple[float, float] = (0.1, 1.0)
+    least_width: float = 0.1
+    value_range: tuple[float, float] = (0.0, 1.0)
     center_range: tuple[float, float] = (0.0, 0.0)
     scale_range: tuple[float, float] = (1.0, 1.0)
     per_image: bool = False
@@ -48,24 +49,32 @@ class Scaling:
 
     def draw(self, rng: np.random.Generator) -> dict:
         if self.mode == RANDOM_CENTILES:
-            return {"low": rng.uniform(*self.centiles_low), "high": rng.uniform(*self.centiles_high)}
+            # places between the values at either end's two percentiles; the ranks there must be in order
+            rank = lambda ends, u: ends[0] + (ends[1] - ends[0]) * u
+            while True:
+                u, v = rng.random(2)
+                if rank(self.centiles_low, u) < rank(self.centiles_high, v):
+                    return {"low": u, "high": v}
         if self.mode == RANDOM_MIN_MAX:
-            a, b = draw_range(rng, self.min_max[0], 0.0, self.min_max[1])
-            return {"to": (a, b)}
+            return {"to": draw_range(rng, self.least_width, *self.value_range)}
         if self.mode == CONSTANT:
             return self.constant()
         return {"center": rng.uniform(*self.center_range), "scale": rng.uniform(*self.scale_range)}
 
     def constant(self) -> dict:
         if self.mode == RANDOM_CENTILES:
-            return {"low": sum(self.centiles_low) / 2, "high": sum(self.centiles_high) / 2}
+            return {"ranks": (sum(self.centiles_low) / 2, sum(self.centiles_high) / 2)}
         if self.mode == RANDOM_MIN_MAX:
-            return {"to": (0.0, self.min_max[1])}
+            return {"to": (0.0, 1.0)}
         return {"center": sum(self.center_range) / 2, "scale": sum(self.scale_range) / 2}
 
     def apply(self, image: np.ndarray, p: dict, rng: np.random.Generator | None = None) -> np.ndarray:
         if self.mode == RANDOM_CENTILES:
-            lo, hi = np.percentile(image, [p["low"], p["high"]])
+            if "ranks" in p:
+                lo, hi = np.percentile(image, p["ranks"])
+            else:
+                a, b, c, d = np.percentile(image, [*self.centiles_low, *self.centiles_high])
+                lo, hi = a + (b - a) * p["low"], c + (d - c) * p["high"]
             y = (image - lo) / ((hi - lo) or 1.0)
             lower, upper = self.saturation
             below = np.zeros_like(y) if lower == 0 else -np.power(np.where(y < 0, -y, 0), lower)
@@ -83,17 +92,17 @@ class Scaling:
 
 @dataclass(frozen=True)
 class Illumination:
-    """Deforms the histogram, varies illumination, blurs, then adds noises; each noise by a coin."""
+    """Deforms the histogram, varies illumination, blurs, then adds noises; each noise by a coin, with a level of its own."""
 
     points: int = 5
     deform: float = 0.5
-    points_yx: tuple[int, int] = (5, 5)
+    points_yx: tuple[int, int] = (0, 0)
     variation: float = 0.6
     blur: tuple[float, float] = (0.0, 2.0)
     noise: float = 0.1
     gaussian: bool = True
     poisson: bool = True
-    speckle: bool = True
+    speckle: bool = False
 
     def draw(self, rng: np.random.Generator) -> dict:
         p: dict = {"blur": rng.uniform(*self.blur)}
@@ -101,12 +110,12 @@ class Illumination:
             d = rng.uniform(-1, 1, self.points + 2)
             d[0] = d[-1] = 0
             p["deltas"] = d
-        ny, nx = self.points_yx
-        if ny and nx and self.variation:
-            p["y"], p["x"] = (rng.uniform((1 - self.variation) / 2, (1 + self.variation) / 2, n) for n in (ny, nx))
+        for axis, n in zip("yx", self.points_yx):
+            if n and self.variation:
+                p[axis] = rng.uniform((1 - self.variation) / 2, (1 + self.variation) / 2, n)
         on = [k for k in ("gaussian", "poisson", "speckle") if getattr(self, k) and rng.random() < 0.5]
-        level = rng.uniform(0, self.noise) / 1.5 ** max(0, len(on) - 1)
-        return p | {k: level * (0.7 if k == "gaussian" else 1.0) for k in on}
+        most = self.noise / 1.5 ** (len(on) - 1)
+        return p | {k: rng.uniform(0, most * (0.7 if k == "gaussian" else 1.0)) for k in on}
 
     def constant(self) -> dict:
         return {}
@@ -115,8 +124,11 @@ class Illumination:
         rng = rng or np.random.default_rng(0)
         if "deltas" in p:
             image = kernels.histogram_deform(image, p["deltas"], self.deform)
-        if "y" in p:
-            image = kernels.illumination(image, p["y"], p["x"])
+        if "y" in p or "x" in p:
+            y, x = p.get("y"), p.get("x")
+            if y is not None and x is not None:  # each pixel is multiplied by both curves
+                y, x = np.sqrt(y), np.sqrt(x)
+            image = kernels.illumination(image, y, x)
         if p.get("blur", 0) > 0.33:
             image = kernels.gaussian_blur(image, p["blur"])
         for k, f in (("gaussian", kernels.gaussian_noise), ("poisson", kernels.poisson_noise), ("speckle", kernels.speckle_noise)):

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattiq.operators.positions import quantiles
+
 
 @dataclass(frozen=True)
 class Regime:
@@ -35,7 +37,7 @@ def regime(df: DataFrame, metric: str, enrich: float = 10.0, quantile_min: float
     quantile_min = min(quantile_min, 1 / enrich)
     quantile_max = 1 - quantile_min if quantile_max is None else quantile_max
     m = F.col(metric)
-    (hard, easy), n = df.agg(F.percentile(m, F.array(F.lit(quantile_min), F.lit(quantile_max))), F.count(m)).first()
+    (hard, easy), n = quantiles(df, metric, [quantile_min, quantile_max]), df.select(m).where(m.isNotNull()).count()
     middle = (m > hard) & (m < easy)
     r = (m - easy) / ((hard - easy) or 1.0)
     n_tries = int(round((max_power - 1) / accuracy))

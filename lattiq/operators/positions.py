@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,3 +65,24 @@ def with_positions(df: DataFrame, *order: Column | str, out: str = "pos", cell:
     inside = Window.partitionBy("__cell").orderBy(*order)
     numbered = rows.withColumn("__i", F.row_number().over(inside) - 1)
     return numbered.join(F.broadcast(offsets), F.col("__cell").eqNullSafe(F.col("__at"))).withColumn(out, F.col("__before") + F.col("__i")).drop("__i", "__before", "__at", "__cell")
+
+
+def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
+    """Exact quantiles (0 to 1) of a column's values, interpolated between neighbours; nulls do not count. None without values.
+
+    Rows are counted by range, the ranges that hold the wanted ranks are known from the counts, and only those are sorted.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    values = values.withColumn("c", range_cell(values, "v"))
+    counts = sorted((r[0], r[1]) for r in values.groupBy("c").count().collect())  # a row for each range
+    n = sum(k for _, k in counts)
+    if not n:
+        return [None] * len(ps)
+    wanted = sorted({k for p in ps for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    found, before = {}, 0
+    for c, k in counts:
+        for rank in (r for r in wanted if before <= r < before + k):
+            found[rank] = values.where(F.col("c") == c).orderBy("v").offset(rank - before).limit(1).first()[0]
+        before += k
+    at = lambda x: found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x))
+    return [at(p * (n - 1)) for p in ps]

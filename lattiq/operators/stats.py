@@ -178,7 +178,7 @@ def center_scale_from_histogram(hist: DataFrame, center_extent: float | tuple[fl
     return v[:2], [x - m for x in v[2:]]
 
 
-def center_scale_range(df: Values, fluorescence: bool = False, center_extent: float | tuple[float, float] = 15, scale_range: tuple[float, float] = (75, 99.9), scale_max: float | None = None, sd_factor: float = 3.0, channel: str | None = None) -> tuple[list[float], list[float]]:
+def center_scale_range(df: Values, fluorescence: bool = False, center_extent: float | tuple[float, float] = (20, 30), scale_range: tuple[float, float] = (75, 99.9), scale_max: float | None = None, sd_factor: float = 3.0, channel: str | None = None) -> tuple[list[float], list[float]]:
     """(center range, scale range). Bright field: mean and deviation (averaged over channels) times or over a factor."""
     if fluorescence:
         edges = ipr_edges(histogram(df, 1000), 256, (0, 95))

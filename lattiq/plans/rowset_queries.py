@@ -179,7 +179,11 @@ def weights_normalised(spark, sf):
     return rounded(rowset.normalized_weights(e, "w", "event_type").select("event_id", "p"), 9)
 
 
-@query("weighted_resample")
+@query("weighted_resample", f"""
+WITH e AS (SELECT event_id, value AS w, {_EVENT_HASH} AS h FROM events),
+c AS (SELECT event_id, sum(w) OVER (ORDER BY h, event_id) / sum(w) OVER () * 500 AS stop, w / sum(w) OVER () * 500 AS part FROM e),
+p AS (SELECT k + ((k + 1) * 2654435761 % 4294967296) / 4294967296.0::DOUBLE AS x FROM range(500) r(k))
+SELECT event_id, count(*) AS times FROM c JOIN p ON x < stop AND x >= stop - part GROUP BY event_id""")
 def weighted_resample(spark, sf):
     e = table(spark, sf, "events").select("event_id", "value")
     return rowset.resampled(e, "value", 500, "event_id").groupBy("event_id").agg(F.count("*").alias("times"))
@@ -191,6 +195,22 @@ def split_hash(spark, sf):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
+@query("split_documents", f"""WITH r AS (SELECT doc_id, lang, len(text) AS n, row_number() OVER (ORDER BY {HASH.format('doc_id')}, doc_id) - 1 AS pos, count(*) OVER () AS rows FROM documents)
+SELECT doc_id, lang, n, pos < CAST(floor(rows * 0.2::DOUBLE) AS BIGINT) AS is_test FROM r""")
+def split_documents(spark, sf):
+    """Whole rows, texts too, go to either side."""
+    train, test = rowset.split(table(spark, sf, "documents"), "doc_id", 0.2)
+    both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+    return both.select("doc_id", "lang", F.length("text").cast("bigint").alias("n"), "is_test")
+
+
+@query("shuffled_orders", f"""WITH o AS (SELECT o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY {HASH.format('(o_orderkey + 3)')}, o_orderkey) - 1 AS pos FROM orders)
+SELECT o_orderkey, o_totalprice, o_orderpriority, pos FROM o""")
+def shuffled_orders(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return rowset.shuffled(o, "o_orderkey", 3)
+
+
 @query("concat_proportion", f"""WITH a AS (SELECT event_id AS id, 0 AS part, row_number() OVER (ORDER BY {_EVENT_HASH}, event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
 b AS (SELECT s_suppkey AS id, 1 AS part, row_number() OVER (ORDER BY {HASH.format('s_suppkey')}, s_suppkey) - 1 AS pos, count(*) OVER () AS n FROM supplier)
 SELECT id, part, pos FROM a WHERE pos < greatest(1, floor(n * 0.1::DOUBLE + 0.5)) UNION ALL SELECT id, part, pos + k * n FROM b, range(10) r(k) WHERE pos + k * n < greatest(1, floor(n * 2.5::DOUBLE + 0.5))""")

@@ -157,8 +157,7 @@ def scale_constant(spark, sf):
 WITH d AS ({PIXELS}), q AS (SELECT vec_id, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM d GROUP BY 1)
 SELECT vec_id, round(sum(CASE WHEN v <= lo THEN 0 WHEN v >= hi THEN 1 ELSE (v - lo) / (hi - lo) END), 5) AS total FROM d JOIN q USING (vec_id) GROUP BY 1""")
 def scale_percentile_clamp(spark, sf):
-    q = pixels(spark, sf).groupBy("vec_id").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    df = vectors(spark, sf).join(q, "vec_id")
+    df = vectors(spark, sf).withColumn("q", images.percentiles(F.col("data"), [5, 95]))
     d = images.scale_percentiles(F.col("data"), F.col("q")[0], F.col("q")[1], 0.0, 0.0)
     return rounded(df.select("vec_id", images.total(d).alias("total")), 5)
 
@@ -182,8 +181,8 @@ def saturate_power(spark, sf):
 
 @query("image_percentiles", f"SELECT vec_id, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.9), 6) AS p90 FROM ({PIXELS}) GROUP BY 1")
 def image_percentiles(spark, sf):
-    g = pixels(spark, sf).groupBy("vec_id").agg(F.percentile("v", F.lit(0.1)).alias("p10"), F.percentile("v", F.lit(0.9)).alias("p90"))
-    return rounded(g)
+    q = images.percentiles(F.col("data"), [10, 90])
+    return rounded(vectors(spark, sf).select("vec_id", q[0].alias("p10"), q[1].alias("p90")))
 
 
 @query("mask_centroid", f"""

@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lattiq.functions import coords, images, kernels, paths
-from lattiq.operators import augment, mining, rowset
-from lattiq.operators.positions import with_positions
+from lattiq.operators import align, augment, mining, rowset
+from lattiq.operators.positions import quantiles, with_positions
 from lattiq.sources import files, sinks
 from lattiq.streaming import epochs
 
@@ -72,6 +72,56 @@ def test_augmentation_is_repeatable():
         augment.Scaling(augment.FLUORESCENCE, per_image=True)
 
 
+def test_intensity_generators_against_numpy():
+    """With given parameters: values between two percentiles, both curves under a root, noise by its own level."""
+    x = np.random.default_rng(3).gamma(2.0, size=(9, 11))
+    s = augment.Scaling(centiles_low=(1, 6), centiles_high=(90, 99), saturation=(0.0, 0.5))
+    a, b, c, d = np.percentile(x, [1, 6, 90, 99])
+    lo, hi = a + (b - a) * 0.25, c + (d - c) * 0.75
+    y = (x - lo) / (hi - lo)
+    assert np.allclose(s.apply(x, {"low": 0.25, "high": 0.75}), np.where(y < 0, 0, np.where(y > 1, np.sqrt(np.maximum(y, 1)), y)))
+    assert np.allclose(s.apply(x, s.constant()).min(), 0) and s.constant()["ranks"] == (3.5, 94.5)
+    crossed = augment.Scaling(centiles_low=(10, 90), centiles_high=(20, 95))
+    for k in range(50):
+        p = crossed.draw(np.random.default_rng(k))
+        assert 10 + 80 * p["low"] < 20 + 75 * p["high"]
+    lit = augment.Illumination(points=0, points_yx=(2, 2), blur=(0, 0))
+    py, px = np.array([0.5, 1.0]), np.array([0.9, 0.4])
+    raw = (x - x.min()) * np.interp(np.arange(9), [0, 8], np.sqrt(py))[:, None] * np.interp(np.arange(11), [0, 10], np.sqrt(px))
+    assert np.allclose(lit.apply(x, {"y": py, "x": px}), np.interp(raw, (raw.min(), raw.max()), (x.min(), x.max())))
+    one = (x - x.min()) * np.interp(np.arange(9), [0, 8], py)[:, None]
+    assert np.allclose(lit.apply(x, {"y": py}), np.interp(one, (one.min(), one.max()), (x.min(), x.max())))
+    noise = augment.Illumination(points=0, speckle=True)
+    drawn = [noise.draw(np.random.default_rng(k)) for k in range(400)]
+    for p in drawn:
+        on = [k for k in ("gaussian", "poisson", "speckle") if k in p]
+        assert all(p[k] <= 0.1 / 1.5 ** (len(on) - 1) * (0.7 if k == "gaussian" else 1) for k in on)
+    assert len({len(p) for p in drawn}) == 4 and any(abs(p.get("gaussian", 0) / 0.7 - p.get("poisson", 0)) > 0.01 for p in drawn)
+    rng = np.random.default_rng(8)
+    assert np.allclose(lit.apply(x, {"gaussian": 0.2}, np.random.default_rng(8)), x + rng.normal(0, 0.2, x.shape))
+    assert augment.Scaling(augment.RANDOM_MIN_MAX, value_range=(-1.0, 2.0), least_width=3.0).draw(rng) == {"to": (-1.0, 2.0)}
+
+
+def test_quantiles_percentiles_and_ids(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([np.zeros(400), rng.normal(size=700), [-3.0] * 50])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double").repartition(7)
+    assert np.allclose(quantiles(df, "v", [0, 0.01, 0.3, 0.5, 0.99, 1]), np.quantile(v, [0, 0.01, 0.3, 0.5, 0.99, 1]))
+    assert quantiles(df.limit(0), "v", [0.5]) == [None]
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate((1, 2, 17, 64))] + [(9, [])]
+    got = {r.i: r.q for r in spark.createDataFrame(rows, "i long, d array<double>").select("i", images.percentiles(F.col("d"), [0, 12.5, 50, 100]).alias("q")).collect()}
+    assert got[9] is None and all(np.allclose(got[i], np.percentile(d, [0, 12.5, 50, 100])) for i, d in rows if d)
+    for n in (0, 1, 2, 10, 17):
+        parts, at = [], 5
+        for k in range(n):
+            parts.append((f"d{k}", k % 4, at))
+            at += k % 4
+        catalog = spark.createDataFrame(parts, "ds_path string, n long, offset long")
+        ids = spark.range(0, at + 3).withColumnRenamed("id", "global_idx")
+        want = [(g, p, g - o) for p, m, o in parts for g in range(o, o + m)]
+        assert sorted(map(tuple, align.resolve_ids(ids, catalog).collect())) == sorted(want)
+
+
 def numpy_probability(m, enrich, qmin, qmax):
     q0, q1 = np.quantile(m, [qmin, qmax])
     nh, ne = (m <= q0).sum(), (m >= q1).sum()
