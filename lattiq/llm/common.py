@@ -80,12 +80,13 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """A join with a table that has one row for each key, when a key may have a third of the other table's rows: these are dealt
-    over ``salts`` parts, and the one row goes to each part. Spark sends the one side around instead if it is small."""
+    over ``salts`` parts, and the one row goes to each part. It is a sort-merge join: copies compress so well that they would pass
+    for a small side and be broadcast, whatever they grow to."""
     dealt = many.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     copies = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    return dealt.join(copies.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
 def fold(doc_id: Column | str, n: int) -> Column:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -69,8 +70,41 @@ def test_held_out_rows_of_the_tables(spark):
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([r.predicted == labels[r.doc_id].quality for r in held]) > 0.95
     rows = toxicity.op7_toxicity(spark, sf).collect()
-    clean = [r.predicted for r in rows if r.held_out and r.doc_id in labels and labels[r.doc_id].toxic == 0]
-    assert np.mean(clean) < 0.03
+    of = lambda y: [r.predicted for r in rows if r.held_out and r.doc_id in labels and labels[r.doc_id].toxic == y]
+    assert np.mean(of(0)) < 0.03 and np.mean(of(1)) > 0.8
+
+
+def test_ftrl_against_plain_updates():
+    """The same updates, coordinate by coordinate, in dictionaries."""
+    rows = corpus(30, 5)
+    p = quality.FtrlParams(epochs=2)
+    y = [float(r[2]) for r in rows]
+    w, b = quality.fit_ftrl([r[1].encode() for r in rows], np.array(y), p)
+    x = [dict(zip(*(v.tolist() for v in quality.example(r[1].encode(), p)))) for r in rows]
+    z, n = {}, {}
+    bias, bias_n = math.log(np.mean(y) / (1 - np.mean(y))), 1.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+    rng = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in rng.permutation(len(rows)):
+            now = {i: weight(i) for i in x[k]}
+            g0 = 1 / (1 + math.exp(-(sum(now[i] * v for i, v in x[k].items()) + bias))) - y[k]
+            for i, v in x[k].items():
+                g = g0 * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha * now[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g0 * g0
+            bias -= p.alpha * g0 / (p.beta + math.sqrt(bias_n))
+    assert abs(bias - b) < 1e-6 and all(abs(weight(i) - w[i]) < 1e-5 for i in z) and np.count_nonzero(w) == sum(weight(i) != 0 for i in z)
+    want = [bias + sum(weight(i) * v for i, v in e.items()) for e in x]
+    assert np.allclose(quality.decision([r[1].encode() for r in rows], w, b, p), want, atol=1e-3)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    all_rows = quality.labelled_sample(docs, labels, "quality").count()
+    assert quality.labelled_sample(docs, labels, "quality", max_bytes=5 * 500).count() == 5 < all_rows
 
 
 def test_toxicity_ignores_case_of_all_letters():

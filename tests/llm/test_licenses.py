@@ -77,3 +77,12 @@ def test_standard_files_and_headers(spark):
     rows += [("other/proprietary", "Copyright 2020 Acme.\nAll rights reserved."), ("other/none", "The rights of the people and copyright in general are a long story.\n\n" + "And so on. " * 60)]
     got = {r.path: r.licence for r in lic.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {p: p.split("/")[1] for p, _ in rows if p != "other/none"}
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null ids, sources and texts, repeated rows, a very long text and clashing columns; a row without an id takes no one's licence."""
+    mit = "Released under the MIT License.\nmore"
+    rows = [(None, mit, None, None, "a"), (None, "plain", None, None, "a"), (1, mit, "en", "web", "b"), (2, "plain", "en", "web", "c"), (2, "plain", "en", "web", "c"), (3, None, "en", "web", "d"), (250, "plain " * 100_000, "en", "web", "e"), (None, None, "en", "web", "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, licence string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id or 0), r.licence or "", r.via or "") for r in lic.op8_licenses(spark, str(tmp_path)).collect())
+    assert got == sorted([(0, "MIT", "own"), (0, "", ""), (1, "MIT", "own"), (2, "MIT", "inherited"), (2, "MIT", "inherited"), (3, "MIT", "inherited"), (250, "", ""), (0, "", "")])
