@@ -69,3 +69,8 @@ def resolve_ids(ids: DataFrame, parts: DataFrame, gid: str = "global_idx") -> Da
     out = out.where("__k > 0").withColumn("__h", F.get("__c", ((F.col("__k") - 1) * F.col("__step") + fine - 1).cast("int")))
     out = out.where(F.col(gid) < F.col("__h")["offset"] + F.col("__h")["n"])
     return out.select(*ids.columns, *[F.col("__h")[x].alias(x) for x in names], (F.col(gid) - F.col("__h")["offset"]).alias("im_idx"))
+
+
+def inspected(ids: DataFrame, catalogue: DataFrame, gid: str = "global_idx") -> DataFrame:
+    """For each id its place in its sub-dataset, the sub-dataset's number and path."""
+    return resolve_ids(ids, catalogue, gid).select(gid, "im_idx", "ds_idx", "ds_path")

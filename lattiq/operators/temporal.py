@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattiq.functions.paths import barcode_of, frame_of
+from lattiq.operators.positions import hash_order
 
 
 def clamped_neighbour(im: Column, n: Column, k: int) -> Column:
@@ -31,11 +32,11 @@ def max_increment(df: DataFrame, k: int, back: bool = True, series: str = "ds_id
     return df.withColumn(out, F.coalesce(*steps, F.lit(0))).drop("__f", "__b")
 
 
-def frame_stack(df: DataFrame, columns: Sequence[str], n_frames: int = 1, stride: int = 1, before: bool = True, after: bool = True, series: str = "ds_idx", im: str = "im_idx", label: str | None = None, keep_current: Column | None = None) -> DataFrame:
+def frame_stack(df: DataFrame, columns: Sequence[str], n_frames: int = 1, stride: int | tuple[Column, Sequence[int]] = 1, before: bool = True, after: bool = True, series: str = "ds_idx", im: str = "im_idx", label: str | None = None, keep_current: Column | None = None) -> DataFrame:
     """Each column becomes an array of its values at t - n*stride ... t ... t + n*stride.
 
     Frames beyond an end repeat the end (or, with labels, the farthest frame still continuous). Where ``keep_current`` holds,
-    all neighbours are the current frame. All columns share one window.
+    all neighbours are the current frame. All columns share one window. A stride may differ by row: a column, and the values it can have.
     """
     w = Window.partitionBy(series).orderBy(im)
 
@@ -51,10 +52,25 @@ def frame_stack(df: DataFrame, columns: Sequence[str], n_frames: int = 1, stride
             v = F.coalesce(*[F.when(step == j, move(c, j).over(w)) for j in range(abs(k), 0, -1)], F.col(c))
         return v if keep_current is None else F.when(keep_current, F.col(c)).otherwise(v)
 
-    offsets = [*([-j * stride for j in range(n_frames, 0, -1)] if before else []), 0, *([j * stride for j in range(1, n_frames + 1)] if after else [])]
+    steps = [*(range(-n_frames, 0) if before else ()), 0, *(range(1, n_frames + 1) if after else ())]
+    strides = [stride] if isinstance(stride, int) else sorted(set(stride[1]))
     if label is not None:
-        df = max_increment(max_increment(df, n_frames * stride, True, series, im, label, "__back"), n_frames * stride, False, series, im, label, "__fwd")
-    return df.withColumns({c: F.array(*[value(c, k) for k in offsets]) for c in columns}).drop("__back", "__fwd")
+        reach = n_frames * max(strides)
+        df = max_increment(max_increment(df, reach, True, series, im, label, "__back"), reach, False, series, im, label, "__fwd")
+
+    def stack(c: str) -> Column:
+        made = [F.array(*[value(c, j * s) for j in steps]) for s in strides]
+        return made[0] if isinstance(stride, int) else F.coalesce(*[F.when(stride[0] == s, a) for s, a in zip(strides, made)])
+
+    return df.withColumns({c: stack(c) for c in columns}).drop("__back", "__fwd")
+
+
+def drawn_frame_stack(df: DataFrame, columns: Sequence[str], batch: Column, low: int, high: int, n_frames: int = 1, remove_probability: float = 0.0, seed: int = 0, **options) -> DataFrame:
+    """A stack whose stride, from ``low`` to ``high``, is drawn for each batch; with ``remove_probability`` a batch's neighbours are
+    all the current frame. The draws are hashes of the batch's number (an integer), so every row of a batch and every rerun agree."""
+    stride = F.lit(low) + F.pmod(F.floor(hash_order(batch + F.lit(seed)) / 65536), F.lit(high - low + 1))
+    still = hash_order(batch + F.lit(seed + 1)) / F.lit(4294967296.0) < remove_probability
+    return frame_stack(df, columns, n_frames, (stride, range(low, high + 1)), keep_current=still if remove_probability else None, **options)
 
 
 def neighbour_ids(df: DataFrame, ids: DataFrame, back: bool, key: str, series: str = "ds_idx", im: str = "im_idx", label: str = "label") -> DataFrame:

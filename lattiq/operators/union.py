@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.operators import rowset
@@ -68,3 +68,21 @@ def multiplied(df: DataFrame, columns: Sequence[str], times: int | Mapping[int,
 def with_weight_map(df: DataFrame, column: str, post, weight) -> DataFrame:
     """Post-processed values with the weight map of the unprocessed ones behind them."""
     return df.withColumn(column, F.concat(post(F.col(column)), weight(F.col(column))))
+
+
+def concat_batches(parts: Sequence[DataFrame], counts: Sequence[int], batch: str = "batch") -> DataFrame:
+    """Batched parts one after the other: a part's batches keep their rows and follow those of the parts before it.
+
+    ``counts`` are the numbers of batches. Parts must have the same columns; ``part`` says which one a batch is of.
+    """
+    if len({tuple(sorted(p.columns)) for p in parts}) > 1:
+        raise ValueError("parts have different columns")
+    before = [sum(counts[:i]) for i in range(len(parts))]
+    out = [p.withColumns({batch: (F.col(batch) + b).cast("bigint"), "part": F.lit(i)}) for i, (p, b) in enumerate(zip(parts, before))]
+    return union_all(out)
+
+
+def transposed(items: Column, fields: Sequence[str]) -> Column:
+    """An array of structs as a struct of arrays."""
+    field = lambda f: F.transform(items, lambda x: x[f]).alias(f)
+    return F.struct(*map(field, fields))

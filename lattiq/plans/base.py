@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,3 +42,13 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that sums in another order agree."""
     return df.select(*[(F.round(c, digits) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder spark.checkpoint.dir; a local session without one gets a folder of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="lattiq-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.plans import rowset_queries, stats_queries, udf_queries  # noqa: F401  each module registers its queries
+from lattiq.plans import io_queries, rowset_queries, stats_queries, udf_queries  # noqa: F401  each module registers its queries
 from lattiq.plans.base import REGISTRY, Query
 
 

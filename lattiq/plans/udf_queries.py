@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from lattiq.functions import coords, images, kernels
 from lattiq.operators import augment
-from lattiq.plans.base import PIXELS, SHAPE, query, rounded, table, vectors
+from lattiq.plans.base import PIXELS, SHAPE, query, rounded, scratch, table, vectors
 from lattiq.sources import sinks
 from lattiq.streaming import epochs
 
@@ -65,7 +63,7 @@ def poisson_noise(spark, sf):
 def stream_event_windows(spark, sf):
     """The stream reads the table as arriving files and writes each window once it is complete; all of them at its end."""
     schema = table(spark, sf, "events").schema
-    root = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints") + f"/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     counts = epochs.windowed_counts(spark, f"{sf}/event[s].parquet", schema)
     # complete mode gives every window; the last batch is the result
     epochs.run_batches(counts, f"{root}/state", lambda df, no: df.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")

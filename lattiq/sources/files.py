@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattiq.functions import paths
+from lattiq.functions import kernels, paths, tiff
 from lattiq.operators import union
 
 SCHEMA = "ds_path string, im_idx bigint, shape array<int>, data array<double>"
@@ -30,11 +30,13 @@ def decode_npy(content: bytes) -> np.ndarray:
 
 
 def decode_image(content: bytes) -> np.ndarray:
-    """One image, or all frames of a multi-page file."""
+    """One image, or all frames of a multi-page file; without Pillow, uncompressed TIFF only."""
     try:
         from PIL import Image, ImageSequence
     except ImportError as e:
-        raise ImportError("reading png and tif files needs Pillow") from e
+        if content[:2] in (b"II", b"MM"):
+            return tiff.decode(content)
+        raise ImportError("reading png files needs Pillow") from e
     with Image.open(io.BytesIO(content)) as im:
         frames = [np.asarray(f) for f in ImageSequence.Iterator(im)]
     return frames[0] if len(frames) == 1 else np.stack(frames)
@@ -54,15 +56,22 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length").withColumn("ext", paths.extension(F.col("path")))
 
 
-def read_frames(spark: SparkSession, folder: str, extension: str = ".npy", name: str | None = None, group: str | None = None, one_image_per_file: bool = False) -> DataFrame:
+def fitted(image: np.ndarray, shape: tuple[int, int] | None, order: int = 1) -> np.ndarray:
+    """An image in another shape: by the nearest pixel (order 0, as labels need) or linearly (1)."""
+    return image if shape is None or image.shape[:2] == tuple(shape) else kernels.zoomed(image, tuple(shape), order)
+
+
+def read_frames(spark: SparkSession, folder: str, extension: str | Sequence[str] = ".npy", name: str | None = None, group: str | None = None, one_image_per_file: bool = False, target_shape: tuple[int, int] | None = None, order: int = 1) -> DataFrame:
     """Rows of images from files.
 
     With one image for each file, a directory is a sub-dataset and its files are its images in the order of their paths;
     otherwise each file is a sub-dataset and its first axis numbers the frames. ``name`` is the channel: the directory's
-    base name, or a part of the file's. ``group`` selects by path.
+    base name, or a part of the file's. ``group`` selects by path. With several extensions each file is decoded by its own;
+    ``target_shape`` resizes every image.
     """
-    decode = decoder(extension)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{extension}").load(folder)
+    decoders = {e: decoder(e) for e in ([extension] if isinstance(extension, str) else extension)}
+    decode = lambda content, path: next(f for e, f in decoders.items() if path.lower().endswith(e))(content)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{','.join(decoders)}}}").load(folder)
     files = files.where(paths.in_group(F.col("path"), group))
     if one_image_per_file:
         files = files.withColumn("ds_path", paths.parent_path(F.col("path")))
@@ -70,20 +79,21 @@ def read_frames(spark: SparkSession, folder: str, extension: str = ".npy", name:
         # numbers are given to paths alone, content joins them by path
         numbers = files.select("ds_path", "path").withColumn("im_idx", F.row_number().over(Window.partitionBy("ds_path").orderBy("path")).cast("bigint") - 1)
         files = files.select("path", "content").join(numbers, "path")
+        files = files.select("path", "content", "ds_path", "im_idx")
     else:
         files = files.where(F.contains(paths.base_name(F.col("path")), F.lit(name))) if name else files
         files = files.select("path", "content", F.col("path").alias("ds_path"), F.lit(0).cast("bigint").alias("im_idx"))
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content, ds, im in zip(b["content"], b["ds_path"], b["im_idx"]):
-                a = decode(content)
-                a = a[None] if one_image_per_file else a
+            for path, content, ds, im in zip(b["path"], b["content"], b["ds_path"], b["im_idx"]):
+                a = decode(content, path)
+                a = a[None] if one_image_per_file or path.lower().endswith(IMAGE_EXTENSIONS) and a.ndim == 2 else a
                 for k in range(0, len(a), 256):  # a long movie is not one batch
-                    part = a[k : k + 256]
+                    part = [fitted(x, target_shape, order) for x in a[k : k + 256]]
                     yield pd.DataFrame({"ds_path": ds, "im_idx": im + k + np.arange(len(part)), "shape": [list(x.shape) for x in part], "data": [x.astype(np.float64).ravel() for x in part]})
 
-    return files.select("content", "ds_path", "im_idx").mapInPandas(frames, SCHEMA)
+    return files.select("path", "content", "ds_path", "im_idx").mapInPandas(frames, SCHEMA)
 
 
 def read_hdf5(spark: SparkSession, path: str, channel: str, group: str | None = None) -> DataFrame:
@@ -109,7 +119,7 @@ def read_hdf5(spark: SparkSession, path: str, channel: str, group: str | None =
 
 
 def open_dataset(spark: SparkSession, source: DataFrame | str | Sequence[str], channel: str | None = None, group: str | None = None) -> DataFrame:
-    """A table as it is; parquet; HDF5 by its suffix; npy files, or folders of them; a list is a union in which later
+    """A table as it is; parquet; HDF5 by its suffix; npy and image files, or folders of them; a list is a union in which later
     stores replace earlier ones' paths."""
     if isinstance(source, DataFrame):
         return source
@@ -126,7 +136,7 @@ def open_dataset(spark: SparkSession, source: DataFrame | str | Sequence[str], c
             return read_frames(spark, source, ext, channel, group)
     if "." in source.rsplit("/", 1)[-1]:
         raise ValueError(f"unsupported dataset {source}")
-    return read_frames(spark, source, ".npy", channel, group, one_image_per_file=True)
+    return read_frames(spark, source, (*ARRAY_EXTENSIONS, *IMAGE_EXTENSIONS), channel, group, one_image_per_file=True)
 
 
 def datasets_with_suffix(images: DataFrame, suffix: str, group: str | None = None) -> DataFrame:

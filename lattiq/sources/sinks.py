@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from lattiq.functions import tiff
 from lattiq.functions.paths import replace_last
 
 
@@ -56,28 +57,72 @@ def write_if_missing(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
+RUN = 1024
+
+
+def write_range(df: DataFrame, path: str, staging: str, run: int = RUN) -> None:
+    """Rows of (ds_path, im_idx) replace those that are there; others stay.
+
+    A store is cut into runs of images, and only the runs that the rows touch are read, merged and written again. The merged runs go
+    to ``staging`` (a fresh shared path) first, so that nothing is overwritten while it is read, and a failed job can be run again.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("run", F.floor(F.col("im_idx") / run))
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        old = spark.read.parquet(path).select(*new.columns)
+        old = old.join(new.select("ds_path", "run").distinct(), ["ds_path", "run"], "left_semi")
+        new = new.unionByName(old.join(new.select("ds_path", "im_idx"), ["ds_path", "im_idx"], "left_anti"))
+    new.write.parquet(staging)
+    merged = spark.read.schema(new.schema).parquet(staging).repartition("ds_path", "run")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ds_path", "run").parquet(path)
+
+
+def write_routed(df: DataFrame, stores: Mapping[str, str], mode: str = "append") -> None:
+    """Each row to the store whose key its path begins with, the longest such key first; a path of no store is an error."""
+    keys = sorted(stores, key=lambda k: (-len(k), k))
+    owner = F.coalesce(*[F.when(F.col("ds_path").startswith(k), F.lit(k)) for k in keys])
+    rows = df.withColumn("__store", F.coalesce(owner, F.raise_error(F.concat(F.lit("no store for "), F.col("ds_path"))).cast("string")))
+    for k in stores:
+        rows.where(F.col("__store") == k).drop("__store").write.mode(mode).parquet(stores[k])
+
+
+def tiff_files(df: DataFrame, n: int, shape: tuple[int, ...] | None = None, dtype: str = "float32") -> DataFrame:
+    """(name, content) of one uncompressed TIFF file for each image of two axes, or stack of pages of three."""
+    return _files(df, n, shape, ".tif", lambda a: tiff.encode(a.astype(dtype)))
+
+
 def npy_files(df: DataFrame, n: int, shape: tuple[int, ...] | None = None) -> DataFrame:
     """(name, content) of one npy file for each image; names are padded so that they sort by number."""
+
+    def saved(a: np.ndarray) -> bytes:
+        f = io.BytesIO()
+        np.save(f, a)
+        return f.getvalue()
+
+    return _files(df, n, shape, ".npy", saved)
+
+
+def _files(df: DataFrame, n: int, shape: tuple[int, ...] | None, extension: str, save: Callable[[np.ndarray], bytes]) -> DataFrame:
     width = len(str(max(n, 1)))
 
     @F.pandas_udf("binary")
     def encode(data: pd.Series, shapes: pd.Series) -> pd.Series:
-        def one(d: np.ndarray, s: list[int]) -> bytes:
-            f = io.BytesIO()
-            np.save(f, np.asarray(d).reshape([int(v) for v in s]))
-            return f.getvalue()
-
-        return pd.Series([one(d, s) for d, s in zip(data, shapes)])
+        return pd.Series([save(np.asarray(d).reshape([int(v) for v in s])) for d, s in zip(data, shapes)])
 
     s = F.array(*[F.lit(v) for v in shape]) if shape else F.col("shape")
-    name = F.concat("ds_path", F.lit("/"), F.lpad(F.col("im_idx").cast("string"), width, "0"), F.lit(".npy"))
+    name = F.concat("ds_path", F.lit("/"), F.lpad(F.col("im_idx").cast("string"), width, "0"), F.lit(extension))
     return df.select(name.alias("name"), encode(F.col("data"), s).alias("content"))
 
 
 def write_npy(df: DataFrame, folder: str, n: int, shape: tuple[int, ...] | None = None) -> None:
-    """Writes to a folder that all executors mount; a retried task overwrites its own files, each by renaming."""
-    files = npy_files(df, n, shape)
-    root = folder.rstrip("/")
+    write_files(npy_files(df, n, shape), folder)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """(name, content) to a folder that all executors mount; a retried task overwrites its own files, each by renaming."""
+    root = folder.removeprefix("file://").removeprefix("file:").rstrip("/")
 
     def put(rows: Iterator[Row]) -> None:
         import os
