@@ -103,6 +103,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every row; null and empty texts have size 0 and nothing is taken of them, a null source is the last one."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -58,6 +58,8 @@ def assign_shards(docs: DataFrame, n_shards: int, text: str = "text", doc_id: st
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
+    """Size, shard and slot of every row by the law ``bytes``; a null text has size 8 and the checksum of the empty text, and repeated
+    rows have a slot each."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     out = assign_shards(docs, 24)

@@ -194,6 +194,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Each document's score; null and empty texts are scored without features, null ids are held out if crc32 of the empty text says
+    so, and repeated rows repeat."""
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs, common.table(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model)
