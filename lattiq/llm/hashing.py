@@ -12,6 +12,8 @@ _P_INV = pow(_P, -1, 1 << 64)
 _TABLES: dict[str, np.ndarray] = {}
 #: Bytes taken at a time; a longer text is taken alone.
 CHUNK = 1 << 20
+#: Rows and bytes of an Arrow batch that are taken at a time.
+SLICE, SLICE_BYTES = 512, 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +76,13 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK) -> Iterator[tuple[in
         yield first, held
 
 
+def column_chunks(column, rows: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    """Chunks of an Arrow column; few of its texts are Python objects at a time."""
+    for k in range(0, len(column), rows):
+        for first, part in chunks(column.slice(k, rows).to_pylist(), SLICE_BYTES):
+            yield k + first, part
+
+
 def folded(text: bytes) -> bytes:
     """The text without case in any script, composed: one form for e and an accent, and for a sharp s and its capitals."""
     if text.isascii():
