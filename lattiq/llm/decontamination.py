@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import table
-from lattiq.llm.hashing import Words, chunks, folded, non_alnum_bytes, pair
+from lattiq.llm.hashing import Words, column_chunks, folded, non_alnum_bytes, pair
 
 #: Items in one index, which goes to every executor; more items are searched index by index, by the statistics of all.
 MAX_ITEMS = 50_000
@@ -287,13 +287,14 @@ def contaminated(docs: DataFrame, items: list[tuple[int, str]], p: Params = Para
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x = shared.value
             for b in batches:
-                ids, best = b.column("item_ids").to_pylist(), b.column("best_score").to_pylist()
-                for first, part in chunks(b.column(text).to_pylist()):
-                    for k, got in enumerate(search(x, part), first):
+                for first, part in column_chunks(b.column(text)):  # in small batches, so that neither side holds large ones
+                    ids, best = (b.column(c).slice(first, len(part)).to_pylist() for c in ("item_ids", "best_score"))
+                    for k, got in enumerate(search(x, part)):
                         if got:
                             ids[k] = sorted({*ids[k], *(x.ids[i] for i in got)})
                             best[k] = max(best[k] or 0.0, *got.values())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*kept, "item_ids", "best_score"])
+                    held = (b.column(c).slice(first, len(part)) for c in kept)
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*kept, "item_ids", "best_score"])
 
         out = out.mapInArrow(run, out.schema)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattiq.llm import common
-from lattiq.llm.hashing import Words, blank_bytes, chunks, pair
+from lattiq.llm.hashing import Words, blank_bytes, column_chunks, pair
 
 #: Bounds on the labelled rows that a model is fitted on, those with the smallest hash of their id, and on their bytes of text.
 MAX_TRAIN_ROWS, MAX_TRAIN_BYTES = 3000, 64 << 20
@@ -151,11 +151,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, FtrlParams], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = np.empty(b.num_rows)
-            for first, part in chunks(b.column(text).to_pylist()):
-                scores[first : first + len(part)] = decision(part, shared.value, bias, p)
-            scores = 1 / (1 + np.exp(-np.clip(scores, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(scores)], names=[*kept, out])
+            for first, part in column_chunks(b.column(text)):  # in small batches, so that neither side holds large ones
+                scores = 1 / (1 + np.exp(-np.clip(decision(part, shared.value, bias, p), -700, 700)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(first, len(part)) for c in kept), pa.array(scores)], names=[*kept, out])
 
     return docs.mapInArrow(run, docs.select(*kept).schema.add(out, "double"))
 

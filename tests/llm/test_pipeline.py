@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from test_jaccard import brute_kept
 from test_sharding_mixing import brute_mix
 
 import corpus_pipeline
-from lattiq.llm import quality
+from lattiq.llm import decontamination, hashing, quality
 
 
 def five_words(text):
@@ -53,3 +54,25 @@ def test_stages_on_odd_rows(spark, sf):
             assert set(docs.columns) <= set(out.columns)
             out.collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_texts_pass_python_in_small_batches(spark, monkeypatch):
+    """A batch of Spark's ten thousand rows is neither made Python objects nor sent back as a whole."""
+    texts = [None, "", *(f"word{i} and more words of row {i}" for i in range(3000)), "x " * 400_000, "end"]
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(["en"] * len(texts))], names=docs.columns)
+    found = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: found.append((f, self.columns)) or self)
+    quality.score(docs, (np.ones(1 << 18, np.float32), 0.5, quality.FtrlParams()))
+    decontamination.contaminated(docs, [(7, "word5 and more words of row 5 and nothing else that any row of them holds")])
+    assert len(found) == 2
+    for run, columns in found:
+        extra = {"item_ids": pa.array([[]] * len(texts), pa.list_(pa.int64())), "best_score": pa.nulls(len(texts), pa.float64())}
+        b = pa.RecordBatch.from_arrays([*given.columns, *(extra[c] for c in columns if c in extra)], names=[*given.schema.names, *(c for c in columns if c in extra)])
+        got = list(run(iter([b])))
+        assert max(x.num_rows for x in got) <= hashing.SLICE
+        whole = pa.Table.from_batches(got)
+        assert whole.select(given.schema.names).combine_chunks().equals(pa.Table.from_batches([given]))
+        if "score" in whole.column_names:
+            want = quality.decision([(t or "").encode() for t in texts], np.ones(1 << 18, np.float32), 0.5, quality.FtrlParams())
+            assert np.allclose(whole["score"].to_numpy(), 1 / (1 + np.exp(-want)))
