@@ -16,11 +16,12 @@ from lattiq.llm.quality import op1_quality_classifier
 from lattiq.llm.sharding import op2_sharding
 from lattiq.llm.simhash import op3_simhash
 from lattiq.llm.toxicity import op7_toxicity
+from lattiq.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op8_licenses, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op8_licenses, op9_decontamination, op10_mixing, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": OP4_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_embeddings": OP4_SQL, "op10_mixing": OP10_SQL, "op13_vector_codes": OP13_SQL}
