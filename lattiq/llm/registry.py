@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattiq.llm.decontamination import op9_decontamination
 from lattiq.llm.embeddings import OP4_SQL, op4_embeddings
 from lattiq.llm.licenses import op8_licenses
+from lattiq.llm.line_rules import op11_line_rules
 from lattiq.llm.manifest import OP12_SQL, op12_manifest
 from lattiq.llm.mixing import OP10_SQL, op10_mixing
 from lattiq.llm.ngram_lm import op6_ngram_lm
@@ -21,7 +22,7 @@ from lattiq.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op8_licenses, op9_decontamination, op10_mixing, op12_manifest, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_simhash, op4_embeddings, op5_pii, op6_ngram_lm, op7_toxicity, op8_licenses, op9_decontamination, op10_mixing, op11_line_rules, op12_manifest, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
