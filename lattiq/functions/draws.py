@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from lattiq.operators.positions import hash_order
 
 
-def unit(n: Column) -> Column:
-    """A number from 0 to 1 (exclusive) for each integer."""
-    return hash_order(n) / F.lit(4294967296.0)
+def unit(n: Column, seed: int = 0, times: Column | int = 1, plus: Column | None = None) -> Column:
+    """A number from 0 to 1 (exclusive) for each integer n * times + plus + seed."""
+    return hash_order(n, seed, times, plus) / F.lit(4294967296.0)
 
 
 def choice(values: Column, size: int, key: Column, p: Column | None = None, replace: bool = True, seed: int = 0) -> Column:
@@ -24,7 +24,7 @@ def choice(values: Column, size: int, key: Column, p: Column | None = None, repl
     """
     n = F.size(values)
     if replace:
-        u = lambda i: unit(key * size + i + seed)
+        u = lambda i: unit(key, seed, size, i)
         steps = F.sequence(F.lit(0), F.lit(size - 1))
         if p is None:
             at = lambda i: F.floor(u(i) * n).cast("int")
@@ -38,7 +38,7 @@ def choice(values: Column, size: int, key: Column, p: Column | None = None, repl
                 return F.least(passed["i"], n - 1)
 
         return F.when(n > 0, F.transform(steps, lambda i: F.get(values, at(i))))
-    h = lambda j: hash_order(key * n + j + seed)
+    h = lambda j: hash_order(key, seed, n, j)
     if p is None:
         order = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(h(j).cast("double").alias("t"), j.alias("j")))
     else:

@@ -15,10 +15,31 @@ _LEAST_CELL_BITS = 12
 _SAMPLED, _MOST_CELLS = 20, 4096
 
 
-def hash_order(key: Column | str) -> Column:
-    """A multiplicative hash of an integer key, the same in any SQL: the library's shuffle order."""
-    key = F.col(key) if isinstance(key, str) else key
-    return (key.cast("bigint") * F.lit(2654435761)) % F.lit(4294967296)
+#: Odd multipliers of the low and the high 32 bits of a key.
+_LOW, _HIGH = 2654435761, 2246822519
+_WORD = 1 << 32
+
+
+def _times(x: Column, factor: int) -> Column:
+    """x * factor modulo 2**32, for x from 0 to 2**32 - 1: by halves, so that no product leaves 64 bits."""
+    low, high = x.bitwiseAND(F.lit(65535)), F.shiftright(x, 16)
+    return (low * F.lit(factor) + (high * F.lit(factor)).bitwiseAND(F.lit(65535)) * F.lit(65536)).bitwiseAND(F.lit(_WORD - 1))
+
+
+def hash_order(key: Column | str, seed: int = 0, times: Column | int = 1, plus: Column | None = None) -> Column:
+    """A multiplicative hash (0 to 2**32 - 1) of ``key * times + plus + seed``, the same in any SQL: the library's shuffle order.
+
+    Every 64-bit key has one, negative ones too: the low and the high 32 bits are multiplied each by its own number, and sums
+    are modulo 2**32, so nothing overflows. ``times`` and ``plus`` are from 0 to 2**31 - 1. A null key has none.
+    """
+    key = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    word = F.lit(_WORD - 1)
+    h = _times(key.bitwiseAND(word), _LOW) + _times(F.shiftright(key, 32).bitwiseAND(word), _HIGH)
+    if not (isinstance(times, int) and times == 1):
+        h = h.bitwiseAND(word) * (F.lit(times) if isinstance(times, int) else times)
+    if plus is not None:
+        h = h.bitwiseAND(word) + _times(plus.cast("bigint"), _LOW)
+    return (h + F.lit(seed * _LOW % _WORD)).bitwiseAND(word)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -67,22 +88,74 @@ def with_positions(df: DataFrame, *order: Column | str, out: str = "pos", cell:
     return numbered.join(F.broadcast(offsets), F.col("__cell").eqNullSafe(F.col("__at"))).withColumn(out, F.col("__before") + F.col("__i")).drop("__i", "__before", "__at", "__cell")
 
 
+#: Bins of a range in a pass of ``quantiles``, and the rows of a range whose distinct values are fetched.
+_BINS, _FEW = 1024, 1024
+
+
+def _height(v: Column) -> Column:
+    """A number that rises with v over all of its magnitudes: its logarithm, with the sign's side."""
+    return F.when(v > 0, F.ln(v) + F.lit(745.0)).when(v < 0, -(F.ln(-v) + F.lit(745.0))).otherwise(F.lit(0.0))
+
+
+def _height_of(v: float) -> float:
+    return math.copysign(math.log(abs(v)) + 745.0, v) if v else 0.0
+
+
 def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
-    """Exact quantiles (0 to 1) of a column's values, interpolated between neighbours; nulls do not count. None without values.
+    """Exact quantiles (0 to 1) of a column's values, interpolated between neighbours. Nulls and NaN do not count, infinite values
+    are the least and the greatest; None without values.
 
-    Rows are counted by range, the ranges that hold the wanted ranks are known from the counts, and only those are sorted.
+    All wanted ranks are found together. A pass counts the rows of the ranges that hold a wanted rank in bins, and a bin with its rank
+    becomes the next range, from its smallest value to its greatest. Bins are even in the logarithm while a range spans magnitudes, in the value
+    then. A range of one value is done, and one of few rows is fetched as counted values. So a pass brings at most ``_BINS`` counts a rank
+    to the driver, whatever the rows, and a value that many rows share ends a range at once.
     """
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    values = values.withColumn("c", range_cell(values, "v"))
-    counts = sorted((r[0], r[1]) for r in values.groupBy("c").count().collect())  # a row for each range
-    n = sum(k for _, k in counts)
+    v = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    finite = F.when(F.abs(v) < F.lit(math.inf), v)
+    below, n, lo, hi, inside = values.agg(F.count(F.when(v == F.lit(-math.inf), 1)), F.count("*"), F.min(finite), F.max(finite), F.count(finite)).first()
     if not n:
         return [None] * len(ps)
     wanted = sorted({k for p in ps for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    found, before = {}, 0
-    for c, k in counts:
-        for rank in (r for r in wanted if before <= r < before + k):
-            found[rank] = values.where(F.col("c") == c).orderBy("v").offset(rank - before).limit(1).first()[0]
-        before += k
-    at = lambda x: found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x))
+    found = {r: -math.inf if r < below else math.inf for r in wanted if not below <= r < below + inside}
+    #: (least, greatest, rows, rows before) of ranges with wanted ranks
+    ranges = [(lo, hi, inside, below)] if len(found) < len(wanted) else []
+    while ranges:
+        found.update({r: a for a, b, k, before in ranges if a == b for r in wanted if before <= r < before + k})
+        ranges = [x for x in ranges if x[0] < x[1]]
+        few, many = [x for x in ranges if x[2] <= _FEW], [x for x in ranges if x[2] > _FEW]
+        if few:
+            held = F.lit(False)
+            for a, b, *_ in few:
+                held = held | v.between(a, b)
+            counted = sorted((r[0], r[1]) for r in values.where(held).groupBy("v").count().collect())
+            for a, b, _, before in few:
+                for x, k in counted:
+                    if a <= x <= b:
+                        found.update({r: x for r in wanted if before <= r < before + k})
+                        before += k
+        ranges = _refined(values, many, wanted) if many else []
+    at = lambda x: found[math.floor(x)] if found[math.floor(x)] == found[math.ceil(x)] else found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x))
     return [at(p * (n - 1)) for p in ps]
+
+
+def _refined(values: DataFrame, ranges: list[tuple], wanted: list[int]) -> list[tuple]:
+    """The bins of the ranges that hold a wanted rank, as ranges."""
+    v, cell = F.col("v"), F.lit(None).cast("int")
+    for i, (a, b, *_) in enumerate(ranges):
+        far = a <= 0 <= b or max(abs(a), abs(b)) > 1e3 * min(abs(a), abs(b))
+        x, low, high = (_height(v), _height_of(a), _height_of(b)) if far else (v, a, b)
+        width = max((high - low) / _BINS, 5e-324)
+        k = F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(_BINS - 1))
+        # the range's ends have bins of their own, so that a range always gets shorter
+        k = F.when(v <= F.lit(a), 0).when(v >= F.lit(b), _BINS + 1).otherwise(k + 1)
+        cell = F.when(v.between(a, b), (k + i * (_BINS + 2)).cast("int")).otherwise(cell)
+    bins = values.select("v", cell.alias("c")).where("c is not null").groupBy("c").agg(F.min("v"), F.max("v"), F.count("*")).collect()
+    out, at, before = [], -1, 0
+    for c, a, b, k in sorted(bins):
+        if c // (_BINS + 2) != at:
+            at, before = c // (_BINS + 2), ranges[c // (_BINS + 2)][3]
+        if any(before <= r < before + k for r in wanted):
+            out.append((a, b, k, before))
+        before += k
+    return out

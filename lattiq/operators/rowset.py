@@ -28,7 +28,7 @@ def excluded(df: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int = 0, out: str = "pos") -> DataFrame:
     """Positions in shuffle order."""
-    h = hash_order(F.col(key) + F.lit(seed))
+    h = hash_order(key, seed)
     return with_positions(df, h, key, out=out, cell=hash_cell(df, h))
 
 
@@ -139,7 +139,7 @@ def resampled(df: DataFrame, weight: str, size: int, key: str, seed: int = 0) ->
     order, so that one row's part ends exactly where the next one's begins and no point falls between. Weights are not negative;
     a null weight is 0. If they sum to 0, no row is drawn.
     """
-    h = hash_order(F.col(key) + F.lit(seed))
+    h = hash_order(key, seed)
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     rows = df.withColumns({"__b": hash_cell(df, h), "__w": w})
     inside = Window.partitionBy("__b").orderBy(h, key)
@@ -150,7 +150,7 @@ def resampled(df: DataFrame, weight: str, size: int, key: str, seed: int = 0) ->
     cells = cells.withColumn("__t", F.max("__e").over(Window.partitionBy())).select("__b", "__o", "__t")
     rows = rows.join(F.broadcast(cells), "__b").where("__t > 0")
     end, start = (F.col("__o") + F.col("__to")) / F.col("__t") * size, (F.col("__o") + F.col("__from")) / F.col("__t") * size
-    u = lambda k: (hash_order(k + F.lit(seed + 1)) / F.lit(4294967296.0))
+    u = lambda k: hash_order(k, seed + 1) / F.lit(4294967296.0)
     points = F.filter(F.transform(F.sequence(F.greatest(F.floor(start) - 1, F.lit(0)), F.floor(end)), lambda k: F.struct(k.alias("draw"), (k + u(k)).alias("x"))), lambda p: (p["x"] >= start) & (p["x"] < end) & (p["draw"] < size))
     return rows.withColumn("draw", F.explode(points)).withColumn("draw", F.col("draw.draw")).drop("__b", "__w", "__to", "__from", "__o", "__t")
 

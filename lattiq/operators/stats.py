@@ -39,6 +39,12 @@ def decimated(df: DataFrame, batch: str, factor: float) -> DataFrame:
     return df.where(F.floor(k * factor) == F.col(batch))
 
 
+def finite(df: Values) -> Values:
+    """Rows whose value is a number: neither null nor NaN nor infinite. Histograms, summaries and what is derived from them count these."""
+    v = F.col("v").cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+
+
 def _bounds(df: Values) -> tuple[float, float]:
     lo, hi = min_max(df).first()
     return lo, hi
@@ -55,10 +61,10 @@ def histogram(df: Values, bins: int | Sequence[float] | None = None, bin_size: f
     """Counts by bin.
 
     ``bins=n``: the largest value falls on the last bin's lower edge. ``bin_size``: as many bins as fit, the size set anew.
-    A list of edges: half-open bins but the last, which is closed; values outside are left out. NaN and null values are in
-    no bin.
+    A list of edges: half-open bins but the last, which is closed; values outside are left out. NaN, infinite and null values are
+    in no bin, and without others all bins are empty.
     """
-    df = df.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    df = finite(df)
     if bins is None or isinstance(bins, int):
         lo, hi = _bounds(df)
         if lo is None:
@@ -150,11 +156,16 @@ def mean_sd(df: Values, *by: str) -> DataFrame:
 
 
 def distribution_summary(df: Values, n_bins: int = 1000, ps: Sequence[float] = (5, 50, 95)) -> DataFrame:
-    """One row: min, max, mode, mean, sd and the percentiles. Two passes: moments with the bounds, then the histogram."""
+    """One row: min, max, mode, mean, sd and the percentiles of the finite values; of none all are null. Two passes: moments with
+    the bounds, then the histogram."""
+    df = finite(df)
     lo, hi, mean, sd = df.agg(F.min("v"), F.max("v"), F.avg("v"), F.stddev_pop("v")).first()
+    names = ["min", "max", "mode", "mean", "sd", *[f"p{q:g}" for q in ps]]
+    if lo is None:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in names])
     size = ((hi - lo) / (n_bins - 1) if n_bins > 1 else 1.0) or 1.0
     which = F.least(F.floor((F.col("v") - lo) / size), F.lit(n_bins - 1)).cast("int")
-    counts = df.where(F.col("v").isNotNull()).groupBy(which.alias("bin")).agg(F.count("*").alias("cnt"))
+    counts = df.groupBy(which.alias("bin")).agg(F.count("*").alias("cnt"))
     hist = _densified(counts, lambda b: F.lit(lo) + b * F.lit(size), n_bins)
     p = percentiles(hist, ps).crossJoin(mode(hist))  # one row each
     return p.select(F.lit(lo).alias("min"), F.lit(hi).alias("max"), "mode", F.lit(mean).alias("mean"), F.lit(sd).alias("sd"), *[F.col(f"p{i}").alias(f"p{q:g}") for i, q in enumerate(ps)])

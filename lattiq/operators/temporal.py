@@ -68,8 +68,8 @@ def frame_stack(df: DataFrame, columns: Sequence[str], n_frames: int = 1, stride
 def drawn_frame_stack(df: DataFrame, columns: Sequence[str], batch: Column, low: int, high: int, n_frames: int = 1, remove_probability: float = 0.0, seed: int = 0, **options) -> DataFrame:
     """A stack whose stride, from ``low`` to ``high``, is drawn for each batch; with ``remove_probability`` a batch's neighbours are
     all the current frame. The draws are hashes of the batch's number (an integer), so every row of a batch and every rerun agree."""
-    stride = F.lit(low) + F.pmod(F.floor(hash_order(batch + F.lit(seed)) / 65536), F.lit(high - low + 1))
-    still = hash_order(batch + F.lit(seed + 1)) / F.lit(4294967296.0) < remove_probability
+    stride = F.lit(low) + F.pmod(F.floor(hash_order(batch, seed) / 65536), F.lit(high - low + 1))
+    still = hash_order(batch, seed + 1) / F.lit(4294967296.0) < remove_probability
     return frame_stack(df, columns, n_frames, (stride, range(low, high + 1)), keep_current=still if remove_probability else None, **options)
 
 

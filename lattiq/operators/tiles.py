@@ -78,7 +78,7 @@ def _by_aug(c: str, shape: tuple[int, int], ks: range) -> Column:
 def augmented_in_place(df: DataFrame, columns: Sequence[str], shape: tuple[int, int], key: str, rotate: bool = True, seed: int = 0) -> DataFrame:
     """One of the symmetries for each row, drawn by hash, the same for all columns."""
     n = 8 if rotate else 4
-    out = df.withColumn("aug", F.pmod(F.floor(hash_order(F.col(key) + F.lit(seed)) / 65536), F.lit(n)).cast("int"))
+    out = df.withColumn("aug", F.pmod(F.floor(hash_order(key, seed) / 65536), F.lit(n)).cast("int"))
     return out.withColumns({c: _by_aug(c, shape, range(n)) for c in columns})
 
 
@@ -97,7 +97,7 @@ def chosen_tiles(df: DataFrame, weights: str, n_draws: int, key: str, seed: int
     w = F.col(weights)
     total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     even = F.transform(w, lambda x: F.when(total > 0, x / total).otherwise(F.lit(1.0) / F.size(w)))
-    u = hash_order(F.col(key) * n_draws + F.col("draw") + F.lit(seed)) / F.lit(4294967296.0)
+    u = hash_order(key, seed, n_draws, F.col("draw")) / F.lit(4294967296.0)
     pick = F.aggregate("__w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + F.when(a["sum"] + x <= F.col("__u"), 1).otherwise(0)).alias("k")), lambda a: F.least(a["k"], F.size("__w") - 1))
     return df.withColumn("__w", even).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn("__u", u).withColumn(out, pick).drop("__w", "__u")
 

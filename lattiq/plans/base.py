@@ -15,7 +15,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 #: Embeddings are 8 x 8 images; these are their pixels.
 PIXELS = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS px FROM embeddings"
-HASH = "({0} * 2654435761) % 4294967296"
+#: The shuffle order's hash, of keys of any sign and 64 bits.
+HASH = "CAST((({0}::BIGINT & 4294967295)::HUGEINT * 2654435761 + (({0}::BIGINT >> 32) & 4294967295)::HUGEINT * 2246822519) % 4294967296 AS BIGINT)"
 SHAPE = (8, 8)
 
 

@@ -97,3 +97,128 @@ def test_odd_orders(spark):
     assert none.count() == 3
     assert rowset.resampled(spark.range(5).withColumn("w", F.lit(0.0)), "w", 10, "id").count() == 0
     assert isinstance(hash_order("id"), type(F.lit(1)))
+
+
+WIDE = [0, 1, -1, 7, 2**31, 3_474_701_544, 2**32 - 1, 2**32, 2**40, 2**40 + 1, 2**63 - 1, -(2**63), -(2**40)]
+
+
+def wide_hash(k, times=1, plus=0, seed=0):
+    h = lambda x: ((x & 0xFFFFFFFF) * 2654435761 + (x >> 32 & 0xFFFFFFFF) * 2246822519) % 2**32
+    return (h(k) * times + (plus + seed) * 2654435761) % 2**32
+
+
+def test_hash_of_every_id(spark):
+    import duckdb
+
+    from lattiq.plans.base import HASH
+
+    ids = spark.createDataFrame([(k,) for k in WIDE], "k long")
+    got = dict(ids.select("k", hash_order("k")).collect())
+    assert got == {k: wide_hash(k) for k in WIDE}
+    assert dict(duckdb.sql(f"SELECT k, {HASH.format('k')} FROM (SELECT unnest({[str(k) for k in WIDE]}::BIGINT[]) AS k)").fetchall()) == got
+    many = ids.select("k", hash_order("k", 5, 1000, F.lit(17)).alias("h")).collect()
+    assert {r.k: r.h for r in many} == {k: wide_hash(k, 1000, 17, 5) for k in WIDE}
+    # small keys: what key * times + plus + seed itself would give
+    assert wide_hash(123 * 1000 + 17 + 5) == wide_hash(123, 1000, 17, 5)
+
+
+def test_operators_take_every_id(spark):
+    from lattiq.functions import draws
+    from lattiq.operators import temporal, tiles
+
+    ids = spark.createDataFrame([(k, [1.0, 2.0, 3.0, 4.0], float(i)) for i, k in enumerate(WIDE)], "k long, a array<double>, w double")
+    order = sorted(WIDE, key=lambda k: (wide_hash(k), k))
+    assert [r.k for r in rowset.shuffled(ids, "k").orderBy("pos").collect()] == order
+    train, test = rowset.split(ids, "k", 0.5)
+    assert {r.k for r in test.collect()} == set(order[:6]) and train.count() == 7
+    assert {r.k for r in rowset.picked(ids, "k", 0.5).collect()} == set(order[:7])
+    assert rowset.with_void_proportion(ids, "k", F.col("w") < 10, 0.0, 0.5).count() == 6
+    assert rowset.resampled(ids, "w", 20, "k", 9).count() == 20
+    drawn = ids.select("k", draws.choice(F.col("a"), 3, F.col("k"), seed=2).alias("x"), draws.choice(F.col("a"), 2, F.col("k"), replace=False).alias("y")).collect()
+    assert all(r.x == [[1.0, 2.0, 3.0, 4.0][wide_hash(r.k, 3, i, 2) * 4 >> 32] for i in range(3)] and len(set(r.y)) == 2 for r in drawn)
+    assert tiles.chosen_tiles(ids, "a", 2, "k").count() == 2 * len(WIDE)
+    assert tiles.augmented_in_place(ids, ["a"], (2, 2), "k").count() == len(WIDE)
+    c = ids.withColumn("im", F.lit(0))
+    assert temporal.drawn_frame_stack(c, ["w"], F.col("k"), 1, 3, 1, 0.5, series="k", im="im").count() == len(WIDE)
+
+
+def numpy_quantiles(values, ps):
+    return np.quantile(np.array(values), ps, method="linear").tolist()
+
+
+@pytest.mark.parametrize("kind", ["zeros", "tails", "near", "mixed", "tiny", "large"])
+def test_quantiles_against_numpy(spark, kind):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    v = {
+        "zeros": np.where(rng.random(n) < 0.25, 0.0, rng.normal(0, 1, n)),
+        "tails": rng.standard_cauchy(n) ** 9,
+        "near": 1.0 + rng.integers(0, 5000, n) * 2.0**-52,
+        "mixed": np.exp(rng.normal(0, 100, n)) * rng.choice([-1, 1], n),
+        "tiny": rng.random(n) * 5e-320,
+        "large": rng.random(n) * 1.7e308 * rng.choice([-1, 1], n),
+    }[kind]
+    from lattiq.operators.positions import quantiles
+
+    ps = [0, 0.01, 0.25, 0.5, 0.501, 0.99, 1]
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"v": v}))
+    s = np.sort(v)
+    got = quantiles(df, "v", ps)
+    for p, x in zip(ps, got):
+        k = p * (n - 1)
+        a, b = s[int(np.floor(k))], s[int(np.ceil(k))]
+        assert x == (a if a == b else a + (b - a) * (k - np.floor(k)))
+
+
+def test_quantiles_of_odd_values(spark):
+    from lattiq.operators.positions import quantiles
+
+    inf = float("inf")
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "v double")
+    assert quantiles(one(), "v", [0.5]) == [None] and quantiles(one(None, float("nan")), "v", [0, 1]) == [None, None]
+    assert quantiles(one(3.0), "v", [0, 0.3, 1]) == [3.0] * 3
+    assert quantiles(one(1.0, None, float("nan"), 2.0, inf, -inf), "v", [0, 1 / 3, 0.5, 2 / 3, 1]) == pytest.approx([-inf, 1.0, 1.5, 2.0, inf])
+    assert quantiles(one(inf, inf), "v", [0, 0.5]) == [inf, inf]
+
+
+def test_statistics_leave_out_what_is_no_number(spark):
+    from lattiq.operators import mining, stats
+
+    nan, inf = float("nan"), float("inf")
+    odd = spark.createDataFrame([(1.0,), (nan,), (3.0,), (None,), (inf,), (-inf,)], "v double")
+    s = stats.distribution_summary(odd, 3).first()
+    assert (s["min"], s["max"], s["mean"], s["sd"]) == (1.0, 3.0, 2.0, 1.0)
+    none = stats.distribution_summary(odd.where("v is null")).collect()
+    assert len(none) == 1 and set(none[0]) == {None}
+    h = stats.histogram(odd, 2).collect()
+    assert sorted((r.bin, r.lo, r.cnt) for r in h) == [(0, 1.0, 1), (1, 3.0, 1)]
+    p = [r.p for r in mining.index_probability(odd.where("v is null or v < 5 or isnan(v)"), "v").collect()]
+    assert sum(x for x in p if x is not None) == pytest.approx(1) and sum(x is None for x in p) == 2
+    assert [r.p for r in mining.index_probability(odd.where("v is null"), "v").collect()] == [None]
+
+
+def test_probabilities_against_plain_search(spark):
+    """The three regimes, and ties at the quantiles: the power by trying each in turn."""
+    from lattiq.operators import mining
+
+    rng = np.random.default_rng(9)
+    for v, quantile_max in ((rng.random(3000), 0.5), (-rng.random(3000), 0.99), (np.where(rng.random(3000) < 0.25, 0, rng.random(3000)), 0.99), (np.ones(500), 0.99), (rng.random(3000) ** 6, 0.99)):
+        q0, q1 = np.quantile(v, [0.01, quantile_max])
+        mid = (v > q0) & (v < q1)
+        r = (v[mid] - q1) / ((q0 - q1) or 1.0)
+        n_hard, n_easy, p_max = (v <= q0).sum(), (v >= q1).sum(), 10 / len(v)
+        rest = mid.sum() + n_easy - r.sum()
+        p_min = (1 - p_max * (n_hard + r.sum())) / rest if rest else -1
+        power = 1.0
+        if p_min < 0:
+            p_min, target = 0.0, 1 / p_max - n_hard
+            if target <= 0:
+                power = 10.0
+            else:
+                k = next((k for k in range(91) if (r ** (1 + k * 0.1)).sum() <= target), 90)
+                power = 1 + (k - 1 if k and (r ** (1 + k * 0.1)).sum() < target else k) * 0.1
+        p = np.full(len(v), p_min)
+        p[mid] = p_min + (p_max - p_min) * r**power
+        p[v <= q0] = p_max
+        got = mining.regime(spark.createDataFrame([(float(x),) for x in v], "m double"), "m", quantile_max=quantile_max)
+        assert got.power == pytest.approx(power) and got.p_min == pytest.approx(p_min) and got.total == pytest.approx(p.sum())
