@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -34,28 +36,46 @@ def encode(pages: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def decode(content: bytes) -> np.ndarray:
-    """(rows, columns[, samples]) of one page, (pages, ...) of more. Compressed or tiled pages are an error."""
-    order = {b"II": "<", b"MM": ">"}.get(content[:2])
-    if order is None or struct.unpack(order + "H", content[2:4])[0] != 42:
+@dataclass(frozen=True)
+class Page:
+    """One directory of a file: the shape and type of its pixels, and (offset, bytes) of its strips."""
+
+    shape: tuple[int, ...]
+    dtype: str
+    strips: tuple[tuple[int, int], ...]
+
+
+def directories(read: Callable[[int, int], bytes]) -> Iterator[Page]:
+    """The pages of a file of which ``read(offset, size)`` gives bytes, without their pixels. Compressed or tiled pages are an error."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8 or struct.unpack(order + "H", head[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    pages, at = [], struct.unpack(order + "I", content[4:8])[0]
+    at = struct.unpack(order + "I", head[4:8])[0]
     while at:
-        (n,) = struct.unpack_from(order + "H", content, at)
+        (n,) = struct.unpack(order + "H", read(at, 2))
+        block = read(at + 2, 12 * n + 4)
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+            tag, kind, count = struct.unpack_from(order + "HHI", block, 12 * k)
             if kind in FIELD:
                 form = f"{order}{count}{FIELD[kind]}"
-                where = at + 10 + 12 * k
-                tags[tag] = struct.unpack_from(form, content, where if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", content, where)[0])
+                size = struct.calcsize(form)
+                raw = block[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else read(struct.unpack_from(order + "I", block, 12 * k + 8)[0], size)
+                tags[tag] = struct.unpack(form, raw)
         if tags.get(COMPRESSION, (1,))[0] != 1 or STRIPS not in tags or tags.get(PLANAR, (1,))[0] != 1:
             raise ValueError("only uncompressed TIFF strips can be read without Pillow")
         samples = tags.get(SAMPLES, (1,))[0]
         kind = {v: k for k, v in KINDS.items()}[tags.get(FORMAT, (1,))[0]]
-        data = b"".join(content[a : a + b] for a, b in zip(tags[STRIPS], tags[BYTES]))
-        page = np.frombuffer(data, dtype=f"{order}{kind}{tags.get(BITS, (8,))[0] // 8}")
         shape = (tags[HEIGHT][0], tags[WIDTH][0])
-        pages.append(page.reshape(*shape, samples) if samples > 1 else page.reshape(shape))
-        (at,) = struct.unpack_from(order + "I", content, at + 2 + 12 * n)
+        yield Page((*shape, samples) if samples > 1 else shape, f"{order}{kind}{tags.get(BITS, (8,))[0] // 8}", tuple(zip(tags[STRIPS], tags[BYTES])))
+        (at,) = struct.unpack_from(order + "I", block, 12 * n)
+
+
+def decode(content: bytes) -> np.ndarray:
+    """(rows, columns[, samples]) of one page, (pages, ...) of more."""
+    pages = []
+    for p in directories(lambda at, size: content[at : at + size]):
+        data = b"".join(content[a : a + b] for a, b in p.strips)
+        pages.append(np.frombuffer(data, dtype=p.dtype).reshape(p.shape))
     return pages[0] if len(pages) == 1 else np.stack(pages)

@@ -9,7 +9,7 @@ from lattiq.functions import draws, images
 from lattiq.operators import align, rowset, temporal, union
 from lattiq.operators.positions import with_positions
 from lattiq.plans.base import HASH, PIXELS, SHAPE, query, rounded, scratch, table, vectors
-from lattiq.sources import files, sinks
+from lattiq.sources import connector, files, sinks
 
 
 # stores
@@ -50,6 +50,42 @@ def tiff_folder(spark, sf):
     return _folder(spark, sf, "tif")
 
 
+def _sets(spark, sf):
+    """Embeddings as images of three sets."""
+    v = vectors(spark, sf)
+    return v.select(F.concat(F.lit("set"), F.col("vec_id") % 3, F.lit("/raw")).alias("ds_path"), F.col("vec_id").alias("im_idx"), F.array(*map(F.lit, SHAPE)).alias("shape"), "data")
+
+
+def _pixels_of(back):
+    moment = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(back.select("ds_path", "im_idx", F.col("shape")[1].alias("width"), moment.alias("moment")), 5)
+
+
+_SET_ONE = f"""WITH t AS (SELECT vec_id, sum(v * (px + 1)) AS m FROM ({PIXELS}) WHERE vec_id % 3 = 1 GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS im_idx, m FROM t)
+SELECT '{{path}}' AS ds_path, im_idx, 8 AS width, round(m, 5) AS moment FROM n WHERE {{where}}"""
+
+
+@query("connector_files", _SET_ONE.format(path="set1/raw", where="im_idx >= 20"))
+def connector_files(spark, sf):
+    """A file for each image, written and read by the data source; only the files of one set are planned."""
+    folder = scratch(spark, "files")
+    connector.register(spark)
+    _sets(spark, sf).write.format(connector.NAME).option("extension", "tif").option("dtype", "float64").mode("append").save(folder)
+    back = spark.read.format(connector.NAME).load(folder).where("ds_path = 'set1/raw' and im_idx >= 20")
+    return _pixels_of(back)
+
+
+@query("connector_frames", _SET_ONE.format(path="set1/raw.npy", where="im_idx BETWEEN 3 AND 90"))
+def connector_frames(spark, sf):
+    """A file of many frames for each set; several tasks read ranges of one file."""
+    folder = scratch(spark, "frames")
+    connector.register(spark)
+    rows = _sets(spark, sf).repartition("ds_path").sortWithinPartitions("ds_path", "im_idx")
+    rows.write.format(connector.NAME).option("frames", "true").mode("append").save(folder)
+    back = spark.read.format(connector.NAME).option("frames", "true").option("taskBytes", 16 * 512).load(folder)
+    return _pixels_of(back.where(F.col("ds_path").startswith("set1/") & F.col("im_idx").between(3, 90)))
+
+
 @query("range_overwritten", """SELECT 's' || (o_custkey % 2) AS ds_path, o_orderkey AS im_idx, CASE WHEN o_orderkey BETWEEN 3000 AND 4500 THEN -o_totalprice ELSE o_totalprice END AS v FROM orders
 UNION ALL SELECT 's9', k, 1.0::DOUBLE FROM range(3000, 3010) r(k)""")
 def range_overwritten(spark, sf):

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from lattiq.functions import kernels, paths, tiff
 from lattiq.operators import union
+from lattiq.sources import connector
 
 SCHEMA = "ds_path string, im_idx bigint, shape array<int>, data array<double>"
 IMAGE_EXTENSIONS, ARRAY_EXTENSIONS, MOVIE_EXTENSIONS = (".png", ".tif", ".tiff"), (".npy",), (".mov",)
@@ -120,7 +121,8 @@ def read_hdf5(spark: SparkSession, path: str, channel: str, group: str | None =
 
 def open_dataset(spark: SparkSession, source: DataFrame | str | Sequence[str], channel: str | None = None, group: str | None = None) -> DataFrame:
     """A table as it is; parquet; HDF5 by its suffix; npy and image files, or folders of them; a list is a union in which later
-    stores replace earlier ones' paths."""
+    stores replace earlier ones' paths. Local and mounted folders are read by the data source, with paths below the folder; others by Spark's
+    binary reader."""
     if isinstance(source, DataFrame):
         return source
     if not isinstance(source, str):
@@ -136,6 +138,8 @@ def open_dataset(spark: SparkSession, source: DataFrame | str | Sequence[str], c
             return read_frames(spark, source, ext, channel, group)
     if "." in source.rsplit("/", 1)[-1]:
         raise ValueError(f"unsupported dataset {source}")
+    if "://" not in source and not source.startswith("file:"):
+        return connector.register(spark).read.format(connector.NAME).option("mindCase", "true").options(**{k: v for k, v in (("channel", channel), ("group", group)) if v}).load(source)
     return read_frames(spark, source, (*ARRAY_EXTENSIONS, *IMAGE_EXTENSIONS), channel, group, one_image_per_file=True)
 
 
