@@ -53,6 +53,18 @@ def anchor_axis_coords(size: int, tile: int, n: int, interval: tuple[int, int])
     return [int(low + (high - low) * (i / (n - 1))) if i < n - 1 else high for i in range(n)]
 
 
+def counts_2d(exact: tuple[float, float], n: int) -> tuple[int, int]:
+    """Whole numbers of tiles near the exact ones: the axis whose number is nearer to a whole one is rounded and the other takes what
+    n leaves; if that is too few, one more goes where the exact number is nearer to one more."""
+    rounded = min((0, 1), key=lambda a: (abs(round(exact[a]) - exact[a]), a))
+    whole = [0, 0]
+    whole[rounded] = round(exact[rounded])
+    whole[1 - rounded] = n // whole[rounded]
+    if math.prod(whole) < n:
+        whole[min((0, 1), key=lambda a: (abs(whole[a] + 1 - exact[a]), a))] += 1
+    return whole[0], whole[1]
+
+
 def stride_2d(image: tuple[int, int], tile: tuple[int, int], n_tiles: int, anchors: tuple[tuple[int, int], tuple[int, int]] | None = None) -> tuple[tuple[int, int], tuple[int, int]]:
     """((stride y, x), (tiles y, x)) so that the two strides are near and there are about n_tiles."""
     if n_tiles == 1:
@@ -62,17 +74,11 @@ def stride_2d(image: tuple[int, int], tile: tuple[int, int], n_tiles: int, ancho
         raise ValueError("tile is larger than image")
     if anchors is not None:
         room = [min(r, a, s - b) for r, (a, b), s in zip(room, anchors, image)]
-    # (room_y / s + 1)(room_x / s + 1) = n has one positive root
-    total, product, k = sum(room), room[0] * room[1], n_tiles - 1
-    stride = (total + math.sqrt(total * total + 4 * k * product)) / (2 * k)
-    exact = [r / stride + 1 for r in room]
-    count = [round(e) for e in exact]
-    near = 1 if abs(count[1] - exact[1]) < abs(count[0] - exact[0]) else 0
-    count[1 - near] = n_tiles // count[near]
-    if count[0] * count[1] < n_tiles:
-        count[1 if abs(count[1] + 1 - exact[1]) < abs(count[0] + 1 - exact[0]) else 0] += 1
-    strides = tuple(r // (c - 1) if c > 1 else s for r, c, s in zip(room, count, image))
-    return strides, tuple(count)
+    # one stride for both axes: (room_y / s + 1)(room_x / s + 1) = n has one positive root
+    half = sum(room) / (2 * (n_tiles - 1))
+    stride = half + math.sqrt(half * half + math.prod(room) / (n_tiles - 1))
+    count = counts_2d((room[0] / stride + 1, room[1] / stride + 1), n_tiles) if stride else (n_tiles, 1)
+    return tuple(r // (c - 1) if c > 1 else s for r, c, s in zip(room, count, image)), count
 
 
 def optimal_tiling(image: tuple[int, ...], tile: tuple[int, ...], target_batch: int, overlap: float = 1 / 3) -> tuple[int, int]:

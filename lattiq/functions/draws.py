@@ -16,6 +16,13 @@ def unit(n: Column, seed: int = 0, times: Column | int = 1, plus: Column | None
     return hash_order(n, seed, times, plus) / F.lit(4294967296.0)
 
 
+def drawn(key: Column, number: Column | int, seed: int = 0) -> Column:
+    """The draw of a key with this number, from 0 to 1 (exclusive): 32 bits of an md5, so that draws of one key and of neighbouring keys have
+    nothing to do with each other. ``unit`` is cheaper and even over keys, but its draws of one key lie in a fixed pattern."""
+    text = F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(number).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
 def choice(values: Column, size: int, key: Column, p: Column | None = None, replace: bool = True, seed: int = 0) -> Column:
     """``size`` items of an array, by a row's own draws; ``p`` weighs the items and need not sum to 1.
 

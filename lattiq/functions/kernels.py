@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattiq.functions import splines
+
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> np.ndarray:
     r = int(truncate * sigma + 0.5)
@@ -119,7 +121,9 @@ def _mirrored(c: np.ndarray, n: int) -> np.ndarray:
 
 
 def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray, order: int = 1) -> np.ndarray:
-    """The image at real coordinates, mirrored beyond its edges; order 0 takes the nearest pixel, 1 is bilinear."""
+    """The image at real coordinates, mirrored beyond its edges; order 0 takes the nearest pixel, 1 is bilinear, 2 to 5 are B-splines."""
+    if order >= 2:
+        return splines.sampled(image, y, x, order)
     y, x = _mirrored(y, image.shape[0]), _mirrored(x, image.shape[1])
     if order == 0:
         return image[np.floor(y + 0.5).astype(int), np.floor(x + 0.5).astype(int)]
@@ -131,12 +135,25 @@ def sampled(image: np.ndarray, y: np.ndarray, x: np.ndarray, order: int = 1) ->
     return (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
 
 
-def zoomed(image: np.ndarray, shape: tuple[int, int], order: int = 1) -> np.ndarray:
-    """Resampled to a shape, corners on corners."""
-    if tuple(image.shape[:2]) == tuple(shape):
+def zoomed(image: np.ndarray, shape: tuple[int, ...], order: int = 1) -> np.ndarray:
+    """Its first axes resampled to a shape, corners on corners, by the nearest value (0), linearly (1) or by B-splines (2 to 5)."""
+    if tuple(image.shape[: len(shape)]) == tuple(shape):
         return image
-    y, x = (np.linspace(0, n - 1, m) for n, m in zip(image.shape, shape))
-    return sampled(image, *np.meshgrid(y, x, indexing="ij"), order)
+    out = image
+    if order >= 2:
+        return splines.resized(image, shape, order)
+    for axis, m in enumerate(shape):
+        n = out.shape[axis]
+        if n == m:
+            continue
+        at = np.linspace(0, n - 1, m)
+        if order == 0:
+            out = out.take(np.minimum(np.floor(at + 0.5).astype(int), n - 1), axis=axis)
+        else:
+            low = np.floor(at).astype(int)
+            part = (at - low).reshape(-1, *[1] * (out.ndim - axis - 1))
+            out = out.take(low, axis=axis) * (1 - part) + out.take(np.minimum(low + 1, n - 1), axis=axis) * part
+    return out
 
 
 def affine(image: np.ndarray, theta: float = 0, tx: float = 0, ty: float = 0, shear: float = 0, zy: float = 1, zx: float = 1, flip_y: bool = False, flip_x: bool = False, order: int = 1) -> np.ndarray:
@@ -151,21 +168,62 @@ def affine(image: np.ndarray, theta: float = 0, tx: float = 0, ty: float = 0, sh
     return out[:: -1 if flip_y else 1, :: -1 if flip_x else 1]
 
 
-def elastic(image: np.ndarray, grid_spacing: int, sigma: float, seed: int, order: int = 1) -> np.ndarray:
-    """A coarse field of displacements, zero at the edges and held to a quarter of the spacing, spread bilinearly."""
+#: Defaults of elastic deformation: pixels between points of the grid, and the deviation as a part of that.
+GRID, SIGMA_PART = 15, 1 / 9
+
+
+def elastic_field(shape: tuple[int, ...], grid_spacing: int = GRID, sigma: float | None = None, seed: int = 0, order: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Displacements (y, x) of each pixel: a coarse field, zero at the edges and held to a quarter of the spacing, spread by splines.
+    Without ``sigma`` the deviation is ``SIGMA_PART`` of the smaller spacing."""
     rng = np.random.default_rng(seed)
-    points = [max(5, 1 + n // grid_spacing) for n in image.shape[:2]]
-    cap = [n / (p - 1) / 4 for n, p in zip(image.shape, points)]
-    field = []
-    for limit in cap:
-        f = np.clip(rng.normal(0, sigma, points), -limit, limit)
+    points = [max(5, 1 + n // grid_spacing) for n in shape[:2]]
+    step = [n / (p - 1) for n, p in zip(shape, points)]
+    sigma = SIGMA_PART * min(step) if sigma is None else sigma
+    out = []
+    for s in step:
+        f = np.clip(rng.normal(0, sigma, points), -s / 4, s / 4)
         f[[0, -1], :] = 0
         f[:, [0, -1]] = 0
-        field.append(zoomed(f, image.shape[:2]))
+        out.append(splines.resized(f, tuple(shape[:2]), order, splines.MIRROR) if order >= 2 else zoomed(f, tuple(shape[:2]), order))
+    return out[0], out[1]
+
+
+def displaced(image: np.ndarray, field: tuple[np.ndarray, np.ndarray], order: int = 1) -> np.ndarray:
+    """The image at its pixels' places plus the field's displacements."""
     y, x = np.meshgrid(np.arange(image.shape[0]), np.arange(image.shape[1]), indexing="ij")
     return sampled(image, y + field[0], x + field[1], order)
 
 
+def elastic(image: np.ndarray, grid_spacing: int, sigma: float, seed: int, order: int = 1) -> np.ndarray:
+    """An image deformed by a field of its own, spread bilinearly."""
+    return displaced(image, elastic_field(image.shape, grid_spacing, sigma, seed, 1), order)
+
+
+def elastic_together(df: DataFrame, columns: Sequence[str], shape: tuple[int, ...], batch: str, masks: Sequence[str] = (), probability: float = 1.0, grid_spacing: int = GRID, sigma: float | None = None, order: int = 1, field_order: int = 3, seed: int = 0) -> DataFrame:
+    """All rows of a batch (an integer column) and all of their columns deformed by one field, in one pass of Arrow batches; a batch is
+    deformed at all with the given probability, and masks take the nearest pixel.
+
+    A field is a pure function of seed and batch number, so rows of a batch need not meet: no shuffle, and reruns agree.
+    """
+
+    @F.pandas_udf(", ".join(f"{c} array<double>" for c in columns))
+    def run(batches: pd.Series, *data: pd.Series) -> pd.DataFrame:
+        fields: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+        out: dict[str, list] = {c: [] for c in columns}
+        for b, *row in zip(batches, *data):
+            n = int(b) & 0xFFFFFFFFFFFFFFFF
+            if n not in fields:
+                moved = np.random.default_rng([seed & 0xFFFFFFFF, n, 0]).random() < probability
+                fields = {n: elastic_field(shape, grid_spacing, sigma, [seed & 0xFFFFFFFF, n, 1], field_order) if moved else None}  # one at a time
+            for c, d in zip(columns, row):
+                image = None if d is None else np.asarray(d, dtype=np.float64).reshape(shape)
+                out[c].append(None if image is None else (image if fields[n] is None else displaced(image, fields[n], 0 if c in masks else order)).ravel())
+        return pd.DataFrame(out)
+
+    made = df.withColumn("__e", run(F.col(batch), *[F.col(c) for c in columns]))
+    return made.withColumns({c: F.col(f"__e.{c}") for c in columns}).drop("__e")
+
+
 def column(f: Callable[[np.ndarray, int], np.ndarray], data: Column, key: Column, shape: tuple[int, ...]) -> Column:
     """f(image, key) on a column of flat images; the key seeds what is random, so a retried task gives the same."""
 

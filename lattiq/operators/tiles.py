@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.functions import coords, images, kernels
+from lattiq.functions import coords, images
+from lattiq.functions.draws import drawn
+from lattiq.operators import boxes
 from lattiq.operators.positions import hash_order
 
 
@@ -103,28 +103,16 @@ def chosen_tiles(df: DataFrame, weights: str, n_draws: int, key: str, seed: int
 
 
 def zoomed_tiles(df: DataFrame, columns: Sequence[str], shape: tuple[int, int], tile: tuple[int, int], starts: Sequence[tuple[int, int]], key: str, zoom: tuple[float, float] = (1.0, 1.0), aspect: tuple[float, float] = (1.0, 1.0), probability: float = 1.0, jitter: int = 0, masks: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Tiles whose boxes are zoomed, moved back inside the image and resampled to the tile's shape.
+    """Tiles whose boxes are zoomed, moved back inside the image and resampled to the tile's shape, all columns in one pass.
 
-    A tile's zoom, aspect and jitter are drawn from (seed, key, tile), so all columns share them and reruns agree; masks are
-    resampled by the nearest pixel.
+    Zoom, aspect and jitter are columns drawn from (seed, key, tile), so all columns share them and SQL can repeat them; masks are resampled
+    by the nearest pixel.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("tile_id"), F.lit(y).alias("tile_y"), F.lit(x).alias("tile_x")) for i, (y, x) in enumerate(starts)])
-    out = df.withColumn("__t", F.explode(table)).select(*df.columns, "__t.tile_id", "__t.tile_y", "__t.tile_x")
-
-    def cut(order: int):
-        @F.pandas_udf("array<double>")
-        def run(data: pd.Series, keys: pd.Series, tiles: pd.Series, ys: pd.Series, xs: pd.Series) -> pd.Series:
-            result = []
-            for d, k, t, y, x in zip(data, keys, tiles, ys, xs):
-                rng = np.random.default_rng([seed & 0xFFFFFFFF, int(k) & 0xFFFFFFFFFFFF, int(t)])
-                u, z, a, jy, jx = rng.random(), rng.uniform(*zoom), rng.uniform(*aspect), *rng.integers(-jitter, jitter + 1, 2)
-                z, a = (z, a) if u < probability else (1.0, 1.0)
-                box = [min(n, max(1, round(s * f))) for n, s, f in zip(shape, tile, (z, z * a))]
-                at = [min(max(p + j + (s - b) // 2, 0), n - b) for p, j, s, b, n in zip((y, x), (jy, jx), tile, box, shape)]
-                image = np.asarray(d, dtype=np.float64).reshape(shape)
-                result.append(kernels.zoomed(image[at[0] : at[0] + box[0], at[1] : at[1] + box[1]], tile, order).ravel())
-            return pd.Series(result)
-
-        return run
-
-    return out.withColumns({c: cut(0 if c in masks else 1)(F.col(c), F.col(key), "tile_id", "tile_y", "tile_x") for c in columns})
+    table = F.array(*[F.struct(F.lit(i).alias("tile_id"), F.array(*map(F.lit, s)).alias("start")) for i, s in enumerate(starts)])
+    out = boxes.with_boxes(df, table)
+    at = lambda a: F.get("start", F.lit(a))
+    u = [drawn(F.col(key), F.col("tile_id") * 2 + F.lit(a), seed + 1) for a in (0, 1)]
+    moved = [F.least(F.greatest(at(a) - jitter + F.floor(u[a] * (2 * jitter + 1)), F.lit(0)), F.lit(shape[a] - tile[a])) for a in (0, 1)]
+    out = out.withColumns({"tile_y": at(0), "tile_x": at(1)}).withColumn("start", F.array(*moved).cast("array<int>") if jitter else F.col("start"))
+    out = boxes.zoomed(out, shape, tile, zoom, aspect, key, probability, seed)
+    return boxes.resampled(out, columns, shape, tile, {c: 0 for c in masks})

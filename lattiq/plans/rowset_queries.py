@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattiq.functions import coords, images, paths
-from lattiq.operators import align, rowset, temporal, tiles, union
+from lattiq.functions import coords, images, ndim, paths
+from lattiq.operators import align, boxes, rowset, temporal, tiles, union
 from lattiq.operators.positions import hash_order, with_positions
 from lattiq.plans.base import HASH, PIXELS, SHAPE, query, rounded, table, vectors
 
 _EVENT_HASH = HASH.format("event_id")
 
 
+def _draw(key: str, number: str, seed: int = 0) -> str:
+    """SQL of ``draws.drawn``."""
+    return f"(('0x' || substr(md5(concat({key}, ':{seed}:', {number})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
 # strings and paths
 
 
@@ -430,11 +435,114 @@ def tile_choice(spark, sf):
     return tiles.chosen_tiles(df, "w", 3, "vec_id").select("vec_id", "draw", "tile_id")
 
 
-@query("tile_zoom")
+_TILE_ZOOM = f"""
+WITH t(tile_id, y0, x0) AS (VALUES (0, 0, 0), (1, 0, 4), (2, 4, 0), (3, 4, 4)),
+u AS (SELECT vec_id, embedding, t.*, {_draw('vec_id', 'tile_id * 3')} AS u0, {_draw('vec_id', 'tile_id * 3 + 1')} AS u1, {_draw('vec_id', 'tile_id * 3 + 2')} AS u2,
+  least(greatest(y0 - 1 + floor({_draw('vec_id', 'tile_id * 2', 1)} * 3), 0), 4) AS sy, least(greatest(x0 - 1 + floor({_draw('vec_id', 'tile_id * 2 + 1', 1)} * 3), 0), 4) AS sx FROM embeddings, t),
+z AS (SELECT *, CASE WHEN u0 < 0.8 THEN 1 / 1.6::DOUBLE + u1 * (least(1 / 0.6::DOUBLE, 2) - 1 / 1.6::DOUBLE) ELSE 1 END AS z FROM u),
+r AS (SELECT *, CASE WHEN u0 < 0.8 THEN 1 / 1.2::DOUBLE + u2 * (least(8 / (z * 4), 1 / 0.8::DOUBLE) - 1 / 1.2::DOUBLE) ELSE 1 END AS a FROM z),
+b AS (SELECT *, CAST(greatest(round_even(z * 4, 0), 1) AS INTEGER) AS by_, CAST(least(greatest(round_even(z * a * 4, 0), 1), 8) AS INTEGER) AS bx FROM r),
+s AS (SELECT *, CAST(least(sy, 8 - by_) AS INTEGER) AS y1, CAST(least(sx, 8 - bx) AS INTEGER) AS x1 FROM b),
+p AS (SELECT *, i, i // 4 * ((by_ - 1) / 3.0::DOUBLE) AS py, i % 4 * ((bx - 1) / 3.0::DOUBLE) AS px FROM s, range(16) k(i)),
+q AS (SELECT *, least(CAST(floor(round(py, 9)) AS INTEGER), by_ - 1) AS ya, least(CAST(floor(round(px, 9)) AS INTEGER), bx - 1) AS xa FROM p),
+v AS (SELECT *, list_transform([[0, 0], [0, 1], [1, 0], [1, 1]], lambda d: embedding[(y1 + least(ya + d[1], by_ - 1)) * 8 + x1 + least(xa + d[2], bx - 1) + 1]::DOUBLE) AS c FROM q)
+SELECT vec_id, tile_id, y1 AS start_y, x1 AS start_x, by_ AS box_y, bx AS box_x,
+  round(sum((i + 1) * ((c[1] * (1 - (py - ya)) + c[3] * (py - ya)) * (1 - (px - xa)) + (c[2] * (1 - (py - ya)) + c[4] * (py - ya)) * (px - xa))), 5) AS moment FROM v GROUP BY ALL"""
+
+
+def _moment(c: str = "data"):
+    return F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+@query("tile_zoom", _TILE_ZOOM)
 def tile_zoom(spark, sf):
     starts = tiles.tile_starts(SHAPE, (4, 4), coords.NO_OVERLAP)
     out = tiles.zoomed_tiles(vectors(spark, sf), ["data"], SHAPE, (4, 4), starts, "vec_id", (0.6, 1.6), (0.8, 1.2), 0.8, 1)
-    return out.select("vec_id", "tile_id", "data")
+    at = lambda c, k: F.col(c)[k]
+    return rounded(out.select("vec_id", "tile_id", at("start", 0).alias("start_y"), at("start", 1).alias("start_x"), at("box", 0).alias("box_y"), at("box", 1).alias("box_x"), _moment().alias("moment")), 5)
+
+
+_CUT = """SELECT vec_id, tile_id, y0, x0, round(sum(v * ((px // 8 - y0) * {w} + px % 8 - x0 + 1)), 5) AS moment FROM b JOIN d USING (vec_id)
+WHERE px // 8 >= y0 AND px // 8 < y0 + {h} AND px % 8 >= x0 AND px % 8 < x0 + {w} GROUP BY ALL"""
+
+
+def _cut_query(df, tile):
+    out = boxes.cut(df, ["data"], SHAPE, tile)
+    return rounded(out.select("vec_id", "tile_id", F.col("start")[0].alias("y0"), F.col("start")[1].alias("x0"), _moment().alias("moment")), 5)
+
+
+@query("boxes_random_stride", f"""WITH d AS ({PIXELS}), a(i, base) AS (VALUES (0, 0), (1, 2), (2, 5)),
+s AS (SELECT vec_id, axis, i, CAST(least(greatest(base - 1 + floor({_draw('vec_id', 'axis * 3 + i', 4)} * 3), 0), 5) AS INTEGER) AS s FROM embeddings, a, range(2) r(axis)),
+b AS (SELECT y.vec_id, y.i * 3 + x.i AS tile_id, y.s AS y0, x.s AS x0 FROM s y JOIN s x ON x.vec_id = y.vec_id AND y.axis = 0 AND x.axis = 1) {_CUT.format(h=3, w=3)}""")
+def boxes_random_stride(spark, sf):
+    """Nine boxes of each image, each moved within the overlap around it by the row's own draws."""
+    return _cut_query(boxes.with_boxes(vectors(spark, sf), boxes.overlap_boxes(SHAPE, (3, 3), coords.ALLOW, key="vec_id", seed=4)), (3, 3))
+
+
+@query("boxes_drawn_subset", f"""WITH d AS ({PIXELS}),
+y AS (SELECT vec_id, i, CAST(least(greatest((CASE i WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 5 END) - 1 + floor({_draw('vec_id', 'i')} * 3), 0), 5) AS INTEGER) AS s FROM embeddings, range(3) r(i)),
+g AS (SELECT vec_id, y.i * 2 + x.i AS k, y.s AS y0, CASE x.i WHEN 0 THEN 0 ELSE 5 END AS x0, {_draw('vec_id', '5 + y.i * 2 + x.i')} AS u FROM y, range(2) x(i)),
+b AS (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY u, k) - 1 AS INTEGER) AS tile_id, y0, CAST(x0 AS INTEGER) AS x0 FROM g QUALIFY tile_id < 5) {_CUT.format(h=3, w=3)}""")
+def boxes_drawn_subset(spark, sf):
+    """Five of the six boxes that two axes of unlike counts give, by the row's draws."""
+    return _cut_query(boxes.with_boxes(vectors(spark, sf), boxes.some_boxes(SHAPE, (3, 3), 5, "vec_id")), (3, 3))
+
+
+@query("boxes_by_anchor", f"""WITH d AS ({PIXELS}), m AS (SELECT vec_id, CAST(floor(avg(px // 8) FILTER (v > 0.1)) AS INTEGER) AS a, CAST(floor(avg(px % 8) FILTER (v > 0.1)) AS INTEGER) AS c FROM d GROUP BY 1),
+r AS (SELECT *, least(5, a, 8 - (a + 1)) AS ry, least(5, c, 8 - (c + 1)) AS rx FROM m WHERE a IS NOT NULL),
+h AS (SELECT *, (ry + rx) / 6.0::DOUBLE AS half FROM r), s AS (SELECT *, half + sqrt(half * half + ry * rx / 3.0::DOUBLE) AS st FROM h),
+e AS (SELECT *, ry / nullif(st, 0) + 1 AS ey, rx / nullif(st, 0) + 1 AS ex FROM s), w AS (SELECT *, round_even(ey, 0) AS wy, round_even(ex, 0) AS wx FROM e),
+n AS (SELECT *, CASE WHEN abs(wx - ex) < abs(wy - ey) THEN floor(4 / wx) ELSE wy END AS ny, CASE WHEN abs(wx - ex) < abs(wy - ey) THEN wx ELSE floor(4 / wy) END AS nx FROM w),
+k AS (SELECT *, CASE WHEN st = 0 THEN 4 WHEN ny * nx < 4 AND NOT abs(nx + 1 - ex) < abs(ny + 1 - ey) THEN ny + 1 ELSE ny END AS ky, CASE WHEN st = 0 THEN 1 WHEN ny * nx < 4 AND abs(nx + 1 - ex) < abs(ny + 1 - ey) THEN nx + 1 ELSE nx END AS kx FROM n),
+t AS (SELECT *, CAST(i AS INTEGER) AS tile_id, floor(i / kx) AS iy, i % kx AS ix, least(least(a, 5), greatest(a + 1 - 3 + 1, 0)) AS y1, greatest(least(a, 5), greatest(a + 1 - 3 + 1, 0)) AS y2,
+  least(least(c, 5), greatest(c + 1 - 3 + 1, 0)) AS x1, greatest(least(c, 5), greatest(c + 1 - 3 + 1, 0)) AS x2 FROM k, range(4) q(i)),
+b AS (SELECT vec_id, tile_id, CAST(CASE WHEN ky = 1 THEN (y1 + y2) // 2 WHEN iy = ky - 1 THEN y2 ELSE floor(y1 + (y2 - y1) * (iy / (ky - 1))) END AS INTEGER) AS y0,
+  CAST(CASE WHEN kx = 1 THEN (x1 + x2) // 2 WHEN ix = kx - 1 THEN x2 ELSE floor(x1 + (x2 - x1) * (ix / (kx - 1))) END AS INTEGER) AS x0 FROM t) {_CUT.format(h=3, w=3)}""")
+def boxes_by_anchor(spark, sf):
+    """Four boxes around the centre of each image's own bright pixels; how many lie along either axis differs by row."""
+    mask = F.transform("data", lambda x: F.when(x > 0.1, 1.0).otherwise(0.0))
+    df = vectors(spark, sf).withColumn("c", images.center_of_mass(mask, SHAPE)).where(F.col("c")[0].isNotNull())
+    low = [F.floor(F.col("c")[a]).cast("int") for a in (0, 1)]
+    return _cut_query(boxes.with_boxes(df, boxes.anchor_boxes(SHAPE, (3, 3), 4, low, [x + 1 for x in low])), (3, 3))
+
+
+@query("boxes_by_channel", f"""WITH d AS (SELECT vec_id, v, px // 2 // 4 AS y, px // 2 % 4 AS x, px % 2 AS c FROM ({PIXELS})), t(tile_id, y0, x0) AS (VALUES (0, 0, 0), (1, 0, 2), (2, 2, 0), (3, 2, 2), (4, 5, 0), (5, 5, 2)),
+s AS (SELECT vec_id, tile_id, c, greatest(y0 - 1, 0) + CAST(floor({_draw('vec_id', 'tile_id * 4 + c * 2', 9)} * (least(y0 + 1, 5) - greatest(y0 - 1, 0) + 1)) AS INTEGER) AS sy,
+  greatest(x0 - 1, 0) + CAST(floor({_draw('vec_id', 'tile_id * 4 + c * 2 + 1', 9)} * (least(x0 + 1, 2) - greatest(x0 - 1, 0) + 1)) AS INTEGER) AS sx FROM embeddings, t, range(2) r(c))
+SELECT vec_id, tile_id, round(sum(v * (((y - sy) * 2 + x - sx) * 2 + c + 1)), 5) AS moment, CAST(sum(sy * 10 + sx) // 6 AS BIGINT) AS places
+FROM s JOIN d USING (vec_id, c) WHERE y >= sy AND y < sy + 3 AND x >= sx AND x < sx + 2 GROUP BY 1, 2""")
+def boxes_by_channel(spark, sf):
+    """Images of 8 x 4 pixels and two channels: each channel of a tile has its own jittered box."""
+    df = boxes.with_boxes(vectors(spark, sf), boxes.overlap_boxes((8, 4), (3, 2), coords.ALLOW))
+    df = boxes.jittered(df, (8, 4), (3, 2), 2, 1, "vec_id", 9)
+    out = boxes.cut_by_channel(df, ["data"], (8, 4), (3, 2))
+    places = F.aggregate("starts", F.lit(0), lambda a, s: a + s[0] * 10 + s[1])
+    return rounded(out.select("vec_id", "tile_id", _moment().alias("moment"), places.cast("bigint").alias("places")), 5)
+
+
+@query("boxes_chosen", f"""WITH d AS ({PIXELS}), g AS (SELECT vec_id, y * 2 + x AS k, coalesce(sum(abs(v)) FILTER (px // 8 // 4 = y AND px % 8 // 4 = x), 0) AS w FROM d, range(2) a(y), range(2) b(x) GROUP BY 1, 2),
+c AS (SELECT vec_id, k, sum(w / t) OVER (PARTITION BY vec_id ORDER BY k) AS cum FROM (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS t FROM g)),
+u AS (SELECT vec_id, i, {_draw('vec_id', 'i', 2)} AS u FROM embeddings, range(3) r(i)),
+p AS (SELECT u.vec_id, i, least(count(*) FILTER (cum <= u), 3) AS k FROM u JOIN c USING (vec_id) GROUP BY 1, 2),
+b AS (SELECT vec_id, CAST(i AS INTEGER) AS tile_id, CAST(CASE WHEN k // 2 = 0 THEN 1 ELSE 3 END AS INTEGER) AS y0, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END AS INTEGER) AS x0 FROM p) {_CUT.format(h=4, w=4)}""")
+def boxes_chosen(spark, sf):
+    """Three boxes of each image, by the weight of its quarters."""
+    quarter = lambda y, x: images.total(F.transform(images.crop(F.col("data"), SHAPE, (4, 4), (4 * y, 4 * x)), F.abs))
+    df = vectors(spark, sf)
+    p = F.array(*[quarter(y, x) for y in (0, 1) for x in (0, 1)])
+    return _cut_query(boxes.with_boxes(df, boxes.chosen_boxes(SHAPE, (4, 4), 3, p, "vec_id", 2)), (4, 4))
+
+
+@query("volume_boxes", f"""WITH d AS (SELECT vec_id, v, px // 16 AS z, px // 4 % 4 AS y, px % 4 AS x FROM ({PIXELS})), s AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS z0, CAST(vec_id % 3 AS INTEGER) AS y0, CAST(vec_id % 5 AS INTEGER) AS x0 FROM embeddings),
+c AS (SELECT vec_id, least(z0, 2) AS z0, least(y0, 1) AS y0, least(x0, 2) AS x0 FROM s)
+SELECT vec_id, round(sum(v * ((z - z0) * 6 + (y - y0) * 2 + x - x0 + 1)) FILTER (z >= z0 AND z < z0 + 2 AND y >= y0 AND y < y0 + 3 AND x >= x0 AND x < x0 + 2), 5) AS box,
+  round(sum(v * ((3 - z) * 16 + y * 4 + 3 - x + 1)), 5) AS flipped, round(sum(v * (x * 16 + z * 4 + y + 1)), 5) AS turned FROM d JOIN c USING (vec_id) GROUP BY 1""")
+def volume_boxes(spark, sf):
+    """Embeddings as volumes of 4 x 4 x 4: a box at each row's own start, mirrored in z and x, axes in another order."""
+    d, shape = F.col("data"), (4, 4, 4)
+    start = F.array(F.col("vec_id") % 4, F.col("vec_id") % 3, F.col("vec_id") % 5).cast("array<int>")
+    df = vectors(spark, sf).withColumns({"box": ndim.crop(d, shape, (2, 3, 2), start), "flipped": ndim.flipped(d, shape, (0, 2)), "turned": ndim.transposed(d, shape, (2, 0, 1))})
+    return rounded(df.select("vec_id", *[_moment(c).alias(c) for c in ("box", "flipped", "turned")]), 5)
 
 
 @query("tile_plain_zoom", _tile_sql([(0, 0), (0, 4), (4, 0), (4, 4)]))
