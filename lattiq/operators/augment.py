@@ -7,7 +7,7 @@ deterministic half. All channels of a row share geometry; intensities are drawn
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -97,6 +97,7 @@ class Illumination:
     points: int = 5
     deform: float = 0.5
     points_yx: tuple[int, int] = (0, 0)
+    grid: tuple[int, int] | None = None
     variation: float = 0.6
     blur: tuple[float, float] = (0.0, 2.0)
     noise: float = 0.1
@@ -110,8 +111,10 @@ class Illumination:
             d = rng.uniform(-1, 1, self.points + 2)
             d[0] = d[-1] = 0
             p["deltas"] = d
+        if self.grid and self.variation:
+            p["grid"] = rng.uniform((1 - self.variation) / 2, (1 + self.variation) / 2, self.grid)
         for axis, n in zip("yx", self.points_yx):
-            if n and self.variation:
+            if n and self.variation and not self.grid:
                 p[axis] = rng.uniform((1 - self.variation) / 2, (1 + self.variation) / 2, n)
         on = [k for k in ("gaussian", "poisson", "speckle") if getattr(self, k) and rng.random() < 0.5]
         most = self.noise / 1.5 ** (len(on) - 1)
@@ -124,6 +127,8 @@ class Illumination:
         rng = rng or np.random.default_rng(0)
         if "deltas" in p:
             image = kernels.histogram_deform(image, p["deltas"], self.deform)
+        if "grid" in p:
+            image = kernels.illumination(image, None, None, np.reshape(p["grid"], self.grid))
         if "y" in p or "x" in p:
             y, x = p.get("y"), p.get("x")
             if y is not None and x is not None:  # each pixel is multiplied by both curves
@@ -165,6 +170,7 @@ class Geometry:
         b = p.pop("brightness", 1.0)
         if not p:
             return image * b
+        p = {"theta": 0.0, "tx": 0.0, "ty": 0.0} | p
         p["tx"] *= image.shape[0] if abs(self.shift_y) < 1 else 1
         p["ty"] *= image.shape[1] if abs(self.shift_x) < 1 else 1
         return kernels.affine(image, **p, order=self.order) * b
@@ -212,42 +218,17 @@ class Pipeline:
             image = s.apply(image, p, rng)
         return image
 
-    def apply(self, df: DataFrame, columns: Sequence[str], key: str, shape: tuple[int, ...], masks: Sequence[str] = ()) -> DataFrame:
-        """Columns of flat images, each through all steps in one Arrow pass; masks only move."""
-        for i, c in enumerate(columns):
-            f = lambda image, k, i=i, c=c: self.image(image, k, i, c in masks)
-            df = kernels.with_kernel(df, [c], key, shape, f)
-        return df
+    def apply(self, df: DataFrame, columns: Sequence[str], key: str, shape: tuple[int, ...], masks: Sequence[str] = (), keep: str | None = None) -> DataFrame:
+        """Columns of flat images, all through all steps in one Arrow pass; masks only move. ``keep`` names a column that takes the
+        parameters."""
+        from lattiq.operators import parameters
+
+        name = keep or "__aug"
+        rows = parameters.with_parameters(df, self, columns, key, masks, name)
+        out = parameters.apply_parameters(rows, self, columns, shape, masks, name)
+        return out if keep else out.drop(name)
 
 
 def pipeline(scaling: Scaling | None = None, illumination: Illumination | None = None, geometry: Geometry | None = None, **options) -> Pipeline:
     """In this order, whatever is given."""
     return Pipeline([s for s in (scaling, illumination, geometry) if s is not None], **options)
-
-
-def sometimes(f: Callable[[np.ndarray], np.ndarray], probability: float, rng: np.random.Generator) -> Callable[[np.ndarray], np.ndarray]:
-    return lambda image: f(image) if rng.random() < probability else image
-
-
-def successively(*fs: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
-    def run(image: np.ndarray) -> np.ndarray:
-        for f in fs:
-            image = f(image)
-        return image
-
-    return run
-
-
-@dataclass(frozen=True)
-class SubsamplingDraw:
-    """A fixed stride, or one drawn from a range for each row or epoch."""
-
-    spec: int | tuple[int, int] | None = None
-    seed: int = field(default=0)
-
-    def stride(self, epoch: int = 0) -> int:
-        if self.spec is None:
-            return 1
-        if isinstance(self.spec, int):
-            return self.spec
-        return int(np.random.default_rng([self.seed, epoch]).integers(self.spec[0], self.spec[1] + 1))

@@ -162,6 +162,51 @@ def split(df: DataFrame, key: str, test_fraction: float) -> tuple[DataFrame, Dat
     return ranked.where(~is_test).drop("__rank", "__n"), ranked.where(is_test).drop("__rank", "__n")
 
 
+def split_sizes(n: int, test: float | int | None = 0.25, train: float | int | None = None) -> tuple[int, int]:
+    """(train, test) rows of n: parts below 1 are shares, of which the test's is rounded up and the train's down; what is not given is the
+    complement."""
+    share = lambda x, f: None if x is None else f(x * n) if isinstance(x, float) else x
+    n_test, n_train = share(test, math.ceil), share(train, math.floor)
+    if n_test is None:
+        n_test = math.ceil(0.25 * n) if n_train is None else n - n_train
+    n_train = n - n_test if n_train is None else n_train
+    if n_train <= 0 or n_test < 0 or n_train + n_test > n:
+        raise ValueError(f"{n} rows cannot be split into {n_train} and {n_test}")
+    return n_train, n_test
+
+
+def apportioned(counts: DataFrame, count: str, total: int, n: int, out: str, *names: str) -> DataFrame:
+    """Adds each stratum's part of ``n`` rows, of strata that have ``total`` rows: the whole part of its quota, and one more for the
+    largest remainders, of equal ones for the first in the order of ``names``. The parts sum to n, however many strata there are."""
+    big = lambda c: (F.col(c) if isinstance(c, str) else F.lit(c)).cast("decimal(19,0)")
+    quota = counts.withColumn("__q", big(count) * big(n))
+    quota = quota.withColumns({out: F.expr(f"bigint(__q div decimal({total}))"), "__rest": F.pmod("__q", big(total))})
+    more = n - quota.agg(F.coalesce(F.sum(out), F.lit(0))).first()[0]
+    ranked = with_positions(quota, -F.col("__rest"), *names, out="__place")
+    return ranked.withColumn(out, F.col(out) + (F.col("__place") < more).cast("bigint")).drop("__q", "__rest", "__place")
+
+
+def split_by_size(df: DataFrame, key: str, test: float | int | None = 0.25, train: float | int | None = None, stratum: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of exact sizes in hash order; with a stratum, each is spread over the strata by largest remainders, the train first and
+    the test over what that leaves. A stratum of one row, or more strata than rows on either side, is an error. Null is a stratum."""
+    n = df.count()
+    n_train, n_test = split_sizes(n, test, train)
+    if stratum is None:
+        ranked = _ranked(df, key)
+        part = F.when(F.col("__rank") < n_test, 1).when(F.col("__rank") < n_test + n_train, 0)
+        ranked = ranked.withColumn("__part", part)
+    else:
+        strata = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__m")).persist()  # a row a stratum, used several times
+        n_strata, least = strata.agg(F.count("*"), F.min("__m")).first()
+        if least < 2 or n_strata > min(n_train, n_test):
+            raise ValueError(f"{n_strata} strata, the least of {least} rows, cannot be split into {n_train} and {n_test} rows")
+        strata = apportioned(strata, "__m", n, n_train, "__train", "__s").withColumn("__left", F.col("__m") - F.col("__train"))
+        strata = apportioned(strata, "__left", n - n_train, n_test, "__test", "__s")
+        ranked = _ranked(df, key, stratum).join(strata, F.col(stratum).eqNullSafe(F.col("__s")))
+        ranked = ranked.withColumn("__part", F.when(F.col("__rank") < F.col("__train"), 0).when(F.col("__rank") < F.col("__train") + F.col("__test"), 1))
+    return tuple(ranked.where(F.col("__part") == k).select(*df.columns) for k in (0, 1))
+
+
 def refilled_batch(df: DataFrame, first_batch: int, n_batches_: int, size: int, batch: str = "batch", pos: str = "pos") -> DataFrame:
     """Up to ``size`` rows of the batches from ``first_batch`` on, around the end to the start."""
     turn = F.pmod(F.col(batch) - first_batch, F.lit(n_batches_))

@@ -6,8 +6,10 @@ a row for each bin, so their windows are as small as the number of bins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -217,3 +219,58 @@ def metrics(df: DataFrame, truth: str, prediction: str, *by: str) -> DataFrame:
     there = F.col(truth) != 0
     agg = [F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.avg(F.when(there, d * d)).alias("msem"), F.avg(F.when(there, F.abs(d))).alias("maem")]
     return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+
+#: Errors that need no function of the user.
+ERRORS = ("mse", "mae", "msem", "maem")
+
+
+def _sums(truth: str, prediction: str) -> dict[str, Column]:
+    """Sums over a row's pixels: squared and absolute errors and their number, and the same where the truth is not zero."""
+    pairs = F.zip_with(truth, prediction, lambda y, p: F.struct(y.cast("double").alias("y"), (p - y).cast("double").alias("d")))
+    add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + f(x))
+    there = lambda x, v: F.when(x["y"] != 0, v).otherwise(0.0)
+    whole = {"__se": add(lambda x: x["d"] * x["d"]), "__ae": add(lambda x: F.abs(x["d"])), "__n": add(lambda x: F.lit(1.0))}
+    masked = {"__sem": add(lambda x: there(x, x["d"] * x["d"])), "__aem": add(lambda x: there(x, F.abs(x["d"]))), "__nm": add(lambda x: there(x, F.lit(1.0)))}
+    return whole | masked
+
+
+def evaluated(df: DataFrame, truth: str, prediction: str, errors: Sequence[str] = ERRORS, metrics: dict | None = None, by: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:
+    """One row an image: its errors, and a user's metrics, functions of (list of truth arrays, list of prediction arrays) to a number.
+
+    Without ``by`` a row is an image. With it, rows are parts of images (tiles, frames) and are grouped: errors are summed by partial
+    aggregation, and only a user's metric brings an image's parts together in one task. ``carried`` columns (path, label, frame) are the
+    group's own. Rows without a truth or a prediction have no error; a masked error without a non-zero truth is null.
+    """
+    metrics = metrics or {}
+    if unknown := set(errors) - set(ERRORS):
+        raise ValueError(f"unknown errors {sorted(unknown)}")
+    top = {"mse": ("__se", "__n"), "mae": ("__ae", "__n"), "msem": ("__sem", "__nm"), "maem": ("__aem", "__nm")}
+    rows = df.withColumns(_sums(truth, prediction))
+    ratio = lambda e, f: (f(top[e][0]) / F.nullif(f(top[e][1]), F.lit(0.0))).alias(e)
+    if not by:
+        names = [*carried] or [c for c in df.columns if c not in (truth, prediction)]
+        return rows.select(*names, *[ratio(e, F.col) for e in errors], *[_of_rows(f)(truth, prediction).alias(m) for m, f in metrics.items()])
+    first = rows.groupBy(*by).agg(*[F.min(c).alias(c) for c in carried], *[ratio(e, F.sum) for e in errors], F.count(F.lit(1)).alias("__parts")).drop("__parts")
+    if not metrics:
+        return first
+    # Python's and partial aggregates do not mix: each is an aggregation of its own, and they meet by the key
+    second = df.groupBy(*by).agg(*[_of_groups(f)(truth, prediction).alias(m) for m, f in metrics.items()]).withColumnsRenamed({c: f"__{c}" for c in by})
+    met = first.join(second, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return met.drop(*[f"__{c}" for c in by])
+
+
+def _of_groups(f: Callable):
+    @F.pandas_udf("double")
+    def run(truth: pd.Series, prediction: pd.Series) -> float:
+        pairs = [(np.asarray(a, dtype=np.float64), np.asarray(b, dtype=np.float64)) for a, b in zip(truth, prediction) if a is not None and b is not None]
+        return float(f([a for a, _ in pairs], [b for _, b in pairs])) if pairs else None
+
+    return run
+
+
+def _of_rows(f: Callable):
+    @F.pandas_udf("double")
+    def run(truth: pd.Series, prediction: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else float(f([np.asarray(a, dtype=np.float64)], [np.asarray(b, dtype=np.float64)])) for a, b in zip(truth, prediction)], dtype="float64")
+
+    return run

@@ -20,6 +20,11 @@ HASH = "CAST((({0}::BIGINT & 4294967295)::HUGEINT * 2654435761 + (({0}::BIGINT >
 SHAPE = (8, 8)
 
 
+def draw_sql(key: str, number: str, seed: int = 0) -> str:
+    """SQL of ``draws.drawn``."""
+    return f"(('0x' || substr(md5(concat({key}, ':{seed}:', {number})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         REGISTRY[name] = (f, sql)

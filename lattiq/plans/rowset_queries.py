@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 from lattiq.functions import coords, images, ndim, paths
 from lattiq.operators import align, boxes, rowset, temporal, tiles, union
 from lattiq.operators.positions import hash_order, with_positions
-from lattiq.plans.base import HASH, PIXELS, SHAPE, query, rounded, table, vectors
+from lattiq.plans.base import HASH, PIXELS, SHAPE, draw_sql as _draw, query, rounded, table, vectors
 
 _EVENT_HASH = HASH.format("event_id")
 
 
-def _draw(key: str, number: str, seed: int = 0) -> str:
-    """SQL of ``draws.drawn``."""
-    return f"(('0x' || substr(md5(concat({key}, ':{seed}:', {number})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
 # strings and paths
 
 
@@ -200,6 +195,16 @@ def split_hash(spark, sf):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
+@query("split_stratified", f"""WITH c AS (SELECT event_type AS s, count(*) AS m, sum(count(*)) OVER () AS n FROM events GROUP BY 1), z AS (SELECT *, CAST(n - ceil(n * 0.3::DOUBLE) AS BIGINT) AS n_train FROM c),
+q AS (SELECT *, m * n_train // n AS t, m * n_train % n AS rest FROM z), t AS (SELECT *, t + (row_number() OVER (ORDER BY rest DESC, s) <= n_train - sum(t) OVER ())::INT AS train FROM q),
+r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_EVENT_HASH}, event_id) - 1 AS r FROM events)
+SELECT event_id, event_type, r >= train AS is_test FROM r JOIN t ON event_type = s""")
+def split_stratified(spark, sf):
+    """Three tenths of the rows, rounded up, spread over the kinds of events by largest remainders."""
+    train, test = rowset.split_by_size(table(spark, sf, "events").select("event_id", "event_type"), "event_id", 0.3, stratum="event_type")
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
 @query("split_documents", f"""WITH r AS (SELECT doc_id, lang, len(text) AS n, row_number() OVER (ORDER BY {HASH.format('doc_id')}, doc_id) - 1 AS pos, count(*) OVER () AS rows FROM documents)
 SELECT doc_id, lang, n, pos < CAST(floor(rows * 0.2::DOUBLE) AS BIGINT) AS is_test FROM r""")
 def split_documents(spark, sf):

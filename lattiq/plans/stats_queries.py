@@ -226,3 +226,31 @@ def hard_mining_prob(spark, sf):
 def hard_mining_prob_power(spark, sf):
     e = table(spark, sf, "events").select("event_id", (-F.col("value")).alias("m"))
     return rounded(mining.index_probability(e, "m").select("event_id", "p"), 10)
+
+_EVAL = f"""WITH p AS (SELECT vec_id, label, px, CASE WHEN px % 5 = 0 THEN 0 ELSE v END AS y, v * v - 0.1 AS p FROM ({PIXELS}))
+SELECT vec_id, 'set' || (vec_id % 3) AS ds_path, label, CAST(vec_id // 3 AS BIGINT) AS frame, round(avg((p - y) * (p - y)), 6) AS mse, round(avg(abs(p - y)), 6) AS mae,
+  round(avg((p - y) * (p - y)) FILTER (y <> 0), 6) AS msem, round(avg(abs(p - y)) FILTER (y <> 0), 6) AS maem, round(max(abs(p - y)), 6) AS worst FROM p GROUP BY 1, 2, 3, 4"""
+
+
+def _predictions(spark, sf):
+    y = F.transform("data", lambda x, i: F.when(i % 5 == 0, 0.0).otherwise(x))
+    v = vectors(spark, sf).withColumns({"y": y, "p": F.transform("data", lambda x: x * x - 0.1), "ds_path": F.concat(F.lit("set"), F.col("vec_id") % 3), "frame": F.floor(F.col("vec_id") / 3)})
+    return v.select("vec_id", "ds_path", "label", "frame", "y", "p")
+
+
+def _worst(truth, prediction):
+    return max(abs(a - b).max() for a, b in zip(truth, prediction))
+
+
+@query("evaluated_images", _EVAL)
+def evaluated_images(spark, sf):
+    """A row for each image: errors as expressions, the greatest one by a user's function."""
+    return rounded(stats.evaluated(_predictions(spark, sf), "y", "p", metrics={"worst": _worst}))
+
+
+@query("evaluated_tiles", _EVAL)
+def evaluated_tiles(spark, sf):
+    """The same when images come as four parts each."""
+    parts = F.array(*[F.struct(F.slice("y", 16 * k + 1, 16).alias("y"), F.slice("p", 16 * k + 1, 16).alias("p")) for k in range(4)])
+    df = _predictions(spark, sf).withColumn("t", F.explode(parts)).withColumns({"y": F.col("t.y"), "p": F.col("t.p")}).drop("t")
+    return rounded(stats.evaluated(df, "y", "p", metrics={"worst": _worst}, by=["vec_id"], carried=["ds_path", "label", "frame"]))

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lattiq.functions import coords, images, kernels
-from lattiq.operators import augment
-from lattiq.plans.base import PIXELS, SHAPE, query, rounded, scratch, table, vectors
+from lattiq.operators import augment, parameters
+from lattiq.plans.base import PIXELS, SHAPE, draw_sql as _draw, query, rounded, scratch, table, vectors
 from lattiq.sources import sinks
 from lattiq.streaming import epochs
 
@@ -35,10 +35,45 @@ def gaussian_blur(spark, sf):
     return out.select("vec_id", "data")
 
 
+def _steps():
+    return augment.pipeline(augment.Scaling(), augment.Illumination(points=3, grid=(2, 2), speckle=True), augment.Geometry(rotation=20, shift_y=0.1, zoom=(0.9, 1.1), flip_x=True, brightness=(0.8, 1.2)), seed=3)
+
+
+_D = lambda n, low=0.0, high=1.0: f"({low}::DOUBLE + {_draw('vec_id', str(n), 3)} * ({high}::DOUBLE - {low}::DOUBLE))"
+
+
+@query("augmentation_parameters", f"""WITH c AS (SELECT vec_id, {_D(1106)} < 0.5 AS g, {_D(1107)} < 0.5 AS p, {_D(1108)} < 0.5 AS s FROM embeddings WHERE false UNION ALL
+SELECT vec_id, {_D(1109)} < 0.5, {_D(1110)} < 0.5, {_D(1111)} < 0.5 FROM embeddings), n AS (SELECT *, 0.1::DOUBLE / pow(1.5, g::INT + p::INT + s::INT - 1) AS most FROM c)
+SELECT vec_id, round({_D(0, -20, 20)}, 9) AS theta, round({_D(1, -0.1, 0.1)}, 9) AS tx, round({_D(4, 0.9, 1.1)}, 9) AS zy, {_D(7)} < 0.5 AS flip_x, round({_D(8, 0.8, 1.2)}, 9) AS brightness,
+  round({_D(1000)}, 9) AS low, round({_D(1001)}, 9) AS high, round({_D(1100, 0, 2)}, 9) AS blur, CAST(floor({_D(1101)} * 4294967296) AS BIGINT) AS noise,
+  round({_D(1103, -1, 1)}, 9) AS delta, round({_D(1108, 0.2, 0.8)}, 9) AS light, round(CASE WHEN g THEN {_D(1112)} * most * 0.7 END, 9) AS gaussian, round(CASE WHEN s THEN {_D(1114)} * most END, 9) AS speckle FROM embeddings JOIN n USING (vec_id)""")
+def augmentation_parameters(spark, sf):
+    """What each row's augmentation will be, before anything is applied."""
+    p = parameters.with_parameters(vectors(spark, sf), _steps(), ["data"], "vec_id")
+    g, s, i = F.col("aug.geometry"), F.col("aug.data.scaling"), F.col("aug.data.illumination")
+    return rounded(p.select("vec_id", *[g[c].alias(c) for c in ("theta", "tx", "zy", "flip_x", "brightness")], s["low"].alias("low"), s["high"].alias("high"), *[i[c].alias(c) for c in ("blur", "noise", "gaussian", "speckle")], i["deltas"][2].alias("delta"), i["grid"][3].alias("light")), 9)
+
+
+@query("augmentation_given", f"""WITH t AS (SELECT vec_id, v, px // 8 AS y, px % 8 AS x, (px // 8 = 0 OR px // 8 = 7) AS edge, {_D(6)} < 0.5 AS fy, {_D(7)} < 0.5 AS fx, {_D(8, 0.5, 1.5)} AS b, {_D(1000, -0.1, 0.1)} AS c, {_D(1001, 1, 2)} AS s, {_D(2000, -0.1, 0.1)} AS c2, {_D(2001, 1, 2)} AS s2 FROM ({PIXELS})),
+m AS (SELECT vec_id, bool_or(edge AND v > 0.27) AS held FROM t GROUP BY 1),
+w AS (SELECT *, CASE WHEN fy AND NOT held THEN 7 - y ELSE y END * 8 + CASE WHEN fx THEN 7 - x ELSE x END + 1 AS place FROM t JOIN m USING (vec_id))
+SELECT vec_id, held, round(sum((v - c) / s * b * place), 5) AS raw, round(sum((v - c2) / s2 * b * place), 5) AS other, CAST(sum(place) FILTER (v > 0.27) AS BIGINT) AS mask FROM w GROUP BY 1, 2""")
+def augmentation_given(spark, sf):
+    """Two channels and a mask by one geometry; where the mask touches the upper or lower edge, the flip in y is taken back before."""
+    p = augment.pipeline(augment.Scaling(augment.BRIGHT_FIELD, center_range=(-0.1, 0.1), scale_range=(1, 2)), None, augment.Geometry(flip_y=True, flip_x=True, brightness=(0.5, 1.5)), seed=3)
+    df = vectors(spark, sf).withColumns({"other": F.col("data"), "mask": F.transform("data", lambda x: F.when(x > 0.27, 1.0).otherwise(0.0))})
+    touches = lambda m: images.touches_y_borders(m, SHAPE)[0] | images.touches_y_borders(m, SHAPE)[1]
+    df = df.withColumn("held", touches(F.col("mask")))
+    rows = parameters.with_parameters(df, p, ["data", "other", "mask"], "vec_id", ["mask"])
+    rows = parameters.adjusted(rows, "mask", lambda g, m: F.when(touches(m), g.withField("flip_y", F.lit(False))).otherwise(g))
+    out = parameters.apply_parameters(rows, p, ["data", "other", "mask"], SHAPE, ["mask"])
+    moment = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("vec_id", "held", moment("data").alias("raw"), moment("other").alias("other"), F.nullif(moment("mask").cast("bigint"), F.lit(0).cast("bigint")).alias("mask")), 5)
+
+
 @query("augmented_images")
 def augmented_images(spark, sf):
-    p = augment.pipeline(augment.Scaling(), augment.Illumination(), augment.Geometry(rotation=20, shift_y=0.1, zoom=(0.9, 1.1), flip_x=True), seed=3)
-    return p.apply(vectors(spark, sf), ["data"], "vec_id", SHAPE).select("vec_id", "data")
+    return _steps().apply(vectors(spark, sf), ["data"], "vec_id", SHAPE).select("vec_id", "data")
 
 
 @query("elastic_images")
