@@ -38,10 +38,11 @@ def with_singleton(images: DataFrame, single: DataFrame, key: str = "ds_idx") ->
 
 
 def with_labels(images: DataFrame, labels: DataFrame, keys: Sequence[str] = KEY, label: str = "label") -> DataFrame:
-    """Labels where they are; if any sub-dataset has rows without, no row has one."""
+    """Labels where they are; if any sub-dataset has rows without, no row has one. The join is one plan: whether a label is missing is
+    counted from the keys, and its result is the same shuffle."""
     joined = images.join(labels, list(keys), "left")
-    missing = joined.where(F.col(label).isNull()).limit(1).count() > 0
-    return joined.withColumn(label, F.lit(None).cast(joined.schema[label].dataType)) if missing else joined
+    missing = images.select(*keys).join(labels.where(F.col(label).isNotNull()).select(*keys), list(keys), "left_anti").agg(F.count("*").alias("n"))
+    return joined.withColumn(label, F.when(missing.scalar() == 0, F.col(label)))
 
 
 def with_side_array(images: DataFrame, arrays: DataFrame, column: str, keys: Sequence[str] = KEY, per: Sequence[str] = ()) -> DataFrame:
@@ -55,20 +56,23 @@ def with_side_array(images: DataFrame, arrays: DataFrame, column: str, keys: Seq
 def resolve_ids(ids: DataFrame, parts: DataFrame, gid: str = "global_idx") -> DataFrame:
     """The sub-dataset (or group, or child) whose range holds each id, and the id's place in it.
 
-    ``parts`` is a catalog, a row for each sub-dataset: it goes to the rows as a sorted array, and each row looks its range up in
-    two short steps, over every k-th offset and then over the k that follow. Ids outside of all ranges are left out.
+    ``parts`` is a catalog, a row for each sub-dataset, and may have as many rows as there are; they meet the ids by an equi-join. A part of
+    n ids is put in bins of the least power of two that holds n, of which it touches two at most, and as parts do not overlap a bin holds
+    three at most. An id looks in its bin of each width that occurs, of which there are 63 at most. Ids outside of all ranges, and null ids, are left out.
     """
     names = [x for x in parts.columns if x not in ("offset", "n")]
-    c = parts.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("offset", "n", *names))).alias("__c"))
-    out = ids.withColumn("__c", c.scalar())
-    step = F.greatest(F.ceil(F.sqrt(F.size("__c"))), F.lit(1)).cast("int")
-    every = F.sequence(F.lit(0), F.greatest(F.floor((F.size("__c") - 1) / step), F.lit(0)).cast("int"))
-    coarse = F.size(F.filter(every, lambda k: F.get("__c", (k * step).cast("int"))["offset"] <= F.col(gid)))
-    out = out.withColumns({"__step": step, "__k": coarse})
-    fine = F.size(F.filter(F.slice("__c", F.greatest((F.col("__k") - 1) * F.col("__step") + 1, F.lit(1)), F.col("__step")), lambda p: p["offset"] <= F.col(gid)))
-    out = out.where("__k > 0").withColumn("__h", F.get("__c", ((F.col("__k") - 1) * F.col("__step") + fine - 1).cast("int")))
-    out = out.where(F.col(gid) < F.col("__h")["offset"] + F.col("__h")["n"])
-    return out.select(*ids.columns, *[F.col("__h")[x].alias(x) for x in names], (F.col(gid) - F.col("__h")["offset"]).alias("im_idx"))
+    level = F.when(F.col("__n") <= 1, 0).otherwise(F.length(F.bin(F.col("__n") - 1)))
+    c = parts.where("n > 0").select(F.col("offset").alias("__offset"), F.col("n").alias("__n"), *[F.col(x).alias(f"__{x}") for x in names]).withColumn("__level", level)
+    ends = F.array_distinct(F.array(F.expr("shiftright(__offset, __level)"), F.expr("shiftright(__offset + __n - 1, __level)")))
+    c = c.withColumn("__bin", F.explode(ends))
+    widths = sorted(r[0] for r in c.select("__level").distinct().collect())  # 64 numbers at most
+    if not widths:
+        widths = [0]
+    at = F.array(*[F.struct(F.lit(w).alias("w"), F.shiftright(F.col(gid).cast("bigint"), w).alias("b")) for w in widths])
+    rows = ids.withColumn("__at", F.explode(at)).withColumns({"__w": F.col("__at.w"), "__b": F.col("__at.b")}).drop("__at")
+    within = (F.col(gid) >= F.col("__offset")) & (F.col(gid) < F.col("__offset") + F.col("__n"))
+    met = rows.join(c, (F.col("__w") == F.col("__level")) & (F.col("__b") == F.col("__bin")) & within)
+    return met.select(*ids.columns, *[F.col(f"__{x}").alias(x) for x in names], (F.col(gid) - F.col("__offset")).alias("im_idx"))
 
 
 def inspected(ids: DataFrame, catalogue: DataFrame, gid: str = "global_idx") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattiq.functions import coords, images, ndim, paths
 from lattiq.operators import align, boxes, rowset, temporal, tiles, union
@@ -292,6 +293,40 @@ def label_lookup(spark, sf):
     return align.with_labels(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", "quality"), ["doc_id"], "quality")
 
 
+@query("label_lookup_whole", "SELECT o_orderkey, c_name AS label FROM orders JOIN customer ON o_custkey = c_custkey")
+def label_lookup_whole(spark, sf):
+    """Every row has a label, so all keep theirs."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("ds_idx"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("ds_idx"), F.col("c_name").alias("label"))
+    return align.with_labels(o, c, ["ds_idx"]).select("o_orderkey", "label")
+
+
+@query("range_join_orders", """WITH p AS (SELECT o_orderkey AS ds_path, 1 + o_orderkey % 7 + CASE WHEN o_orderkey % 500 = 0 THEN 100000 ELSE 0 END AS n FROM orders),
+c AS (SELECT *, row_number() OVER (ORDER BY ds_path) - 1 AS ds_idx, sum(n) OVER (ORDER BY ds_path) - n AS first FROM p), i AS (SELECT l_orderkey * 11 + l_linenumber AS global_idx FROM lineitem)
+SELECT global_idx, CAST(ds_idx AS INTEGER) AS ds_idx, ds_path, CAST(global_idx - first AS BIGINT) AS im_idx FROM i ASOF JOIN c ON i.global_idx >= c.first WHERE global_idx < first + n""")
+def range_join_orders(spark, sf):
+    """As many parts as orders, most of a few ids and some of very many."""
+    n = 1 + F.col("o_orderkey") % 7 + F.when(F.col("o_orderkey") % 500 == 0, 100_000).otherwise(0)
+    p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ds_path"), n.alias("n"))
+    ranked = with_positions(p, "ds_path", out="ds_idx")
+    before = F.sum("n").over(Window.orderBy("ds_path").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranked.select(F.col("ds_idx").cast("int").alias("ds_idx"), "ds_path", "n", F.coalesce(before, F.lit(0)).alias("offset"))
+    ids = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 11 + F.col("l_linenumber")).alias("global_idx"))
+    return align.resolve_ids(ids, parts)
+
+
+@query("tile_table_function", f"""WITH d AS ({PIXELS}), t AS (SELECT y * 3 + x AS tile_id, [0, 2, 4][y + 1] AS y0, [0, 2, 4][x + 1] AS x0 FROM range(3) a(y), range(3) b(x))
+SELECT vec_id, CAST(tile_id AS INTEGER) AS tile_id, y0, x0, round(sum(v * ((px // 8 - y0) * 4 + px % 8 - x0 + 1)), 5) AS moment FROM d, t WHERE px // 8 >= y0 AND px // 8 < y0 + 4 AND px % 8 >= x0 AND px % 8 < x0 + 4 GROUP BY ALL""")
+def tile_table_function(spark, sf):
+    """Tiles from SQL, by a table function."""
+    from lattiq.functions import table_functions
+
+    table_functions.register(spark)
+    sql = "SELECT vec_id, t.tile_id, t.start[0] AS y0, t.start[1] AS x0, t.data FROM {v} v, LATERAL tile(v.data, array(8, 8), array(4, 4), 'force', 1) t"
+    out = spark.sql(sql, v=vectors(spark, sf))
+    return rounded(out.select("vec_id", "tile_id", "y0", "x0", _moment().alias("moment")), 5)
+
+
 @query("pad_ragged", """WITH t AS (SELECT page_id, list_transform(string_split(url, '/'), lambda x: len(x)) AS a FROM pages), m AS (SELECT max(len(a)) AS n FROM t)
 SELECT page_id, len(a) AS used, n AS size, CAST(list_sum(a) AS BIGINT) AS total FROM t, m""")
 def pad_ragged(spark, sf):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import images
 from lattiq.operators import mining, stats
-from lattiq.plans.base import PIXELS, SHAPE, pixels, query, rounded, table, vectors
+from lattiq.plans.base import PIXELS, SHAPE, pixels, query, rounded, scratch, table, vectors
+from lattiq.streaming import feedback
 
 
 def prices(spark, sf):
@@ -254,3 +255,16 @@ def evaluated_tiles(spark, sf):
     parts = F.array(*[F.struct(F.slice("y", 16 * k + 1, 16).alias("y"), F.slice("p", 16 * k + 1, 16).alias("p")) for k in range(4)])
     df = _predictions(spark, sf).withColumn("t", F.explode(parts)).withColumns({"y": F.col("t.y"), "p": F.col("t.p")}).drop("t")
     return rounded(stats.evaluated(df, "y", "p", metrics={"worst": _worst}, by=["vec_id"], carried=["ds_path", "label", "frame"]))
+
+
+@query("stream_weights", """WITH e AS (SELECT user_id, event_id % 3 AS epoch, value FROM events), l AS (SELECT user_id, max(epoch) AS epoch FROM e GROUP BY 1),
+s AS (SELECT user_id, avg(value) AS v FROM e JOIN l USING (user_id, epoch) GROUP BY 1),""" + _MINING.format(metric="v", qmax="0.5").replace("SELECT event_id, v AS m FROM events", "SELECT user_id AS event_id, v AS m FROM s").strip().removeprefix("WITH").replace("SELECT event_id, round(p / sum(p) OVER (), 10) AS p", "SELECT event_id AS user_id, round(p / sum(p) OVER (), 9) AS p"))
+def stream_weights(spark, sf):
+    """Three epochs of metrics arrive as files; the weights after the last one follow each user's newest metrics."""
+    root = scratch(spark, "feedback")
+    e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 3).alias("epoch"), F.array("value", F.lit(0.0)).alias("metrics"))
+    for k in range(3):
+        e.where(F.col("epoch") == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    feedback.follow(stream, ["user_id"], mining.Schedule(period=1, start=0, n_metrics=2), f"{root}/out", f"{root}/state", quantile_max=0.5)
+    return rounded(feedback.weights(spark, f"{root}/out", 2), 9)
