@@ -103,7 +103,7 @@ def routed_writes(spark, sf):
     """Each row to the store that owns its path."""
     stores = {"1": scratch(spark, "urgent"), "": scratch(spark, "other")}
     o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("ds_path"), "o_orderkey")
-    sinks.write_routed(o, stores)
+    sinks.write_routed(o, stores, scratch(spark, "routed"))
     return union.union_all([spark.read.parquet(stores[k]).select("o_orderkey", F.lit(name).alias("store")) for k, name in (("1", "urgent"), ("", "other"))])
 
 

@@ -79,13 +79,20 @@ def write_range(df: DataFrame, path: str, staging: str, run: int = RUN) -> None:
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ds_path", "run").parquet(path)
 
 
-def write_routed(df: DataFrame, stores: Mapping[str, str], mode: str = "append") -> None:
-    """Each row to the store whose key its path begins with, the longest such key first; a path of no store is an error."""
+def write_routed(df: DataFrame, stores: Mapping[str, str], staging: str, mode: str = "append") -> None:
+    """Each row to the store whose key its path begins with, the longest such key first; a path of no store is an error.
+
+    The plan runs once: its rows go to ``staging`` (a fresh shared path), a folder for each store, and from there to the stores, which are
+    not touched if any row has none.
+    """
     keys = sorted(stores, key=lambda k: (-len(k), k))
-    owner = F.coalesce(*[F.when(F.col("ds_path").startswith(k), F.lit(k)) for k in keys])
-    rows = df.withColumn("__store", F.coalesce(owner, F.raise_error(F.concat(F.lit("no store for "), F.col("ds_path"))).cast("string")))
+    number = {k: i for i, k in enumerate(keys)}
+    owner = F.coalesce(*[F.when(F.col("ds_path").startswith(k), F.lit(number[k])) for k in keys])
+    rows = df.withColumn("__store", F.coalesce(owner, F.raise_error(F.concat(F.lit("no store for "), F.col("ds_path"))).cast("int")))
+    rows.write.partitionBy("__store").parquet(staging)
+    held = df.sparkSession.read.schema(rows.schema).parquet(staging)
     for k in stores:
-        rows.where(F.col("__store") == k).drop("__store").write.mode(mode).parquet(stores[k])
+        held.where(F.col("__store") == number[k]).drop("__store").write.mode(mode).parquet(stores[k])
 
 
 def tiff_files(df: DataFrame, n: int, shape: tuple[int, ...] | None = None, dtype: str = "float32") -> DataFrame:

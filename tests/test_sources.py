@@ -54,7 +54,7 @@ def test_write_range_into_an_absent_store_and_over_it(spark, tmp_path):
 def test_routed_write_without_a_store_fails(spark, tmp_path):
     df = spark.createDataFrame([("a/1",), ("b/1",)], "ds_path string")
     with pytest.raises(Exception, match="no store for b/1"):
-        sinks.write_routed(df, {"a": str(tmp_path / "a")})
+        sinks.write_routed(df, {"a": str(tmp_path / "a")}, str(tmp_path / "staging"))
 
 
 def test_choice_of_weights_and_of_too_few(spark):
