@@ -4,6 +4,10 @@ Two fingerprints differ in at most 2 bits only if, of three segments in a ring,
 has at most 1 differing bit after two segments and 2 after three: a chain of l segments may use l * 2 / 3 bits. The
 candidates are found by that chain's beginning: the equal segment, and the half of the next one that must be equal
 too, since at most one bit of it differs. The chain is then followed to its end, which is the full Hamming check.
+
+The bits that such a key leaves open are a ring again, of three shorter segments, in which at most 2 bits differ. So a bucket
+that is full is parted by keys that are longer by the beginning of a chain in that ring, and so on: each step about halves the open bits, and when
+six are left a bucket has 64 fingerprints at most. Every bucket goes this one way, full ones only further along it.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from lattiq.llm.hashing import bit_counts, chunks, shingle_spans, xxh64
 #: First bit and length of each segment of the ring.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BUDGET = 2
-#: A bucket of more fingerprints is not paired; its fingerprints meet at their one-bit neighbours instead.
+#: A bucket of more fingerprints is parted by longer keys before its fingerprints are paired.
 MAX_BUCKET = 32
+#: Steps that leave 33, 17, 10 and 6 bits open at most.
+STEPS = 4
 
 
 def fingerprints(texts: list[bytes], words_each: int = 3, seed: int = 42) -> np.ndarray:
@@ -60,33 +66,70 @@ def _differing(x: Column, y: Column, mask: int) -> Column:
     return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(mask)))
 
 
+def _beginnings(bits: list[int]) -> list[list[int]]:
+    """The bits that are equal at the beginning of a chain in the ring of these bits: a third of them, and either half of the next third."""
+    n = len(bits)
+    thirds = [bits[: n // 3], bits[n // 3 : 2 * (n // 3)], bits[2 * (n // 3) :]]
+    out = []
+    for i in range(3):
+        after = thirds[(i + 1) % 3]
+        out += [thirds[i] + after[: len(after) // 2], thirds[i] + after[len(after) // 2 :]]
+    return out
+
+
+def _signed(bits: list[int]) -> int:
+    m = sum(1 << b for b in bits)
+    return m - (1 << 64) if m >= 1 << 63 else m
+
+
+def key_masks(steps: int = STEPS) -> list[list[tuple[int, int, int, int]]]:
+    """For each step (part before, part, first segment of the chain, mask of the key): six parts for each one before."""
+    levels, parts = [], [(0, 0, [])]
+    for step in range(steps):
+        rows, nxt = [], []
+        for part, segment, fixed in parts:
+            for j, more in enumerate(_beginnings([b for b in range(64) if b not in set(fixed)])):
+                first = j // 2 if step == 0 else segment
+                rows.append((part, 6 * part + j, first, _signed(fixed + more)))
+                nxt.append((6 * part + j, first, fixed + more))
+        levels.append(rows)
+        parts = nxt
+    return levels
+
+
 def similar_pairs(classes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links (a, b) between the nodes of distinct fingerprints (fp, node): enough of them to connect all that differ
-    in at most 2 bits, and none between others."""
-    keys = []
-    for i, (first, length) in enumerate(SEGMENTS):
-        after, more = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        for j, (a, n) in enumerate(((after, more // 2), (after + more // 2, more - more // 2))):
-            keys.append(F.struct(F.lit(2 * i + j).cast("int").alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(first, length) | _mask(a, n))).alias("key")))
-    rows = classes.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("fp", "node", "k.part", "k.key")
-    many = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = common.written(rows.join(many, ["part", "key"]), "simhash-buckets")
-    groups = rows.where(F.col("n") <= max_bucket).groupBy("part", "key").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("g"))
-    pairs = groups.select("part", "g", F.posexplode("g").alias("i", "x")).select("part", "x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
+    """Links (a, b) between the nodes of distinct fingerprints (fp, node): all that differ in at most 2 bits, and no others."""
+    spark = classes.sparkSession
+    rows, found = classes.select("fp", "node", F.lit(0).alias("part")), []
+    levels = key_masks()
+    for step, masks in enumerate(levels):
+        table = spark.createDataFrame(masks, "part int, next int, segment int, mask bigint")  # 6 ** (step + 1) rows
+        keyed = rows.join(F.broadcast(table), "part").select("fp", "node", "segment", F.struct(F.col("next").alias("part"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")).alias("k"))
+        many = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+        keyed = common.written(common.salted_join(keyed, many, "k"), "simhash-buckets")
+        last = step == len(levels) - 1
+        small = keyed if last else keyed.where(F.col("n") <= max_bucket)
+        groups = small.groupBy("k", "segment").agg(F.array_sort(F.collect_list(F.struct("node", "fp"))).alias("g"))
+        pairs = groups.select("segment", "g", F.posexplode("g").alias("i", "x")).select("segment", "x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
+        found.append(_chained(pairs))
+        rows = keyed.where(F.col("n") > max_bucket).select("fp", "node", F.col("k.part").alias("part"))
+        if last or not rows.limit(1).count():
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def _chained(pairs: DataFrame) -> DataFrame:
+    """The pairs whose chain from ``segment`` on keeps to its budget at each segment, to the whole ring."""
     x, y = F.col("x.fp"), F.col("y.fp")
     chain = F.lit(False)
     for i in range(len(SEGMENTS)):
         m1, m2 = _mask(*SEGMENTS[i]), _mask(*SEGMENTS[(i + 1) % len(SEGMENTS)])
         viable = (_differing(x, y, m1) == 0) & (_differing(x, y, m1 | m2) * len(SEGMENTS) <= 2 * BUDGET)
-        chain = chain | (F.floor(F.col("part") / 2) == i) & viable
-    pairs = pairs.where(chain).where(F.bit_count(x.bitwiseXOR(y)) <= BUDGET).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # full buckets: fingerprints at 2 bits or fewer share a one-bit neighbour, and only they do; such a neighbour has 65 at most
-    full = rows.where(F.col("n") > max_bucket).select("fp", "node").distinct()
-    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(_mask(b, 1)).cast("bigint") for b in range(64)])
-    around = full.select("node", "fp", F.explode(flips).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    met = around.groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("g")).where(F.size("g") > 1)
-    stars = met.select(F.col("g")[0].alias("a"), F.explode(F.expr("slice(g, 2, size(g))")).alias("b"))
-    return pairs.unionByName(stars).distinct()
+        chain = chain | (F.col("segment") == i) & viable
+    return pairs.where(chain).where(F.bit_count(x.bitwiseXOR(y)) <= BUDGET).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

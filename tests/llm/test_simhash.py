@@ -62,6 +62,37 @@ def test_links_connect_what_is_near(spark, max_bucket):
     assert {i: got.get(i, i) for i in prints} == brute_components(prints)
 
 
+def test_keys_leave_no_pair_out():
+    """Every two fingerprints within 2 bits share a key at each step, under any key they shared before."""
+    levels = simhash.key_masks()
+    assert [len(x) for x in levels] == [6, 36, 216, 1296]
+    open_bits = [{64 - (m & (1 << 64) - 1).bit_count() for *_, m in rows} for rows in levels]
+    assert [max(x) for x in open_bits] == [33, 17, 10, 6]
+    rng = random.Random(5)
+    for _ in range(300):
+        d = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2)))
+        at = {0}
+        for rows in levels:
+            met = {part: {p for before, p, _, m in rows if before == part and not d & m & (1 << 64) - 1} for part in at}
+            assert all(met.values())
+            at = set().union(*met.values())
+
+
+@pytest.mark.parametrize("max_bucket", [2, 8, 32, 10_000])
+def test_one_dense_cloud_has_all_its_links_at_every_size(spark, max_bucket):
+    rng = random.Random(6)
+    centre, prints = rng.getrandbits(64), set()
+    while len(prints) < 700:
+        x = centre
+        for b in rng.sample(range(20), rng.randint(0, 4)):
+            x ^= 1 << b
+        prints.add(x)
+    prints = dict(enumerate(sorted(prints)))
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()]
+    got = {(r.a, r.b) for r in simhash.similar_pairs(spark.createDataFrame(rows, "fp long, node long"), max_bucket).collect()}
+    assert got == {(i, j) for i in prints for j in range(i + 1, 700) if (prints[i] ^ prints[j]).bit_count() <= 2}
+
+
 def test_odd_rows(spark):
     rows = [(3, None), (1, ""), (2, "a  b"), (2, "a  b"), (None, "a b"), (None, "lost"), (5, "A B"), (6, "w " * 5000)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
