@@ -89,8 +89,3 @@ def optimal_tiling(image: tuple[int, ...], tile: tuple[int, ...], target_batch:
     near = int(n + 0.5)
     tries = [near, int(n + 1), int(n), *(x for i in range(1, near) for x in (near + i, near - i))]
     return next(((target_batch // k, k) for k in tries if target_batch % k == 0), (target_batch, 1))
-
-
-def contracted(size: int, factor: int) -> int:
-    """Largest multiple of factor that fits."""
-    return factor * (size // factor)

@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def n_rows_cols(shape: Sequence[int]) -> tuple[int, int]:
-    return int(shape[0]), int(shape[1])
-
-
 def crop(data: Column, shape: tuple[int, int], target: tuple[int, int], start: tuple[int, int] = (0, 0)) -> Column:
     """A box of an image; its start is moved so that it stays inside."""
     (h, w), (th, tw) = shape, target
@@ -142,3 +138,8 @@ def percentiles(data: Column, ps: Sequence[float]) -> Column:
         return F.array(*[one(p) for p in ps])
 
     return F.when(F.size(data) > 0, F.element_at(F.transform(F.array(F.array_sort(data)), of_sorted), 1))
+
+
+def with_channel_axis(shape: Column, n_spatial: int = 2) -> Column:
+    """A shape with a last axis for channels, of 1 where there was none."""
+    return F.when(F.size(shape) == n_spatial, F.concat(shape, F.array(F.lit(1)))).otherwise(shape)

@@ -42,10 +42,6 @@ def metadata_frame(label: Column) -> Column:
     return F.concat(F.element_at(parts, -1).cast("int").cast("string"), F.lit("-"), F.element_at(F.split(F.element_at(parts, 1), "-"), -1))
 
 
-def strip_leading_slash(s: Column) -> Column:
-    return F.regexp_replace(s, "^/", "")
-
-
 def parent_path(s: Column) -> Column:
     """What stands before the last slash; null without one."""
     return F.when(F.locate("/", s) > 0, F.regexp_extract(s, "^(.*)/[^/]*$", 1))

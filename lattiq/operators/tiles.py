@@ -47,20 +47,6 @@ def tile_function(columns: Sequence[str], shape: tuple[int, int], tile: tuple[in
     return lambda df: extract_tiles(df, columns, shape, tile, starts)
 
 
-def single_tile(columns: Sequence[str], shape: tuple[int, int], box: tuple[int, int, int, int] | None = None, tile: tuple[int, int] | None = None, factor: tuple[int, int] | int | None = None):
-    """A box (y0, y1, x0, x1), else a size, else the largest multiple of a factor; for DataFrame.transform."""
-    if box is not None:
-        y0, y1, x0, x1 = box
-        cut = lambda c: images.crop(F.col(c), shape, (y1 - y0, x1 - x0), (y0, x0))
-    elif tile is not None:
-        cut = lambda c: images.crop(F.col(c), shape, tile)
-    elif factor is not None:
-        cut = lambda c: images.crop_to_multiple(F.col(c), shape, factor)
-    else:
-        return lambda df: df
-    return lambda df: df.withColumns({c: cut(c) for c in columns})
-
-
 def augmented_tiles(df: DataFrame, columns: Sequence[str], shape: tuple[int, int], rotate: bool = True) -> DataFrame:
     """Four times the rows (three flips), or eight with quarter turns; ``aug`` says which."""
     ks = range(8 if rotate else 4)

@@ -82,6 +82,44 @@ def concat_batches(parts: Sequence[DataFrame], counts: Sequence[int], batch: str
     return union_all(out)
 
 
+def repeated(n: int, value) -> list:
+    """A value for each of n: one, or a list of one, stands for all."""
+    values = list(value) if isinstance(value, (list, tuple)) else [value]
+    if len(values) not in (1, n):
+        raise ValueError(f"{len(values)} values for {n}")
+    return values * n if len(values) == 1 else values
+
+
+def flattened(parts: Sequence) -> list[DataFrame]:
+    """Parts of parts, one after the other."""
+    return [p for x in parts for p in (flattened(x) if isinstance(x, (list, tuple)) else [x])]
+
+
+def batch_plan(batches: DataFrame, proportions: Sequence[float] | float, n_parts: int, weight: str | None = None, seed: int = 0, shuffle: bool = True) -> DataFrame:
+    """An epoch of concatenated parts as (pos, batch, part), of a table with a row for each batch of each part.
+
+    A part of n batches gives max(1, int(n * p + 0.5)) of them, none at p = 0: with a weight drawn with replacement, else in whole copies and a
+    rest in hash order. The parts follow each other, or are shuffled together.
+    """
+    counts = {r[0]: r[1] for r in batches.groupBy("part").count().collect()}  # a row a part
+    plans, before = [], 0
+    for i, p in enumerate(repeated(n_parts, proportions)):
+        n = counts.get(i, 0)
+        if p <= 0 or not n:
+            continue
+        size, own = max(1, int(n * p + 0.5)), batches.where(F.col("part") == i)
+        if weight is not None:
+            taken = rowset.resampled(own, weight, size, "batch", seed).withColumn("pos", F.col("draw"))
+        else:
+            taken = rowset.tiled(rowset.shuffled(own, "batch", seed), size, n)
+        plans.append(taken.select((F.col("pos") + before).cast("bigint").alias("pos"), F.col("batch").cast("bigint").alias("batch"), "part"))
+        before += size
+    if not plans:
+        return batches.select(F.lit(0).cast("bigint").alias("pos"), F.col("batch").cast("bigint").alias("batch"), "part").limit(0)
+    plan = union_all(plans)
+    return rowset.shuffled(plan.withColumnRenamed("pos", "slot"), "slot", seed).select("pos", "batch", "part") if shuffle else plan
+
+
 def transposed(items: Column, fields: Sequence[str]) -> Column:
     """An array of structs as a struct of arrays."""
     field = lambda f: F.transform(items, lambda x: x[f]).alias(f)

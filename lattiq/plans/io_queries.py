@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lattiq.functions import draws, images
+from lattiq.dataset import ArrayDataset
+from lattiq.functions import draws, images, paths
 from lattiq.operators import align, rowset, temporal, union
 from lattiq.operators.positions import with_positions
 from lattiq.plans.base import HASH, PIXELS, SHAPE, query, rounded, scratch, table, vectors
@@ -163,6 +164,20 @@ def concat_batches(spark, sf):
     return union.concat_batches(parts, counts)
 
 
+@query("concat_drawn", f"""WITH s AS (SELECT s_suppkey // 4 AS batch, sum(s_acctbal + 1000) AS w FROM supplier GROUP BY 1), c AS (SELECT c_custkey // 10 AS batch, sum(c_acctbal + 1000) AS w FROM customer GROUP BY 1),
+b AS (SELECT 0 AS part, * FROM s UNION ALL SELECT 1, * FROM c), o AS (SELECT *, {HASH.format('(batch + 3)')} AS h, CAST(greatest(1, floor(count(*) OVER (PARTITION BY part) * CASE part WHEN 0 THEN 2.5 ELSE 0.5 END + 0.5)) AS BIGINT) AS size FROM b),
+e AS (SELECT *, sum(w) OVER k / sum(w) OVER (PARTITION BY part) * size AS stop, w / sum(w) OVER (PARTITION BY part) * size AS own FROM o WINDOW k AS (PARTITION BY part ORDER BY h, batch)),
+p AS (SELECT k, k + {_u('k + 4')} AS x FROM range(2000) r(k)) SELECT part, CAST(batch AS BIGINT) AS batch, count(*) AS times FROM e JOIN p ON k < size AND x < stop AND x >= stop - own GROUP BY 1, 2""")
+def concat_drawn(spark, sf):
+    """Batches of two parts, nested, each drawn by its weight: two and a half times as many of the one, half of the other."""
+    s = table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 4).alias("batch")).agg(F.sum(F.col("s_acctbal") + 1000).alias("w"))
+    c = table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("batch")).agg(F.sum(F.col("c_acctbal") + 1000).alias("w"))
+    parts = union.flattened([[s], [[c]]])
+    both = union.union_all([p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+    plan = union.batch_plan(both, [2.5, 0.5], 2, "w", seed=3)
+    return plan.groupBy("part", "batch").agg(F.count("*").alias("times"))
+
+
 @query("transposed_lists", "SELECT o_custkey, len(list(o_orderkey)) AS n, list(o_orderkey ORDER BY o_orderkey) AS o_orderkey, list(o_totalprice ORDER BY o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
 def transposed_lists(spark, sf):
     o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("x"))
@@ -184,3 +199,85 @@ def schedules(spark, sf):
     e = F.col("o_orderkey") % 50
     o = table(spark, sf, "orders")
     return rounded(o.select("o_orderkey", draws.cosine_decay(F.col("o_orderkey") % 500, 400, 2.0, 0.1).alias("epsilon"), draws.due(e, 7).alias("every_7"), draws.due(e, [1, 5, 20]).alias("listed")), 9)
+
+# the front door
+
+
+def _opened(spark, sf):
+    """Two stores of one collection: images and masks, a path for each set and channel, and one image of the mean for each set."""
+    v = vectors(spark, sf).withColumn("set", F.concat(F.lit("set"), F.col("vec_id") % 3))
+    path = lambda c: F.concat("set", F.lit(f"/{c}")).alias("ds_path")
+    raw = v.select(path("raw"), F.col("vec_id").alias("im_idx"), "data", F.col("label").cast("string").alias("label"))
+    mask = v.where("vec_id % 7 <> 0").select(path("mask"), F.col("vec_id").alias("im_idx"), F.transform("data", lambda x: F.when(x > 0.1, 1.0).otherwise(0.0)).alias("data"))
+    flat = v.groupBy(path("flat")).agg(F.lit(0).cast("bigint").alias("im_idx"), F.array(F.avg(F.col("data")[0])).alias("data"))
+    roots = {}
+    for name, t in (("raw", raw), ("mask", mask), ("flat", flat)):
+        roots[name] = f"{scratch(spark, name)}.parquet"
+        t.write.parquet(roots[name])
+    return ArrayDataset.open(spark, roots, SHAPE, masks=["mask"], singletons=["flat"])
+
+
+_SET = f"SELECT vec_id, 'set' || (vec_id % 3) AS ds_path, label, px, v FROM ({PIXELS}) WHERE vec_id % 7 <> 0"
+
+
+@query("dataset_tiles", f"""WITH d AS ({_SET}), f AS (SELECT 'set' || (vec_id % 3) AS ds_path, avg(embedding[1]::DOUBLE) AS flat FROM embeddings GROUP BY 1)
+SELECT ds_path, vec_id AS im_idx, CAST(px // 32 * 2 + px % 8 // 4 AS INTEGER) AS tile_id, round(sum(v), 5) AS raw, CAST(count(*) FILTER (v > 0.1) AS BIGINT) AS mask, round(any_value(flat), 6) AS flat
+FROM d JOIN f USING (ds_path) GROUP BY 1, 2, 3""")
+def dataset_tiles(spark, sf):
+    """Three stores opened together: images without a mask are left out, each set's single image meets all of its rows."""
+    ds = _opened(spark, sf).select(["raw", "mask", "flat"])
+    flat = ds.df.select("ds_path", "im_idx", F.col("flat")[0].alias("flat"))
+    t = ds.select(["raw", "mask"]).tile((4, 4), mode="no_overlap").df
+    out = t.select("ds_path", "im_idx", "tile_id", images.total(F.col("raw")).alias("raw"), images.total(F.col("mask")).cast("bigint").alias("mask"))
+    return out.join(flat, ["ds_path", "im_idx"]).select("ds_path", "im_idx", "tile_id", F.round("raw", 5).alias("raw"), "mask", F.round("flat", 6).alias("flat"))
+
+
+@query("dataset_evaluated", f"""WITH d AS ({_SET}), n AS (SELECT vec_id, row_number() OVER (ORDER BY 'set' || (vec_id % 3), vec_id) - 1 AS global_idx FROM embeddings WHERE vec_id % 7 <> 0)
+SELECT global_idx, ds_path, CAST(label AS VARCHAR) AS label, round(avg(pow(2 * v - (v > 0.1)::INT, 2)), 6) AS mse, round(avg(abs(2 * v - 1)) FILTER (v > 0.1), 6) AS maem FROM d JOIN n USING (vec_id) GROUP BY 1, 2, 3""")
+def dataset_evaluated(spark, sf):
+    """Rows numbered over all sets, a model applied, its errors by image."""
+    ds = _opened(spark, sf).select(["raw", "mask"]).numbered()
+    return rounded(ds.evaluate(lambda x: 2 * x, "mask", ["mse", "maem"], carried=["global_idx", "ds_path", "label"]))
+
+
+@query("dataset_split", f"""WITH n AS (SELECT vec_id, label, row_number() OVER (ORDER BY 'set' || (vec_id % 3), vec_id) - 1 AS g FROM embeddings WHERE vec_id % 7 <> 0),
+c AS (SELECT label AS s, count(*) AS m, sum(count(*)) OVER () AS n FROM n GROUP BY 1), z AS (SELECT *, CAST(n - ceil(n * 0.25::DOUBLE) AS BIGINT) AS k FROM c),
+q AS (SELECT *, m * k // n AS t, m * k % n AS rest FROM z), t AS (SELECT *, t + (row_number() OVER (ORDER BY rest DESC, CAST(s AS VARCHAR)) <= k - sum(t) OVER ())::INT AS train FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH.format('g')}, g) - 1 AS r FROM n), e AS (SELECT r.*, train FROM r JOIN t ON label = s WHERE r >= train),
+p AS (SELECT g, vec_id, row_number() OVER (ORDER BY {HASH.format('(g + 5)')}, g) - 1 AS pos FROM e) SELECT g AS global_idx, vec_id AS im_idx, CAST(pos // 8 AS BIGINT) AS batch FROM p""")
+def dataset_split(spark, sf):
+    """A quarter of the rows, spread over the labels, shuffled and cut into batches of eight."""
+    _, test = _opened(spark, sf).select(["raw"]).numbered().split(0.25, stratum="label")
+    return test.batched(8, seed=5).select("global_idx", "im_idx", "batch")
+
+
+# paths, logs, ranges
+
+
+@query("channel_paths", "SELECT DISTINCT 'exp' || (o_custkey % 4) || '/raw' AS ds_path, 'exp' || (o_custkey % 4) || '/mask' AS mask_path FROM orders WHERE o_custkey % 4 < 3")
+def channel_paths(spark, sf):
+    """The paths of a channel in some groups, and of another channel beside it."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("exp"), F.col("o_custkey") % 4, F.when(F.col("o_orderkey") % 2 == 0, "/raw").otherwise("/mask")).alias("ds_path"))
+    p = files.datasets_with_suffix(o, "/raw", "exp[012].*")
+    return p.select("ds_path", paths.channel_path(F.col("ds_path"), "raw", "mask").alias("mask_path"))
+
+
+@query("null_values", "SELECT doc_id, quality IS NULL OR quality = 1 AS one, (quality IS NULL OR quality = 1) AND (toxic IS NULL OR toxic = 1) AS both FROM labels")
+def null_values(spark, sf):
+    q = F.array(F.col("quality").cast("double"))
+    return table(spark, sf, "labels").select("doc_id", images.is_null_value(q, 1).alias("one"), images.is_null_value(F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")), 1).alias("both"))
+
+
+@query("mapped_range", f"SELECT vec_id, round(sum(CASE WHEN v <= -0.1 THEN 2 WHEN v >= 0.2 THEN 3 ELSE 2 + (v + 0.1) / (0.2 + 0.1) END), 5) AS total FROM ({PIXELS}) GROUP BY 1")
+def mapped_range(spark, sf):
+    return rounded(vectors(spark, sf).select("vec_id", images.total(images.map_range(F.col("data"), -0.1, 0.2, 2.0, 3.0)).alias("total")), 5)
+
+
+@query("metrics_logged", "SELECT CAST(o_orderkey % 5 AS INTEGER) AS epoch, round(avg(o_totalprice), 4) AS loss, count(*) AS n FROM orders GROUP BY 1")
+def metrics_logged(spark, sf):
+    """A row for each epoch, appended one epoch after the other and read back in order."""
+    o = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 5).cast("int").alias("epoch")).agg(F.round(F.avg("o_totalprice"), 4).alias("loss"), F.count("*").alias("n"))
+    log = scratch(spark, "log")
+    for k in range(5):
+        sinks.append_log(o.where(F.col("epoch") == k), log)
+    return sinks.read_log(spark, log, "epoch int, loss double, n bigint")

@@ -453,9 +453,11 @@ def dihedral_8(spark, sf):
     return rounded(df.select("vec_id", "aug", moment.alias("moment")), 4)
 
 
-@query("dihedral_drawn", f"SELECT vec_id, CAST(({HASH.format('vec_id')}) // 65536 % 8 AS INTEGER) AS aug FROM embeddings")
+@query("dihedral_drawn", f"""WITH e AS (SELECT vec_id, embedding, ({HASH.format('vec_id')}) // 65536 % 8 AS k FROM embeddings), k AS (SELECT vec_id, embedding, k, i, CASE WHEN k < 4 THEN i // 8 ELSE i % 8 END AS r, CASE WHEN k < 4 THEN i % 8 ELSE 7 - i // 8 END AS c FROM e, range(64) b(i)),
+m AS (SELECT *, {_SYM} AS src FROM k) SELECT vec_id, CAST(k AS INTEGER) AS aug, round(sum(embedding[src + 1]::DOUBLE * (i + 1)), 4) AS moment FROM m GROUP BY 1, 2""")
 def dihedral_drawn(spark, sf):
-    return tiles.augmented_in_place(vectors(spark, sf), ["data"], SHAPE, "vec_id").select("vec_id", "aug")
+    out = tiles.augmented_in_place(vectors(spark, sf), ["data"], SHAPE, "vec_id")
+    return rounded(out.select("vec_id", "aug", _moment().alias("moment")), 4)
 
 
 @query("anchor_interval", f"""WITH c AS (SELECT vec_id, label, avg(px // 8) FILTER (v > 0.1) AS cy, avg(px % 8) FILTER (v > 0.1) AS cx FROM ({PIXELS}) GROUP BY 1, 2)

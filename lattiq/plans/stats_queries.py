@@ -101,12 +101,13 @@ def hist_mode(spark, sf):
 @query("histogram_ipr_bins", _PRICES + _hist_sql(1000) + "," + _CUM + f""",
 q AS (SELECT {_pct_sql(25)} AS a, {_pct_sql(75)} AS b, {_pct_sql(0)} AS v0, {_pct_sql(100)} AS v1 FROM l),
 n AS (SELECT *, CAST(round_even((v1 - v0) / ((b - a) / 16), 0) AS INTEGER) AS n FROM q),
-e AS (SELECT n, v0, v1, (v1 - v0) / n AS bs FROM n)
-SELECT CAST(r.i AS INTEGER) AS bin, round(v0 + (v1 - v0) * r.i / n, 3) AS lo, round(v0 + (v1 - v0) * (r.i + 1) / n, 3) AS hi FROM e, range(4000) r(i) WHERE r.i < n""")
+e AS (SELECT n, v0, v1 FROM n), g AS (SELECT CAST(r.i AS INTEGER) AS bin, v0 + (v1 - v0) * r.i / n AS lo, v0 + (v1 - v0) * (r.i + 1) / n AS hi, r.i = n - 1 AS final FROM e, range(4000) r(i) WHERE r.i < n),
+w AS (SELECT v, CAST(least(greatest(floor((v - v0) / ((v1 - v0) / n)), 0), n - 1) AS INTEGER) AS near FROM d, e WHERE v BETWEEN v0 AND v1)
+SELECT g.bin, round(lo, 3) AS lo, round(hi, 3) AS hi, count(v) AS cnt FROM g LEFT JOIN w ON abs(w.near - g.bin) <= 1 AND v >= lo AND (v < hi OR final AND v <= hi) GROUP BY 1, 2, 3""")
 def histogram_ipr_bins(spark, sf):
     df = prices(spark, sf)
     edges = stats.ipr_edges(stats.histogram(df, 1000), 16, (25, 75))
-    return rounded(stats.histogram(df, edges).select("bin", "lo", "hi"), 3)
+    return rounded(stats.histogram(df, edges), 3)
 
 
 @query("mean_sd_global", "SELECT round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd, count(*) AS n FROM lineitem")
@@ -127,12 +128,6 @@ def distribution_summary(spark, sf):
     return rounded(stats.distribution_summary(pixels(spark, sf)))
 
 
-@query("min_max_range")
-def min_max_range(spark, sf):
-    values = stats.min_max_range(prices(spark, sf))
-    return spark.createDataFrame([tuple(round(v, 4) for v in values)], "min_low double, min_high double, max_low double, max_high double")
-
-
 @query("center_scale_brightfield", """
 WITH c AS (SELECT l_returnflag, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY 1)
 SELECT round(avg(m) - 3 * avg(s), 4) AS c0, round(avg(m) + 3 * avg(s), 4) AS c1, round(avg(s) / 3, 4) AS s0, round(avg(s) * 3, 4) AS s1 FROM c""")
@@ -141,10 +136,37 @@ def center_scale_brightfield(spark, sf):
     return rounded(spark.createDataFrame([(*center, *scale)], "c0 double, c1 double, s0 double, s1 double"), 4)
 
 
-@query("center_scale_fluorescence")
+def _ipr_sql(values: str, n_bins: int = 256, low: float = 0, high: float = 95) -> str:
+    """SQL of the histogram h2 of ``values`` in bins of the size (percentile high - low) / n_bins, and its cumulated l2."""
+    return f"""WITH d AS ({values}),""" + _hist_sql(1000) + "," + _CUM + f""",
+q AS (SELECT {_pct_sql(low)} AS a, {_pct_sql(high)} AS b, {_pct_sql(0)} AS v0, {_pct_sql(100)} AS v1 FROM l),
+n AS (SELECT *, greatest(CAST(round_even((v1 - v0) / ((b - a) / {n_bins}), 0) AS INTEGER), 1) AS n FROM q),
+g AS (SELECT CAST(r.i AS INTEGER) AS bin, v0 + (v1 - v0) * r.i / n AS lo, v0 + (v1 - v0) * (r.i + 1) / n AS hi, r.i = n - 1 AS final FROM n, range(100000) r(i) WHERE r.i < n),
+w AS (SELECT v, CAST(least(greatest(floor((v - v0) / ((v1 - v0) / n)), 0), n - 1) AS INTEGER) AS near FROM d, n WHERE v BETWEEN v0 AND v1),
+h2 AS (SELECT g.bin, lo, hi, count(v) AS cnt FROM g LEFT JOIN w ON abs(w.near - g.bin) <= 1 AND v >= lo AND (v < hi OR final AND v <= hi) GROUP BY 1, 2, 3),
+k2 AS (SELECT *, sum(cnt) OVER (ORDER BY bin) AS cum, (lo + hi) / 2 AS mid, sum(cnt) OVER () AS total FROM h2),
+l2 AS (SELECT *, lead(cum) OVER (ORDER BY bin) AS cum2, lead(mid) OVER (ORDER BY bin) AS mid2 FROM k2)"""
+
+
+def _at_sql(p: str) -> str:
+    """SQL of a percentile of l2, given as an expression of a column of the one row o."""
+    part = f"CASE WHEN cum2 IS NULL OR cum2 = cum THEN mid ELSE mid + (total * ({p} / 100.0::DOUBLE) - cum) * (mid2 - mid) / (cum2 - cum) END"
+    return f"coalesce(max_by({part}, bin) FILTER (cum <= total * ({p} / 100.0::DOUBLE)), min_by(mid, bin))"
+
+
+@query("min_max_range", _ipr_sql("SELECT l_extendedprice AS v FROM lineitem") + f" SELECT round({_at_sql('0.1')}, 4) AS min_low, round({_at_sql('5')}, 4) AS min_high, round({_at_sql('95')}, 4) AS max_low, round({_at_sql('99.9')}, 4) AS max_high FROM l2")
+def min_max_range(spark, sf):
+    values = stats.min_max_range(prices(spark, sf))
+    return spark.createDataFrame([tuple(round(v, 4) for v in values)], "min_low double, min_high double, max_low double, max_high double")
+
+
+@query("center_scale_fluorescence", _ipr_sql("SELECT value * value AS v FROM events") + f""", m AS (SELECT arg_max(mid, (cnt, -bin)) AS m FROM k2),
+pl AS (SELECT max_by(CASE WHEN mid2 IS NULL THEN 100.0 * cum / total ELSE 100.0 * (cum + (m - mid) * (cum2 - cum) / (mid2 - mid)) / total END, bin) FILTER (mid <= m) AS a FROM l2, m),
+o AS (SELECT m, greatest(0, a - 20) AS below, least(100, a + 30) AS above FROM m, pl)
+SELECT round({_at_sql('below')}, 4) AS c0, round({_at_sql('above')}, 4) AS c1, round({_at_sql('75')} - any_value(m), 4) AS s0, round({_at_sql('99.9')} - any_value(m), 4) AS s1 FROM l2, o""")
 def center_scale_fluorescence(spark, sf):
     df = table(spark, sf, "events").select((F.col("value") * F.col("value")).alias("v"))
-    center, scale = stats.center_scale_range(df, fluorescence=True)
+    center, scale = stats.center_scale_range(df, fluorescence=True, center_extent=(20, 30))
     return rounded(spark.createDataFrame([(*center, *scale)], "c0 double, c1 double, s0 double, s1 double"), 4)
 
 

@@ -29,10 +29,14 @@ def optimal_tiling(spark, sf):
     return o.join(F.broadcast(fit), "b").select("o_orderkey", "batch", "n_tiles")
 
 
-@query("gaussian_blur")
+@query("gaussian_blur", f"""WITH d AS ({PIXELS}), w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM range(-4, 5) r(k)),
+m AS (SELECT i, k, w, CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k > 7 THEN 15 - i - k ELSE i + k END AS j FROM range(8) a(i), w),
+y AS (SELECT vec_id, i, px % 8 AS x, sum(w * v) AS v FROM m JOIN d ON px // 8 = j GROUP BY 1, 2, 3), z AS (SELECT vec_id, y.i AS y, m.i AS x, sum(w * v) AS v FROM m JOIN y ON y.x = m.j GROUP BY 1, 2, 3)
+SELECT vec_id, round(sum(v * (y * 8 + x + 1)), 5) AS moment, round(max(v), 6) AS top, round(max(v) FILTER (y = 0 AND x = 7), 6) AS corner FROM z GROUP BY 1""")
 def gaussian_blur(spark, sf):
     out = kernels.with_kernel(vectors(spark, sf), ["data"], "vec_id", SHAPE, lambda x, k: kernels.gaussian_blur(x, 1.0))
-    return out.select("vec_id", "data")
+    moment = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", F.round(moment, 5).alias("moment"), F.round(F.array_max("data"), 6).alias("top"), F.round(F.col("data")[7], 6).alias("corner"))
 
 
 def _steps():
@@ -82,10 +86,14 @@ def elastic_images(spark, sf):
     return out.select("vec_id", "data")
 
 
-@query("zoomed_images", f"SELECT vec_id, round(max(v) FILTER (px = 0), 6) AS first, round(max(v) FILTER (px = 63), 6) AS last, 225 AS n FROM ({PIXELS}) GROUP BY 1")
+@query("zoomed_images", f"""WITH p AS (SELECT vec_id, embedding, i, i // 15 * 0.5::DOUBLE AS y, i % 15 * 0.5::DOUBLE AS x FROM embeddings, range(225) r(i)),
+q AS (SELECT *, floor(y)::INT AS a, floor(x)::INT AS b FROM p), c AS (SELECT *, least(a + 1, 7) AS a2, least(b + 1, 7) AS b2 FROM q),
+v AS (SELECT vec_id, i, (embedding[a * 8 + b + 1]::DOUBLE * (1 - y + a) + embedding[a2 * 8 + b + 1]::DOUBLE * (y - a)) * (1 - x + b) + (embedding[a * 8 + b2 + 1]::DOUBLE * (1 - y + a) + embedding[a2 * 8 + b2 + 1]::DOUBLE * (y - a)) * (x - b) AS v FROM c)
+SELECT vec_id, round(sum(v * (i + 1)), 4) AS moment, round(max(v) FILTER (i = 0), 6) AS first, round(max(v) FILTER (i = 224), 6) AS last, 225 AS n FROM v GROUP BY 1""")
 def zoomed_images(spark, sf):
     out = kernels.with_kernel(vectors(spark, sf), ["data"], "vec_id", SHAPE, lambda x, k: kernels.zoomed(x, (15, 15)))
-    return rounded(out.select("vec_id", F.col("data")[0].alias("first"), F.element_at("data", -1).alias("last"), F.size("data").alias("n")))
+    moment = F.aggregate(F.transform("data", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", F.round(moment, 4).alias("moment"), F.round(F.col("data")[0], 6).alias("first"), F.round(F.element_at("data", -1), 6).alias("last"), F.size("data").alias("n"))
 
 
 @query("poisson_noise")
@@ -94,12 +102,32 @@ def poisson_noise(spark, sf):
     return out.select("vec_id", "data")
 
 
-@query("stream_event_windows", "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("stream_event_windows", """WITH m AS (SELECT max(ts) AS top FROM events), e AS (SELECT event_type, value, ts, date_trunc('day', ts) AS day FROM events WHERE event_id % 10 <> 0 UNION ALL
+SELECT 'late', 1.0::DOUBLE, top - INTERVAL 30 HOUR, date_trunc('day', top - INTERVAL 30 HOUR) FROM m)
+SELECT event_type, CAST(day AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM e, m WHERE day + INTERVAL 1 DAY <= top - INTERVAL 2 DAY OR event_type <> 'late' AND day + INTERVAL 1 DAY <= top - INTERVAL 2 DAY GROUP BY 1, 2""")
 def stream_event_windows(spark, sf):
-    """The stream reads the table as arriving files and writes each window once it is complete; all of them at its end."""
+    """Events arrive as files. A window is written once, when the watermark (two days behind the newest event) has passed its end: the newest days
+    are still open, and rows of a tenth of the events that come after their window was closed are dropped. A row on time comes
+    between, as Spark drops by the watermark of the batch before."""
+    root = scratch(spark, "stream")
+    e = table(spark, sf, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    top = e.agg(F.max("ts")).first()[0]
+    early, rest = e.where("event_id % 10 <> 0"), e.where("event_id % 10 = 0")
+    late = rest.where(F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY") <= F.lit(top) - F.expr("INTERVAL 2 DAY"))  # too late when they come
+    more = spark.range(1).select(F.lit("late").alias("event_type"), F.lit(1.0).alias("value"), (F.lit(top) - F.expr("INTERVAL 30 HOUR")).alias("ts"), F.lit(-1).cast("bigint").alias("event_id"))
+    newest = e.where(F.col("ts") == F.lit(top)).limit(1)
+    for part in (early.unionByName(newest.where("event_id % 10 = 0")), more, late):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    counts = epochs.windowed_counts(spark, f"{root}/in", e.schema, files_at_once=1)
+    epochs.run_once(counts, f"{root}/out", f"{root}/state")
+    return rounded(spark.read.parquet(f"{root}/out").select("event_type", F.to_date("start").alias("day"), "n", "total"), 4)
+
+
+@query("stream_window_totals", "SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_window_totals(spark, sf):
+    """All windows as they are when the stream has read everything; none is closed."""
     schema = table(spark, sf, "events").schema
     root = scratch(spark, "stream")
     counts = epochs.windowed_counts(spark, f"{sf}/event[s].parquet", schema)
-    # complete mode gives every window; the last batch is the result
     epochs.run_batches(counts, f"{root}/state", lambda df, no: df.write.mode("overwrite").parquet(f"{root}/out"), mode="complete")
     return rounded(spark.read.parquet(f"{root}/out").select("event_type", F.to_date("start").alias("day"), "n", "total"), 4)

@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
 
 import lattiq
-from lattiq.functions import tiff
+from lattiq.functions import kernels, tiff
 
 #: Executors need no copy of the package: the source travels with the plan.
 cloudpickle.register_pickle_by_value(lattiq)
@@ -217,15 +217,31 @@ class FolderReader(ds.DataSourceReader):
             yield Part(path=path, ds_path=own, frames=Frames(at.n, at.shape, at.dtype, at.first, at.strips[a:b]), start=a, stop=b)
             k = j + 1
 
+    def _fitted(self, images: np.ndarray, own: str) -> np.ndarray:
+        """Images in ``targetShape``: resampled by the order of their channel in ``orders`` (``raw=1,mask=0``), or cut without any."""
+        if "targetshape" not in self.options:
+            return images
+        shape = tuple(int(x) for x in self.options["targetshape"].split(","))
+        orders = dict(x.strip().split("=") for x in self.options.get("orders", "").split(",") if x.strip())
+        channel = posixpath.splitext(posixpath.basename(own))[0] if self.many else posixpath.basename(own)
+        if not orders:
+            out = np.zeros((len(images), *shape, *images.shape[1 + len(shape) :]), dtype=images.dtype)
+            inside = (slice(None), *(slice(0, min(a, b)) for a, b in zip(shape, images.shape[1:])))
+            out[inside] = images[inside]
+            return out
+        if channel not in orders:
+            raise ValueError(f"no order of interpolation for channel {channel}")
+        return np.stack([kernels.zoomed(x, shape, int(orders[channel])) for x in images]) if len(images) else images
+
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.options["path"])
         for path, own, place in partition.whole:
             with fs.open_input_file(path) as f:
-                yield batch(own, place, decoded(path, f.read())[None])
+                yield batch(own, place, self._fitted(decoded(path, f.read())[None], own))
         if partition.frames is not None:
             at = partition.start
             for images in read_range(fs, partition.path, partition.frames, partition.start, partition.stop):
-                yield batch(partition.ds_path, at, images)
+                yield batch(partition.ds_path, at, self._fitted(images, partition.ds_path))
                 at += len(images)
 
 
@@ -342,7 +358,8 @@ class FolderWriter(ds.DataSourceArrowWriter):
 
 
 class ArrayFolder(ds.DataSource):
-    """Options of a read: path, frames (files hold many), channel, group, extensions, mindCase (of extensions), taskBytes; of a write: path, frames, extension (npy,
+    """Options of a read: path, frames (files hold many), channel, group, extensions, mindCase (of extensions), targetShape, orders (of
+    splines, by channel), taskBytes; of a write: path, frames, extension (npy,
     tif), dtype and axes of TIFF (yxc: the last axis becomes pages), width of the padded number.
 
     A folder's files are its images in the order of their names; with ``frames``, or for a path of one file, each file is a

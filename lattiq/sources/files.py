@@ -21,9 +21,6 @@ from lattiq.sources import connector
 
 SCHEMA = "ds_path string, im_idx bigint, shape array<int>, data array<double>"
 IMAGE_EXTENSIONS, ARRAY_EXTENSIONS, MOVIE_EXTENSIONS = (".png", ".tif", ".tiff"), (".npy",), (".mov",)
-#: Image modes and the types and channels of their pixels.
-MODE_TYPES = {"1": "uint8", "L": "uint8", "P": "uint8", "RGB": "uint8", "RGBA": "uint8", "I": "int32", "I;16": "int32", "F": "float32"}
-MODE_CHANNELS = {"1": 1, "L": 1, "P": 1, "I": 1, "I;16": 1, "F": 1, "RGB": 3, "RGBA": 4}
 
 
 def decode_npy(content: bytes) -> np.ndarray:
@@ -51,12 +48,6 @@ def decoder(extension: str) -> Callable[[bytes], np.ndarray]:
     raise ValueError(f"unsupported file type {extension}")
 
 
-def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Paths below a folder, without their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", "length").withColumn("ext", paths.extension(F.col("path")))
-
-
 def fitted(image: np.ndarray, shape: tuple[int, int] | None, order: int = 1) -> np.ndarray:
     """An image in another shape: by the nearest pixel (order 0, as labels need) or linearly (1)."""
     return image if shape is None or image.shape[:2] == tuple(shape) else kernels.zoomed(image, tuple(shape), order)

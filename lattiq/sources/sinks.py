@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import tiff
@@ -53,10 +53,6 @@ def write_predictions(df: DataFrame, path: str, column: str, channel0: str, outp
     out.write.mode(mode).partitionBy("ds_path").parquet(path)
 
 
-def write_if_missing(df: DataFrame, path: str) -> None:
-    df.write.mode("ignore").parquet(path)
-
-
 RUN = 1024
 
 
@@ -145,5 +141,9 @@ def write_files(files: DataFrame, folder: str) -> None:
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """Rows of metrics as semicolon-separated text with a header."""
+    """Rows of metrics as semicolon-separated text, one more file in a folder; each file has the header, as ``read_log`` expects."""
     df.coalesce(1).write.mode("append").option("sep", ";").option("header", "true").csv(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", ";").option("header", "true").csv(path)

@@ -46,9 +46,11 @@ def mined_epochs(df: DataFrame, key: str, metrics: list[Callable[[DataFrame], Da
         yield rowset.resampled(weighted, "p", size, key, no)
 
 
-def windowed_counts(spark: SparkSession, path: str, schema, width: str = "1 day", late: str = "2 days", by: str = "event_type") -> DataFrame:
+def windowed_counts(spark: SparkSession, path: str, schema, width: str = "1 day", late: str = "2 days", by: str = "event_type", files_at_once: int | None = None) -> DataFrame:
     """A stream over a folder's files: rows and sums by event-time window, late rows up to the watermark."""
-    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)
+    events = reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     w = F.window("ts", width)
     return events.withWatermark("ts", late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 

@@ -133,3 +133,21 @@ def test_odd_files(spark, source, tmp_path):
     (tmp_path / "o").mkdir()
     np.save(tmp_path / "o/e.npy", np.zeros((0, 4)))
     assert source(tmp_path / "o", frames="true").count() == 0
+
+
+def test_images_are_fitted_by_channel(spark, source, tmp_path):
+    from lattiq.functions import kernels
+
+    a = np.arange(20.0).reshape(4, 5)
+    for c in ("raw", "mask"):
+        (tmp_path / "s" / c).mkdir(parents=True)
+        np.save(tmp_path / "s" / c / "0.npy", a)
+    got = {r.ds_path: r for r in source(tmp_path, targetShape="7,3", orders="raw=3, mask=0").collect()}
+    assert np.allclose(got["s/raw"].data, kernels.zoomed(a, (7, 3), 3).ravel()) and got["s/mask"].data == kernels.zoomed(a, (7, 3), 0).ravel().tolist()
+    assert got["s/raw"]["shape"] == [7, 3]
+    cut = source(tmp_path, channel="raw", targetShape="3,6").first()
+    want = np.zeros((3, 6))
+    want[:, :5] = a[:3]
+    assert cut.data == want.ravel().tolist()
+    with pytest.raises(Exception, match="no order"):
+        source(tmp_path, targetShape="7,3", orders="raw=1").collect()
