@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from lattiq.operators.positions import hash_cell, hash_order, with_positions
 
 KEEP, CONSTANT_SIZE, REMOVE = "keep", "constant_size", "remove"
+#: Draws of one row that are made at a time.
+_POINTS = 4096
 
 
 def allowed(df: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
@@ -151,8 +153,13 @@ def resampled(df: DataFrame, weight: str, size: int, key: str, seed: int = 0) ->
     rows = rows.join(F.broadcast(cells), "__b").where("__t > 0")
     end, start = (F.col("__o") + F.col("__to")) / F.col("__t") * size, (F.col("__o") + F.col("__from")) / F.col("__t") * size
     u = lambda k: hash_order(k, seed + 1) / F.lit(4294967296.0)
-    points = F.filter(F.transform(F.sequence(F.greatest(F.floor(start) - 1, F.lit(0)), F.floor(end)), lambda k: F.struct(k.alias("draw"), (k + u(k)).alias("x"))), lambda p: (p["x"] >= start) & (p["x"] < end) & (p["draw"] < size))
-    return rows.withColumn("draw", F.explode(points)).withColumn("draw", F.col("draw.draw")).drop("__b", "__w", "__to", "__from", "__o", "__t")
+    # a row of large weight has many points: they are made a run at a time, so no array grows with the weight
+    rows = rows.withColumns({"__first": F.greatest(F.floor(start) - 1, F.lit(0)), "__last": F.floor(end)})
+    rows = rows.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__last") - F.col("__first")) / _POINTS))))
+    low = F.col("__first") + F.col("__run") * _POINTS
+    numbers = F.sequence(low, F.least(low + (_POINTS - 1), F.col("__last")))
+    points = F.filter(F.transform(numbers, lambda k: F.struct(k.alias("draw"), (k + u(k)).alias("x"))), lambda p: (p["x"] >= start) & (p["x"] < end) & (p["draw"] < size))
+    return rows.withColumn("draw", F.explode(points)).withColumn("draw", F.col("draw.draw")).drop("__b", "__w", "__to", "__from", "__o", "__t", "__first", "__last", "__run")
 
 
 def split(df: DataFrame, key: str, test_fraction: float) -> tuple[DataFrame, DataFrame]:

@@ -222,3 +222,11 @@ def test_probabilities_against_plain_search(spark):
         p[v <= q0] = p_max
         got = mining.regime(spark.createDataFrame([(float(x),) for x in v], "m double"), "m", quantile_max=quantile_max)
         assert got.power == pytest.approx(power) and got.p_min == pytest.approx(p_min) and got.total == pytest.approx(p.sum())
+
+
+def test_a_row_of_nearly_all_weight(spark):
+    df = spark.range(5).withColumn("w", F.when(F.col("id") == 2, 1e6).otherwise(1.0))
+    drawn = rowset.resampled(df, "w", 50_000, "id").select("draw", "id").collect()
+    assert sorted(r.draw for r in drawn) == list(range(50_000)) and sum(r.id == 2 for r in drawn) >= 49_990
+    arrays = rowset.resampled(df, "w", 50_000, "id").groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in arrays}[2] >= 49_990
