@@ -120,3 +120,63 @@ def test_sample_is_bounded_by_bytes(spark):
 def test_toxicity_ignores_case_of_all_letters():
     for a, b in (("über Ñandú grob", "ÜBER ÑANDÚ GROB"), ("straße", "STRASSE"), ("café", "CAFÉ")):
         assert (toxicity.features(a.encode(), 20) == toxicity.features(b.encode(), 20)).all()
+
+
+def plain_nnpu(positive, unlabelled, prior, p):
+    """Weights by bucket and the bias: the risk's gradient by loops over texts, Adam by dictionaries."""
+    prior = min(max(prior * p.prior_margin, 1e-4), 0.9)
+    bias = math.log(prior / (1 - prior))
+    n_p, n_u = len(positive), len(unlabelled)
+    ratio = {}
+    for b in {b for x in positive for b in x}:
+        k, u = sum(b in x for x in positive), sum(b in x for x in unlabelled)
+        pooled = (k + u) / (n_p + n_u)
+        z = (k / n_p - u / n_u) / math.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u) + 1e-12)
+        r = math.log(((k + 0.5) / (n_p + 1)) / ((u + 0.5) / (n_u + 1)))
+        if k >= p.least_texts and z >= p.least_z and r >= p.least_ratio:
+            ratio[b] = r
+    w, m, v = dict.fromkeys(ratio, 1.0), dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 0.0)
+    mb = vb = 0.0
+    rng, step, capped = np.random.default_rng(p.seed), 0, 0
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    n_steps = max(1, -(-n_u // p.batch))
+    for _ in range(-(-p.steps // n_steps)):
+        pos, unl = rng.permutation(n_p), rng.permutation(n_u)
+        for k in range(n_steps):
+            bu = [unlabelled[i] for i in unl[k * p.batch : (k + 1) * p.batch]]
+            bp = [positive[pos[j % n_p]] for j in range(k * p.batch, (k + 1) * p.batch)] if n_p > p.batch else [positive[i] for i in pos]
+            score = lambda x: sigmoid(bias + sum(w[b] * ratio[b] for b in x if b in w))  # noqa: B023, E731
+            sp, su = [score(x) for x in bp], [score(x) for x in bu]
+            below = sum(su) / len(su) - prior * sum(sp) / len(sp) < 0
+            capped += below
+            g, gb = {b: p.l2 * w[b] for b in w}, 0.0
+            for texts, scores, each in ((bp, sp, (prior if below else -2 * prior) / len(bp)), (bu, su, (-1 if below else 1) / len(bu))):
+                for x, s in zip(texts, scores):
+                    d = each * s * (1 - s)
+                    gb += d
+                    for b in x:
+                        if b in g:
+                            g[b] += d * ratio[b]
+            step += 1
+            c1, c2 = 1 - 0.9**step, 1 - 0.999**step
+            for b in w:
+                m[b], v[b] = 0.9 * m[b] + 0.1 * g[b], 0.999 * v[b] + 0.001 * g[b] ** 2
+                w[b] -= p.rate * (m[b] / c1) / (math.sqrt(v[b] / c2) + 1e-8)
+            mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+            bias -= p.rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
+    return {b: w[b] * ratio[b] for b in w}, bias, capped
+
+
+def test_nnpu_against_plain_descent():
+    """The non-negative correction comes into play, and more positives than a batch holds are taken in turn."""
+    rng = random.Random(5)
+    text = lambda bad: np.array(sorted(set(rng.sample(range(100, 160), 12)) | set(rng.sample(range(8), 3 if bad else rng.random() < 0.1))), dtype=np.int32)
+    for n_p, batch in ((12, 16), (20, 6)):
+        positive, unlabelled = [text(True) for _ in range(n_p)], [text(k % 4 == 0) for k in range(31)]
+        assert len(toxicity.without_copies(positive)) == n_p
+        p = toxicity.NnpuParams(bits=8, steps=60, batch=batch, least_texts=2, least_z=0.5, least_ratio=0.2, prior_margin=2.0)
+        got = toxicity.fit_features(positive, unlabelled, 0.3, p)
+        weights, bias, capped = plain_nnpu([set(x.tolist()) for x in positive], [set(x.tolist()) for x in unlabelled], 0.3, p)
+        assert 0 < capped and 3 <= len(weights)
+        assert got.bias == pytest.approx(bias, abs=1e-9)
+        assert {int(b): float(got.weights[b]) for b in np.flatnonzero(got.weights)} == {b: pytest.approx(x, abs=1e-6) for b, x in weights.items()}
