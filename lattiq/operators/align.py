@@ -6,18 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattiq.functions.images import padded
+from lattiq.operators.positions import with_positions
 
 KEY = ("ds_idx", "im_idx")
+#: Parts that are sent to every task; more of them are shuffled, as their size in files does not tell what they take in memory.
+MAX_SENT = 10_000
+#: Widths of bins are powers of two whose exponents are multiples of this, and the last one.
+_STEP, _WIDEST = 4, 63
 
 
 def catalog(images: DataFrame, by: str = "ds_path") -> DataFrame:
     """One row for each sub-dataset, in path order: ds_idx, path, number of images and offset of its first global id."""
     per = images.groupBy(by).agg(F.count("*").alias("n"))
-    order = Window.orderBy(by)
-    return per.select((F.row_number().over(order) - 1).cast("int").alias("ds_idx"), by, "n", (F.sum("n").over(order) - F.col("n")).alias("offset"))
+    return with_positions(per, by, out="ds_idx", sums={"offset": "n"}).select(F.col("ds_idx").cast("int").alias("ds_idx"), by, "n", "offset")
 
 
 def align(channels: Sequence[DataFrame], keys: Sequence[str] = KEY, check: bool = False) -> DataFrame:
@@ -57,17 +60,19 @@ def resolve_ids(ids: DataFrame, parts: DataFrame, gid: str = "global_idx") -> Da
     """The sub-dataset (or group, or child) whose range holds each id, and the id's place in it.
 
     ``parts`` is a catalog, a row for each sub-dataset, and may have as many rows as there are; they meet the ids by an equi-join. A part of
-    n ids is put in bins of the least power of two that holds n, of which it touches two at most, and as parts do not overlap a bin holds
-    three at most. An id looks in its bin of each width that occurs, of which there are 63 at most. Ids outside of all ranges, and null ids, are left out.
+    n ids is put in bins of the least power of sixteen that holds n, of which it touches two at most, and as parts do not overlap and have
+    over a sixteenth of a bin, it holds 18 at most. An id looks in its bin of each width that occurs, of which there are 17 at most. Few parts go to every task, many
+    are shuffled with the ids. Ids outside of all ranges, and null ids, are left out.
     """
     names = [x for x in parts.columns if x not in ("offset", "n")]
-    level = F.when(F.col("__n") <= 1, 0).otherwise(F.length(F.bin(F.col("__n") - 1)))
+    bits = F.when(F.col("__n") <= 1, 0).otherwise(F.length(F.bin(F.col("__n") - 1)))
+    level = F.least(F.ceil(bits / _STEP) * _STEP, F.lit(_WIDEST)).cast("int")
     c = parts.where("n > 0").select(F.col("offset").alias("__offset"), F.col("n").alias("__n"), *[F.col(x).alias(f"__{x}") for x in names]).withColumn("__level", level)
     ends = F.array_distinct(F.array(F.expr("shiftright(__offset, __level)"), F.expr("shiftright(__offset + __n - 1, __level)")))
     c = c.withColumn("__bin", F.explode(ends))
-    widths = sorted(r[0] for r in c.select("__level").distinct().collect())  # 64 numbers at most
-    if not widths:
-        widths = [0]
+    counts = {r[0]: r[1] for r in c.groupBy("__level").count().collect()}  # 17 numbers at most
+    widths = sorted(counts) or [0]
+    c = F.broadcast(c) if sum(counts.values()) <= MAX_SENT else c.hint("merge")
     at = F.array(*[F.struct(F.lit(w).alias("w"), F.shiftright(F.col(gid).cast("bigint"), w).alias("b")) for w in widths])
     rows = ids.withColumn("__at", F.explode(at)).withColumns({"__w": F.col("__at.w"), "__b": F.col("__at.b")}).drop("__at")
     within = (F.col(gid) >= F.col("__offset")) & (F.col(gid) < F.col("__offset") + F.col("__n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,20 +72,27 @@ def range_cell(df: DataFrame, *order: Column | str) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine).cast("bigint")
 
 
-def with_positions(df: DataFrame, *order: Column | str, out: str = "pos", cell: Column | None = None) -> DataFrame:
-    """Adds 0, 1, 2, ... in the given ascending order; nulls come first, and ties are numbered in any order.
+def with_positions(df: DataFrame, *order: Column | str, out: str = "pos", cell: Column | None = None, sums: Mapping[str, str] | None = None) -> DataFrame:
+    """Adds 0, 1, 2, ... in the given ascending order; nulls come first, and ties are numbered in any order. ``sums`` (new column: column
+    of integers) adds what the rows before have together, beside the position and in the same order.
 
     Rows are dealt by ``cell``, a function of the row that never falls as the order rises: top bits of a hash, or else ranges
     by literal bounds. A cell's rows are numbered by a window of their own, and set off by the counts of the cells before,
     the only window without a partition: it has a row for each cell. An empty table stays empty.
     """
     cell = range_cell(df, *order) if cell is None else cell
+    names = [out, *(sums or {})]
+    values = [F.lit(1), *map(F.col, (sums or {}).values())]
     rows = df.withColumn("__cell", cell)
     before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("__cell").agg(F.count("*").alias("__n")).select(F.col("__cell").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = rows.groupBy("__cell").agg(*[F.sum(v).alias(f"__n{i}") for i, v in enumerate(values)])
+    offsets = offsets.select(F.col("__cell").alias("__at"), *[F.coalesce(F.sum(f"__n{i}").over(before), F.lit(0)).alias(f"__before{i}") for i in range(len(values))])
     inside = Window.partitionBy("__cell").orderBy(*order)
-    numbered = rows.withColumn("__i", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), F.col("__cell").eqNullSafe(F.col("__at"))).withColumn(out, F.col("__before") + F.col("__i")).drop("__i", "__before", "__at", "__cell")
+    own = [F.row_number().over(inside) - 1, *[F.coalesce(F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for v in values[1:]]]
+    numbered = rows.withColumns({f"__i{i}": c for i, c in enumerate(own)})
+    met = numbered.join(F.broadcast(offsets), F.col("__cell").eqNullSafe(F.col("__at")))
+    met = met.withColumns({c: F.col(f"__before{i}") + F.col(f"__i{i}") for i, c in enumerate(names)})
+    return met.drop("__at", "__cell", *[f"__{x}{i}" for i in range(len(values)) for x in ("i", "before")])
 
 
 #: Bins of a range in a pass of ``quantiles``, and the rows of a range whose distinct values are fetched.

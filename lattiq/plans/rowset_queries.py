@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattiq.functions import coords, images, ndim, paths
 from lattiq.operators import align, boxes, rowset, temporal, tiles, union
@@ -308,9 +307,7 @@ def range_join_orders(spark, sf):
     """As many parts as orders, most of a few ids and some of very many."""
     n = 1 + F.col("o_orderkey") % 7 + F.when(F.col("o_orderkey") % 500 == 0, 100_000).otherwise(0)
     p = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ds_path"), n.alias("n"))
-    ranked = with_positions(p, "ds_path", out="ds_idx")
-    before = F.sum("n").over(Window.orderBy("ds_path").rowsBetween(Window.unboundedPreceding, -1))
-    parts = ranked.select(F.col("ds_idx").cast("int").alias("ds_idx"), "ds_path", "n", F.coalesce(before, F.lit(0)).alias("offset"))
+    parts = with_positions(p, "ds_path", out="ds_idx", sums={"offset": "n"}).withColumn("ds_idx", F.col("ds_idx").cast("int"))
     ids = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 11 + F.col("l_linenumber")).alias("global_idx"))
     return align.resolve_ids(ids, parts)
 

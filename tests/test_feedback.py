@@ -1,6 +1,7 @@
 """Weights that follow a stream of metrics, tiles from SQL, ids among very many parts."""
 
 import bisect
+import itertools
 import random
 import shutil
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions import table_functions
 from lattiq.operators import align, mining, tiles
+from lattiq.operators.positions import with_positions
 from lattiq.streaming import feedback
 
 SCHEMA = "id long, epoch long, metrics array<double>"
@@ -112,3 +114,37 @@ def test_tiles_from_sql_are_those_of_the_library(spark):
     for bad, why in (("'slide', 1", "overlap mode"), ("'allow', 1", "must be an array")):
         with pytest.raises(Exception, match=why):
             spark.sql(f"SELECT * FROM {{df}} d, LATERAL tile({'d.id' if 'array' in why else 'd.data'}, array(5, 6), array(2, 3), {bad}) t", df=df).collect()
+
+
+def test_very_many_parts_are_shuffled_and_not_sent(spark):
+    """Parts that a file holds in a few bytes each are sent to no task, whatever Spark takes for their size; few ones are."""
+    n = 1 + F.col("id") % 7 + F.when(F.col("id") % 500 == 0, 100_000).otherwise(0)
+    parts = with_positions(spark.range(20_000).select("id", n.alias("n")), "id", out="part", sums={"offset": "n"})
+    ids = spark.range(0, 3_000_000, 1000).withColumnRenamed("id", "global_idx")
+
+    def joins(p):
+        met = align.resolve_ids(ids, p)
+        got = met.collect()
+        final = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        # what remains are the sums of the cells, a row each
+        return [x for x in final.splitlines() if "Join" in x and "global_idx" in x or "Join" in x and "__w" in x], got
+
+    many, got = joins(parts)
+    assert many and all("SortMergeJoin" in x for x in many)
+    sizes = [1 + i % 7 + (100_000 if i % 500 == 0 else 0) for i in range(20_000)]
+    starts = [0, *itertools.accumulate(sizes)]
+    want = [(g, bisect.bisect_right(starts, g) - 1) for g in range(0, 3_000_000, 1000)]
+    assert sorted((r.global_idx, r.part, r.im_idx) for r in got) == [(g, k, g - starts[k]) for g, k in want if k < 20_000]
+    few, _ = joins(parts.where("id < 50"))
+    assert few and all("BroadcastHashJoin" in x for x in few)
+
+
+def test_catalog_and_sums_by_cells(spark):
+    rows = [("b", 3), ("a", 1), (None, 2), ("d", 4), ("c", 1)]
+    df = spark.createDataFrame([(p,) for p, k in rows for _ in range(k)], "ds_path string")
+    assert [tuple(r) for r in align.catalog(df).orderBy("ds_idx").collect()] == [(0, None, 2, 0), (1, "a", 1, 2), (2, "b", 3, 3), (3, "c", 1, 6), (4, "d", 4, 7)]
+    assert align.catalog(df.limit(0)).count() == 0
+    # a window over a whole table holds a row for each cell, never one for each path
+    plan = align.catalog(spark.range(1000).select(F.col("id").cast("string").alias("ds_path")))._jdf.queryExecution().optimizedPlan().toString()
+    whole = [x for x in plan.splitlines() if "Window [" in x and "ds_path" in x and "__cell" not in x]
+    assert not whole
