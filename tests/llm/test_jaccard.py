@@ -235,3 +235,40 @@ def test_clusters_in_batches(monkeypatch, max_bucket):
             for least, x in zip(*(c.to_pylist() for c in b.columns)):
                 got.setdefault(least, set()).add(x)
         assert {frozenset(g) for g in got.values()} == want and all(least == min(g) for least, g in got.items())
+
+
+def test_pairs_are_found_by_chains(spark, sf, monkeypatch):
+    """An equal segment only begins a chain: without bits that may differ after it, edited copies are not found."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (2, " ".join(edited(rng, words, 2)))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()] == [0]
+    monkeypatch.setattr(jaccard, "BUDGET", -1)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [0, 2]
+
+
+def test_chains_and_their_budget(spark):
+    prints = np.random.default_rng(6).integers(0, 1 << 64, (3, jaccard.FINGERPRINTS), dtype=np.uint64)
+    df = spark.createDataFrame([(i, row.view(np.int64).tolist()) for i, row in enumerate(prints)] + [(3, [])], "i int, __prints array<long>")
+    got = {r.i: r.c for r in df.select("i", jaccard.chains().alias("c")).collect()}
+    assert got[3] == []
+    for i, keys in enumerate(jaccard.segments(prints)):
+        assert [c.key for c in got[i]] == keys.tolist()
+        for p, c in enumerate(got[i]):
+            f, k = int(prints[i, p // 4]), p % 4 * 16
+            assert c.ring % (1 << 64) == (f >> k | f << 64 - k) % (1 << 64)
+    low = lambda *bits: np.array([sum(((1 << n) - 1) << 16 * k for k, n in enumerate(bits))], dtype=np.uint64)
+    zero = np.zeros(1, dtype=np.uint64)
+    for bits, want in (((0, 10, 5, 5), True), ((0, 11, 0, 0), False), ((0, 10, 6, 0), False), ((0, 10, 5, 6), False), ((0, 0, 0, 16), True), ((6, 0, 0, 0), False)):
+        assert jaccard.viable(low(*bits), zero)[0] == want
+    # chains of texts at the threshold that begin with an equal segment are nearly all viable, those of others are not
+    rng = np.random.default_rng(7)
+    made = rng.integers(0, 1 << 63, (400, 100)).astype(np.uint64)
+    sets = [x for row in made for x in (row[:90], np.concatenate([row[:80], row[90:]]))]
+    f = jaccard.simhashes(np.concatenate(sets), np.arange(801) * 90)[:, : jaccard.FINGERPRINTS]
+    keys = jaccard.segments(f)
+    turned = np.stack([f if k == 0 else f >> np.uint64(k) | f << np.uint64(64 - k) for k in (0, 16, 32, 48)], axis=2).reshape(len(f), -1)
+    same = keys[::2] == keys[1::2]
+    assert same.sum() > 1000 and jaccard.viable(turned[::2], turned[1::2])[same].mean() > 0.999
+    other = turned[1::2] ^ (turned[1::2] ^ np.roll(turned[::2], 1, axis=0)) % np.uint64(1 << 16)  # made to begin alike
+    assert jaccard.viable(np.roll(turned[::2], 1, axis=0), other).mean() < 0.2
