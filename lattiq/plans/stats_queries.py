@@ -286,7 +286,7 @@ def stream_weights(spark, sf):
     root = scratch(spark, "feedback")
     e = table(spark, sf, "events").select("user_id", (F.col("event_id") % 3).alias("epoch"), F.array("value", F.lit(0.0)).alias("metrics"))
     for k in range(3):
-        e.where(F.col("epoch") == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        e.where(F.col("epoch") == k).repartition(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     feedback.follow(stream, ["user_id"], mining.Schedule(period=1, start=0, n_metrics=2), f"{root}/out", f"{root}/state", quantile_max=0.5)
     return rounded(feedback.weights(spark, f"{root}/out", 2), 9)

@@ -1,4 +1,4 @@
-"""Weights that follow metrics, as a stream: metrics of samples arrive as rows, a keyed state holds each sample's newest ones, and when the
+"""Weights that follow metrics, as a stream: metrics of samples arrive as rows, a state by key holds each sample's newest ones, and when the
 schedule says so sampling weights are computed from all of them.
 
 The state and the snapshots are in shared folders, so a stream that is started again from its checkpoint goes on where it was and gives the same
@@ -52,6 +52,7 @@ class Newest(StatefulProcessor):
 
 def newest_metrics(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The stream of a sample's newest metrics (keys, epoch, metrics), a row whenever they change, of rows (keys, epoch, metrics)."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     schema = StructType([stream.schema[k] for k in keys]).add("epoch", "long").add("metrics", stream.schema["metrics"].dataType)
     rows = stream.select(*keys, F.col("epoch").cast("long"), "metrics")
     return rows.groupBy(*keys).transformWithStateInPandas(Newest(keys), schema, "Update", "None")
@@ -78,24 +79,36 @@ def _batches(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n.getName().split("=")[1]) for n in names if n.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
 
 
+def newest_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, epoch, n, sums, metrics) of each sample's newest epoch, of rows (keys, epoch, n, sums): sums of n rows. Partial sums are taken
+    before any shuffle, by position, so a sample of very many parts takes a row a task. A null metric is NaN; rows without an epoch are left out."""
+    each = rows.where(F.col("epoch").isNotNull()).select(*keys, "epoch", "n", F.posexplode_outer("sums").alias("i", "v"))
+    v = F.when(F.col("i").isNotNull(), F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))))
+    each = each.groupBy(*keys, "epoch", "i").agg(F.sum("n").alias("n"), F.sum(v).alias("v"))
+    at = F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v"))))
+    each = each.groupBy(*keys, "epoch").agg(F.max("n").alias("n"), F.transform(at, lambda x: x["v"]).alias("sums"))
+    last = each.groupBy(*keys).agg(F.max_by(F.struct("epoch", "n", "sums"), "epoch").alias("x")).select(*keys, "x.*")
+    return last.withColumn("metrics", F.transform("sums", lambda x: x / F.col("n")))
+
+
 def follow(stream: DataFrame, keys: Sequence[str], schedule: mining.Schedule, path: str, checkpoint: str, **options) -> None:
-    """Runs the stream over all that is there now: each batch of newest metrics is merged into the snapshot, and after an epoch that is due
-    the weights of its metric are written (they sum to 1; ``options`` are those of ``mining.regime``)."""
+    """Runs the stream over all that is there now: each batch of metrics is merged into the snapshot, and after an epoch that is due
+    the weights of its metric are written (they sum to 1; ``options`` are those of ``mining.regime``). The snapshot, a row for each sample with
+    the count and sums of its newest epoch, is the state: it is merged by aggregation, with no call for each sample."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
     def merged(batch: DataFrame, no: int) -> None:
         done = [b for b in _batches(spark, f"{path}/samples") if b < no]
-        rows = batch
+        state = [*keys, "epoch", "n", "sums"]
+        rows = batch.select(*keys, F.col("epoch").cast("long"), F.lit(1).cast("long").alias("n"), F.col("metrics").cast("array<double>").alias("sums"))
         if done:
-            old = spark.read.parquet(f"{path}/samples/batch={done[-1]}")
-            rows = old.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/samples/batch={no}")
+            rows = rows.unionByName(spark.read.parquet(f"{path}/samples/batch={done[-1]}").select(*state))
+        newest_of(rows, keys).write.mode("overwrite").parquet(f"{path}/samples/batch={no}")
         now = spark.read.parquet(f"{path}/samples/batch={no}")
         epoch = now.agg(F.max("epoch")).first()[0]
         if epoch is not None and schedule.due(epoch):
             m = now.select(*keys, F.get("metrics", F.lit(schedule.metric(epoch))).alias("m"))
             mining.index_probability(m, "m", **options).select(*keys, "p").write.mode("overwrite").parquet(f"{path}/weights/epoch={epoch}")
 
-    query = newest_metrics(stream, keys).writeStream.outputMode("update").foreachBatch(merged).option("checkpointLocation", checkpoint)
+    query = stream.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()

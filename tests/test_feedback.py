@@ -148,3 +148,17 @@ def test_catalog_and_sums_by_cells(spark):
     plan = align.catalog(spark.range(1000).select(F.col("id").cast("string").alias("ds_path")))._jdf.queryExecution().optimizedPlan().toString()
     whole = [x for x in plan.splitlines() if "Window [" in x and "ds_path" in x and "__cell" not in x]
     assert not whole
+
+
+def test_newest_metrics_are_merged_without_a_call_for_each_sample(spark, tmp_path, monkeypatch):
+    """Sums of parts over batches, null metrics as NaN, and no Python state that is called for each key."""
+    monkeypatch.setattr(feedback.Newest, "handleInputRows", lambda *a: 1 / 0)
+    root = str(tmp_path)
+    arrives(spark, root, (1, 0, (1, 2)), (1, 0, (3, 4)), (2, 1, (5, 6)))
+    run(spark, root, mining.Schedule(period=1))
+    arrives(spark, root, (1, 0, (5, 6)), (2, 0, (9, 9)), (3, 0, (7, 7)))
+    run(spark, root, mining.Schedule(period=1))
+    assert newest(spark, root) == {1: (0, [3.0, 4.0]), 2: (1, [5.0, 6.0]), 3: (0, [7.0, 7.0])}
+    rows = spark.createDataFrame([(1, 0, 1, [None, 2.0]), (1, 0, 1, [1.0, 2.0]), (2, None, 1, [1.0]), (3, 5, 1, [])], "id long, epoch long, n long, sums array<double>")
+    got = {r.id: (r.epoch, r.n, str(r.metrics)) for r in feedback.newest_of(rows, ["id"]).collect()}
+    assert got == {1: (0, 2, "[nan, 2.0]"), 3: (5, 1, "[]")}
