@@ -54,6 +54,17 @@ def write_predictions(df: DataFrame, path: str, column: str, channel0: str, outp
 
 
 RUN = 1024
+#: Folders of runs in a new store, beyond two for each sub-dataset.
+MAX_RUNS = 1024
+
+
+def _run_width(df: DataFrame, run: int) -> int:
+    """The least ``run * 2 ** k`` images that leave a new store of these rows no more than its folders."""
+    ends = df.groupBy("ds_path").agg(F.min("im_idx").alias("a"), F.max("im_idx").alias("b"))
+    folders = lambda w: F.floor(F.col("b") / w) - F.floor(F.col("a") / w) + 1
+    widths = [run << k for k in range(40)]
+    n, *counts = ends.agg(F.count("*"), *[F.coalesce(F.sum(folders(w)), F.lit(0)) for w in widths]).first()
+    return next((w for w, c in zip(widths, counts) if c <= max(MAX_RUNS, 2 * n)), widths[-1])
 
 
 def write_range(df: DataFrame, path: str, staging: str, run: int = RUN) -> None:
@@ -61,18 +72,29 @@ def write_range(df: DataFrame, path: str, staging: str, run: int = RUN) -> None:
 
     A store is cut into runs of images, and only the runs that the rows touch are read, merged and written again. The merged runs go
     to ``staging`` (a fresh shared path) first, so that nothing is overwritten while it is read, and a failed job can be run again.
+
+    A run has ``run`` images, or in a large store so many times as many that its folders, each of which is listed whenever the store is
+    read, do not grow with it. A store keeps the width that its first rows gave it, in its folders' names (``run_width``).
     """
     spark = df.sparkSession
-    new = df.withColumn("run", F.floor(F.col("im_idx") / run))
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        old = spark.read.parquet(path).select(*new.columns)
+    stored = spark.read.parquet(path) if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target) else None
+    folders = ["ds_path", "run_width", "run"]
+    if stored is None:
+        run = _run_width(df, run)
+    elif "run_width" in stored.columns:
+        run = stored.select("run_width").first()[0]
+    else:
+        folders.remove("run_width")  # a store from before it was kept
+    new = df.withColumns({"run_width": F.lit(run).cast("bigint"), "run": F.floor(F.col("im_idx") / run)}).select(*df.columns, *folders[1:])
+    if stored is not None:
+        old = stored.select(*new.columns).withColumns({c: F.col(c).cast("bigint") for c in folders[1:]})
         old = old.join(new.select("ds_path", "run").distinct(), ["ds_path", "run"], "left_semi")
         new = new.unionByName(old.join(new.select("ds_path", "im_idx"), ["ds_path", "im_idx"], "left_anti"))
     new.write.parquet(staging)
     merged = spark.read.schema(new.schema).parquet(staging).repartition("ds_path", "run")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ds_path", "run").parquet(path)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
 
 
 def write_routed(df: DataFrame, stores: Mapping[str, str], staging: str, mode: str = "append") -> None:

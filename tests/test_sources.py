@@ -71,3 +71,24 @@ def test_choice_of_weights_and_of_too_few(spark):
 def test_concat_batches_wants_equal_columns(spark):
     with pytest.raises(ValueError):
         union.concat_batches([spark.range(2).withColumn("batch", F.lit(0)), spark.range(2).toDF("x").withColumn("batch", F.lit(0))], [1, 1])
+
+
+def test_folders_of_runs_do_not_grow_with_the_store(spark, tmp_path, monkeypatch):
+    """A larger store has wider runs, which later writes keep; a small one and one of an earlier layout stay as they are."""
+    monkeypatch.setattr(sinks, "MAX_RUNS", 8)
+    rows = lambda a, b, v: spark.range(a, b).select(F.lit("d").alias("ds_path"), F.col("id").alias("im_idx"), F.lit(v).alias("v"))
+    for n, width in ((16, 4), (400, 64)):
+        path = tmp_path / f"s{n}"
+        sinks.write_range(rows(0, n, 0), str(path), str(tmp_path / f"a{n}"), run=4)
+        assert len(list(path.glob("ds_path=*/*/run=*"))) <= 8
+        before = set(path.rglob("*.parquet"))
+        sinks.write_range(rows(5, 8, 1), str(path), str(tmp_path / f"b{n}"), run=4)
+        assert {f.name for f in path.glob("ds_path=*/*")} == {f"run_width={width}"}
+        assert len(before & set(path.rglob("*.parquet"))) == len(before) - 1  # the run of 5 to 7 alone are written again
+        got = spark.read.parquet(str(path)).collect()
+        assert len(got) == n and {r.im_idx: r.v for r in got} == {i: int(5 <= i < 8) for i in range(n)}
+    earlier = str(tmp_path / "earlier")
+    rows(0, 20, 0).withColumn("run", F.floor(F.col("im_idx") / 4)).write.partitionBy("ds_path", "run").parquet(earlier)
+    sinks.write_range(rows(5, 8, 1), earlier, str(tmp_path / "c"), run=4)
+    got = spark.read.parquet(earlier)
+    assert "run_width" not in got.columns and sorted((r.im_idx, r.v) for r in got.collect()) == [(i, int(5 <= i < 8)) for i in range(20)]
