@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ cloudpickle.register_pickle_by_value(lattiq)
 
 #: Words are runs of anything but these ASCII blanks; as a class for Java's regular expressions.
 BLANKS = r"\x20\x09-\x0D"
+#: Edges of a graph that a task contracts at a time.
+CONTRACTED = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,37 +104,75 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(squeezed, " \u0009\u000a\u000b\u000c\u000d", "")).cast("bigint")
 
 
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n can reach over links a to b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as others that connect the same nodes: of each ``CONTRACTED`` of a task or fewer, one from each node to the smallest that it reaches by these."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = labels(len(nodes), at[: len(u)], at[len(u) :])
+        low = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[label[low]])], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        if held and n + b.num_rows > CONTRACTED:
+            yield stars(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+        held.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+    if n:
+        yield stars(*map(np.concatenate, zip(*held)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 16, most_rounds: int = 40) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     Returns (node, component): each node that has an edge, with the smallest node it can reach. Edges with a null
-    end or equal ends are left out. A node may have a third of all edges: its smallest neighbour is found by
-    partial aggregation, and is carried to its edges over ``salts`` parts. No links ever reach the driver; each round's
-    edges go to the shared checkpoint folder. The number of rounds grows as the logarithm of the longest path.
+    end or equal ends are left out. A node may have a third of all edges: they are dealt over ``salts`` parts, its smallest
+    neighbour is found by partial aggregation within these and is carried back to them. No links ever reach the driver; each
+    round's edges go to the shared checkpoint folder. The number of rounds grows as the logarithm of the longest path.
+
+    The driver keeps a record of every task, and a shuffle has as many as there are partitions, however few the edges. So edges are contracted
+    where they are read, in as many tasks as they fill, before each round: that shuffles nothing, and leaves few rounds or none. A round has six
+    shuffles, three for each star. Equal edges fall into the same part and are made one there; a round writes at most twice the distinct edges it
+    was given, whose number never grows.
     """
-    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v"))
-    e = checkpoint(e.where("u is not null and v is not null and u <> v").distinct())
+    e = written(e.where("u is not null and v is not null and u <> v"), "links")
     parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
 
-    def star(pairs: DataFrame, keep_self: bool) -> DataFrame:
-        """pairs (u, v): links each v of a u with u's smallest; with keep_self, u too."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        salted = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-        return salted.join(least.select("u", "m", parts), ["u", "s"])
-
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, False).select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.col("u").alias("w"))
-        large = large.where("u > w and u <> v").select("u", "v").distinct()
-        j = star(large, True)
-        small = j.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("p"))
-        e = checkpoint(small.select("p.u", "p.v").where("u <> v").distinct())
-        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("below")))).alias("x"))
-        loose = ends.groupBy("x.node").agg(F.sum("x.below").alias("n"), F.min("x.below").alias("top")).where("n > 1 or (n = 1 and top = 0)")
-        if not loose.limit(1).count():  # every node is a root or has one edge, to a root
+    def star(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (u, v), each with u's smallest v as m. A merge, so that no node's row passes through the driver."""
+        dealt = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).repartition("u", "s").dropDuplicates(["u", "s", "v"])
+        least = dealt.groupBy("u").agg(F.min("v").alias("m"))
+        return dealt.join(least.select("u", "m", parts).hint("merge"), ["u", "s"])
+
+    def each(*ends: tuple[str, str]) -> Column:
+        return F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends])).alias("p")
+
+    for _ in range(most_rounds + 1):
+        e = written(e.coalesce(e.count() // CONTRACTED + 1).mapInArrow(contracted, "u bigint, v bigint"), "contracted")
+        both = e.select(each(("u", "v"), ("v", "u"))).select("p.*")
+        loose = both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < u and lo <> hi")
+        if not loose.limit(1).count():  # every node is a root or has one neighbour, a root
             break
+        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = star(large).select(each(("v", "m"), ("u", "m"))).select("p.*").where("u <> v")
+        e = written(small, "links")
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return e.select(each(("u", "v"), ("v", "v"))).select(F.col("p.u").alias("node"), F.col("p.v").alias("component")).distinct()
